@@ -88,12 +88,13 @@ def suppress(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def new_alerts(df: DataFrame, existing: DataFrame, created_at: dt.datetime, **thresholds) -> DataFrame:
-    """Alert rows to append. The id is a hash of what identifies the alert: its
-    key and the moment it was raised."""
+    """Alert rows to append. The id is a positive hash of what identifies the alert:
+    its type, its department and the moment it was raised."""
     raised = suppress(evaluate(df, **thresholds), existing)
     moment = F.lit(created_at).cast("timestamp")
+    identity = F.xxhash64("type", F.coalesce("department", F.lit("")), moment)
     return raised.select(
-        F.xxhash64("type", F.coalesce("department", F.lit("")), moment).alias("id"),
+        identity.bitwiseAND(F.lit(2**63 - 1)).alias("id"),
         "type",
         "message",
         "severity",

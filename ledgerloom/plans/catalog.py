@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import admin, alerts, departments, ingest, kpis, listing, merge, quality, reports, trends
 from ledgerloom.operators.filters import Scope, active, by_id, since, unread, visible_to
-from ledgerloom.plans import procedures
-from ledgerloom.schema import MEASURES
-from ledgerloom.session import configure
+from ledgerloom.functions.headers import normalise
+from ledgerloom.plans import maintain, procedures
+from ledgerloom.plans.report import write_report
+from ledgerloom.plans.upload import upload
+from ledgerloom.schema import MEASURES, UPLOAD_COLUMNS
+from ledgerloom.session import configure, work_folder
 from ledgerloom.sources import adapter
+from ledgerloom.sources.ledger import Ledger
+from ledgerloom.streaming import uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -227,6 +232,103 @@ def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
+    """The raw uploads as CSV folders, one per day, in two column orders.
+
+    Rows are range-partitioned by day and line, so a day may be several files whose
+    names are in line order, and no day has to fit one task.
+    """
+    raw = adapter.raw_uploads(configure(spark), folder)
+    layouts = [
+        ["Date", "Revenue", "Cost", "Expenses", "Profit", "Department", "Sales_Volume"],
+        ["date", "REVENUE", "Cost", "Profit", "department", "Expenses", " Sales Volume"],
+    ]
+    titles = {normalise(t): column for t, column in UPLOAD_COLUMNS.items()}
+    written = []
+    for parity, layout in enumerate(layouts):
+        path = work_folder(spark, f"uploads-{parity}")
+        rows = raw.filter(F.col("file_no") % 2 == parity).repartitionByRange("file_no", "seq")
+        columns = [F.col(titles[normalise(title)]).alias(title) for title in layout]
+        (
+            rows.sortWithinPartitions("file_no", "seq")
+            .select("file_no", *columns)
+            .write.partitionBy("file_no")
+            .option("header", "true")
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false")
+            .csv(path)
+        )
+        written.append(path)
+    return written
+
+
+def _uploaded(spark: SparkSession, folder: str) -> Ledger:
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=4)
+    upload(ledger, _written_uploads(spark, folder), 1, VIEWER, AS_OF)
+    return ledger
+
+
+def _streamed(spark: SparkSession, folder: str) -> Ledger:
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=4)
+    batch = 1
+    for path in _written_uploads(spark, folder):
+        query = uploads.start(ledger, path, work_folder(spark, "progress"), VIEWER, batch, clock=lambda: AS_OF)
+        query.awaitTermination()
+        batch = ledger.last_batch() + 1
+    return ledger
+
+
+def _stored(spark: SparkSession, folder: str) -> Ledger:
+    """The fact table as the first batch of a ledger."""
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=4)
+    ledger.publish(1, ledger.write_version(adapter.business_data(spark, folder), 1))
+    return ledger
+
+
+def csv_ingest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_columns(_uploaded(spark, folder).read()).drop("id")
+
+
+def csv_ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    rejects = _uploaded(spark, folder).rejects()
+    return rejects.select("raw", F.regexp_replace("error", "^Row [0-9]+: ", "").alias("problem"))
+
+
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_columns(_streamed(spark, folder).read()).drop("id")
+
+
+def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder).alerts().select("type", "message", "severity", "department", "is_read")
+
+
+def ledger_updates(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = _stored(spark, folder)
+    maintain.apply_updates(ledger, adapter.record_changes(spark, folder), 2, AS_OF)
+    return _record_columns(ledger.read())
+
+
+def ledger_deletes(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = _stored(spark, folder)
+    moved = adapter.record_changes(spark, folder).filter(F.col("date").isNotNull())
+    maintain.apply_deletes(ledger, moved.select("id"), 2, AS_OF)
+    return _record_columns(ledger.read())
+
+
+def _written_report(spark: SparkSession, folder: str) -> dict[str, str]:
+    return write_report(adapter.business_data(configure(spark), folder), work_folder(spark, "report"))
+
+
+def report_files(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "date string, department string, revenue double, cost double, expenses double, profit double, sales_volume long, row_margin double"
+    return spark.read.schema(schema).option("header", "true").csv(_written_report(spark, folder)["business_data"])
+
+
+def report_files_departments(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "department string, revenue double, cost double, profit double, sales_volume long, profit_margin double"
+    return spark.read.schema(schema).option("header", "true").csv(_written_report(spark, folder)["department_summary"])
+
+
 QUERIES: dict[str, Query] = {
     "kpi_summary": _facts(kpis.kpi_summary),
     "kpi_summary_filtered": _facts(lambda df: kpis.kpi_summary(df, SCOPE)),
@@ -297,4 +399,12 @@ QUERIES: dict[str, Query] = {
     "report_departments": _facts(reports.departments_sheet),
     "report_display_kpis": _facts(reports.printed_kpis),
     "report_display_rows": _facts(reports.printed_records),
+    "report_files": report_files,
+    "report_files_departments": report_files_departments,
+    "csv_ingest_roundtrip": csv_ingest_roundtrip,
+    "csv_ingest_rejects": csv_ingest_rejects,
+    "stream_ingest": stream_ingest,
+    "stream_alerts": stream_alerts,
+    "ledger_updates": ledger_updates,
+    "ledger_deletes": ledger_deletes,
 }

@@ -46,8 +46,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "led
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediate tables.
+    """Path of a new folder for written intermediate tables.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
     local session without that setting gets a folder of its own: executors on
@@ -55,8 +58,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
+        shared = _LOCAL_FOLDERS[context.applicationId]
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

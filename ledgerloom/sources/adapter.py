@@ -192,12 +192,14 @@ def raw_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
     The event number modulo 50 decides the damage: 0 an impossible date; 1, 2, 3
     and 6 a revenue that is no number; 4 and 5 a bad and a fractional sales
-    volume; 7 and 8 a blank and a padded department. The file is the day.
+    volume; 7 and 8 a blank and a padded department. The file is the day. Views
+    earn little and errors spend much, so both department alert rules fire.
     """
     event, damage = F.col("event_id"), F.col("event_id") % 50
     day = F.date_format("ts", "yyyy-MM-dd")
-    amount = F.col("value").cast(MONEY).cast("string")
-    kind = F.col("event_type")
+    value, kind = F.col("value").cast(MONEY), F.col("event_type")
+    amount = value.cast("string")
+    slim = F.round(value * F.lit("0.05").cast("decimal(4,2)"), 2).cast(MONEY).cast("string")
     return table(spark, folder, "events").select(
         F.unix_date(F.col("ts").cast("date")).cast("bigint").alias("file_no"),
         F.concat(F.lit("uploads_"), day, F.lit(".csv")).alias("filename"),
@@ -211,8 +213,8 @@ def raw_uploads(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(amount)
         .alias("revenue"),
         F.col("user_id").cast("string").alias("cost"),
-        (event % 7).cast("string").alias("expenses"),
-        amount.alias("profit"),
+        F.when(kind == "error", F.col("user_id") * 10).otherwise(event % 7).cast("string").alias("expenses"),
+        F.when(kind == "view", slim).otherwise(amount).alias("profit"),
         F.when(damage == 7, "  ").when(damage == 8, F.concat(F.lit("  "), kind, F.lit(" "))).otherwise(kind).alias("department"),
         F.when(damage == 4, "abc").when(damage == 5, "12.7").otherwise(F.col("user_id").cast("string")).alias("sales_volume"),
     )

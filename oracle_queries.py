@@ -65,7 +65,9 @@ raw_uploads AS (
          CASE WHEN m = 0 THEN '2024-13-01' ELSE day END AS date,
          CASE WHEN m = 1 THEN 'x' WHEN m = 2 THEN '1,000' WHEN m = 3 THEN 'inf' WHEN m = 6 THEN ''
               ELSE amount END AS revenue,
-         CAST(user_id AS VARCHAR) AS cost, CAST(event_id % 7 AS VARCHAR) AS expenses, amount AS profit,
+         CAST(user_id AS VARCHAR) AS cost, CAST(CASE WHEN event_type = 'error' THEN user_id * 10 ELSE event_id % 7 END AS VARCHAR) AS expenses,
+         CASE WHEN event_type = 'view' THEN CAST(CAST(ROUND(CAST(value AS DECIMAL(15,2)) * CAST(0.05 AS DECIMAL(4,2)), 2) AS DECIMAL(15,2)) AS VARCHAR)
+              ELSE amount END AS profit,
          CASE WHEN m = 7 THEN '  ' WHEN m = 8 THEN '  ' || event_type || ' ' ELSE event_type END AS department,
          CASE WHEN m = 4 THEN 'abc' WHEN m = 5 THEN '12.7' ELSE CAST(user_id AS VARCHAR) END AS sales_volume
   FROM (SELECT *, event_id % 50 AS m, strftime(ts, '%Y-%m-%d') AS day,
@@ -257,6 +259,16 @@ merged AS (
   FROM first_rows b WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.date = b.date AND f.department = b.department)
 )"""
 
+INGESTED = """
+uploaded AS (
+  SELECT date, department, arg_max(revenue, line) AS revenue, arg_max(cost, line) AS cost, arg_max(expenses, line) AS expenses,
+         arg_max(profit, line) AS profit, arg_max(sales_volume, line) AS sales_volume
+  FROM good GROUP BY date, department
+)"""
+STORED_ROWS = """
+SELECT strftime(date, '%Y-%m-%d') AS date, department, CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost,
+  CAST(expenses AS DOUBLE) AS expenses, CAST(profit AS DOUBLE) AS profit, sales_volume, CAST(7 AS BIGINT) AS created_by FROM uploaded"""
+
 KPI_LINES = """
 SELECT CAST(line AS BIGINT) AS line, metric, value FROM (
   SELECT 1 AS line, 'Total Revenue' AS metric, total_revenue AS value FROM k
@@ -482,4 +494,14 @@ ORACLE_SQL: dict[str, str] = {
        format('${:,.2f}', CAST(revenue AS DOUBLE)) AS revenue, format('${:,.2f}', CAST(cost AS DOUBLE)) AS cost,
        format('${:,.2f}', CAST(profit AS DOUBLE)) AS profit, format('{:,}', sales_volume) AS sales
        FROM (SELECT * FROM facts ORDER BY date DESC, department, id LIMIT 50)""",
+    "csv_ingest_roundtrip": _with(RAW, INGESTED) + STORED_ROWS,
+    "csv_ingest_rejects": _with(RAW) + "SELECT raw, regexp_replace(error, '^Row [0-9]+: ', '') AS problem FROM bad",
+    "stream_ingest": _with(RAW, INGESTED) + STORED_ROWS,
+    "stream_alerts": _with(RAW, INGESTED, EVALUATED.replace("FROM facts", "FROM uploaded"))
+    + "SELECT type, message, severity, department, FALSE AS is_read FROM fired",
+    "ledger_updates": _with(FACTS, CHANGES) + f"SELECT {KEYED} FROM updated",
+    "ledger_deletes": _with(FACTS, CHANGES)
+    + f"SELECT {KEYED} FROM facts WHERE id NOT IN (SELECT id FROM changes WHERE date IS NOT NULL)",
 }
+ORACLE_SQL["report_files"] = ORACLE_SQL["report_records"]
+ORACLE_SQL["report_files_departments"] = ORACLE_SQL["report_departments"]

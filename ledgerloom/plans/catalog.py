@@ -263,13 +263,13 @@ def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
 
 
 def _uploaded(spark: SparkSession, folder: str) -> Ledger:
-    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=4)
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=2)
     upload(ledger, _written_uploads(spark, folder), 1, VIEWER, AS_OF)
     return ledger
 
 
 def _streamed(spark: SparkSession, folder: str) -> Ledger:
-    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=4)
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=2)
     batch = 1
     for path in _written_uploads(spark, folder):
         query = uploads.start(ledger, path, work_folder(spark, "progress"), VIEWER, batch, clock=lambda: AS_OF)
@@ -280,7 +280,7 @@ def _streamed(spark: SparkSession, folder: str) -> Ledger:
 
 def _stored(spark: SparkSession, folder: str) -> Ledger:
     """The fact table as the first batch of a ledger."""
-    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=4)
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=1)
     ledger.publish(1, ledger.write_version(adapter.business_data(spark, folder), 1))
     return ledger
 

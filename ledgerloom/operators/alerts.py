@@ -72,7 +72,9 @@ def suppress(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates without an open (unread) alert of the same type and department.
 
     A revenue drop is matched on its type only. Open alerts are reduced to their
-    distinct keys before the join, however often one of them was raised.
+    distinct keys before the join, however often one of them was raised. An outer
+    join is used because an anti join would be pushed below the union of the rules,
+    where the constant type leaves no key to join on.
     """
     whole_company = F.col("type") == "revenue_drop"
     open_keys = (
@@ -84,7 +86,8 @@ def suppress(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         .distinct()
     )
     same = (F.col("type") == F.col("open_type")) & F.col("department").eqNullSafe(F.col("open_department"))
-    return candidates.join(open_keys, same, "left_anti")
+    matched = candidates.join(open_keys, same, "left")
+    return matched.filter(F.col("open_type").isNull()).drop("open_type", "open_department")
 
 
 def new_alerts(df: DataFrame, existing: DataFrame, created_at: dt.datetime, **thresholds) -> DataFrame:

@@ -18,11 +18,11 @@ def _problem(typed: Column, raw: Column, what: str) -> Column:
 
 
 def validate(raw: DataFrame, seed: bool = False) -> DataFrame:
-    """Types the seven text columns and adds ``errors``, empty on good rows.
+    """Types the seven text columns and adds ``accepted``, ``errors`` and ``raw``.
 
-    The raw texts of a bad row are kept in ``raw`` for the reject table. Rows are
-    atomic: one bad field rejects the row. A column ``malformed`` that is true
-    marks a line with more fields than its header.
+    ``errors`` lists what is wrong with a row, ``raw`` keeps a bad row's texts for the
+    reject table. Rows are atomic: one bad field rejects the row. A column
+    ``malformed`` that is true marks a line with more fields than its header.
     """
     typed = {
         "date": coercion.strict_date(F.col("date")) if seed else coercion.lenient_date(F.col("date")),
@@ -44,22 +44,22 @@ def validate(raw: DataFrame, seed: bool = False) -> DataFrame:
     problems = [_problem(F.col(c), F.col(f"_raw.{c}"), c.replace("_", " ")) for c in RAW]
     problems.append(F.when(F.col("malformed"), F.lit("more fields than columns")))
     errors = F.array_compact(F.array(*problems))
+    texts = F.concat_ws(",", *[F.coalesce(f"_raw.{c}", F.lit("")) for c in RAW])
     return (
         staged.withColumn("errors", errors)
-        .withColumn(
-            "raw", F.when(F.size("errors") > 0, F.concat_ws(",", *[F.coalesce(f"_raw.{c}", F.lit("")) for c in RAW]))
-        )
+        .withColumn("accepted", F.size("errors") == 0)
+        .withColumn("raw", F.when(~F.col("accepted"), texts))
         .drop("_raw", "malformed")
     )
 
 
 def accepted(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.size("errors") == 0).drop("errors", "raw")
+    return validated.filter("accepted").drop("accepted", "errors", "raw")
 
 
 def rejected(validated: DataFrame) -> DataFrame:
     """Every bad row with its line number, texts and message."""
-    return validated.filter(F.size("errors") > 0).select(
+    return validated.filter(~F.col("accepted")).select(
         "file_no",
         "line",
         "raw",
@@ -99,30 +99,32 @@ def first_per_key(rows: DataFrame) -> DataFrame:
     )
 
 
-def file_outcomes(files: DataFrame, rows: DataFrame, rejects: DataFrame, new_keys: DataFrame) -> DataFrame:
+def row_counts(validated: DataFrame) -> DataFrame:
+    """Accepted rows and errors per file."""
+    return validated.groupBy("file_no").agg(
+        F.count_if(F.col("accepted")).alias("records_count"), F.count_if(~F.col("accepted")).alias("errors")
+    )
+
+
+def file_outcomes(files: DataFrame, counts: DataFrame, new_keys: DataFrame) -> DataFrame:
     """Added, updated and rejected counts and the status of every file.
 
-    ``files`` has one row per file (file_no, filename, problem); ``new_keys`` one row
-    per newly created key with the ``first_file`` it came from. Each input is
-    counted per file before it is joined.
+    ``files`` has one row per file (file_no, filename, problem), ``counts`` its
+    records_count and errors, ``new_keys`` one row per newly created key with the
+    ``first_file`` it came from. All are one row per file when they are joined.
     """
-    counted = [
-        rows.groupBy("file_no").agg(F.count("*").alias("_accepted")),
-        rejects.groupBy("file_no").agg(F.count("*").alias("_errors")),
-        new_keys.groupBy(F.col("first_file").alias("file_no")).agg(F.count("*").alias("_added")),
-    ]
-    out = files
-    for part in counted:
-        out = out.join(part, "file_no", "left")
+    added = new_keys.groupBy(F.col("first_file").alias("file_no")).agg(F.count("*").alias("records_added"))
     zero = F.lit(0).cast("bigint")
+    out = files.join(counts, "file_no", "left").join(added, "file_no", "left")
+    count, new = F.coalesce("records_count", zero), F.coalesce("records_added", zero)
     out = out.select(
         "file_no",
         "filename",
         "problem",
-        F.coalesce("_added", zero).alias("records_added"),
-        (F.coalesce("_accepted", zero) - F.coalesce("_added", zero)).alias("records_updated"),
-        F.coalesce("_accepted", zero).alias("records_count"),
-        F.coalesce("_errors", zero).alias("errors"),
+        new.alias("records_added"),
+        (count - new).alias("records_updated"),
+        count.alias("records_count"),
+        F.coalesce("errors", zero).alias("errors"),
     )
     status = F.when(F.col("problem").isNotNull(), "failed").when(F.col("errors") > 0, "partial").otherwise("success")
     return out.withColumn("status", status)

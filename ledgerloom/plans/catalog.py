@@ -180,8 +180,8 @@ def ingest_file_status(spark: SparkSession, folder: str) -> DataFrame:
     raw = adapter.raw_uploads(configure(spark), folder)
     files = raw.select("file_no", "filename", F.lit(None).cast("string").alias("problem")).distinct()
     validated = ingest.validate(raw)
-    rows = ingest.accepted(validated)
-    outcomes = ingest.file_outcomes(files, rows, ingest.rejected(validated), ingest.last_per_key(rows))
+    new_keys = ingest.last_per_key(ingest.accepted(validated))
+    outcomes = ingest.file_outcomes(files, ingest.row_counts(validated), new_keys)
     return outcomes.drop("file_no", "problem")
 
 

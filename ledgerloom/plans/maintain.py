@@ -11,14 +11,13 @@ from ledgerloom.operators import merge
 from ledgerloom.operators.alerts import new_alerts
 from ledgerloom.operators.filters import unread
 from ledgerloom.session import work_folder
-from ledgerloom.sources.ledger import Ledger, Piece
+from ledgerloom.sources.ledger import Ledger, State
 
 
-def _rewrite(ledger: Ledger, batch_no: int, touched: set[tuple[str, int]], change, as_of: dt.datetime) -> None:
-    old = [p for p in ledger.pieces() if (p.ym, p.bucket) in touched]
-    written = ledger.write_version(change(ledger.read(old).drop("ym", "bucket")), batch_no)
-    after: list[Piece] = ledger.replaced(touched, written)
-    ledger.log("alerts", batch_no, new_alerts(ledger.read(after), ledger.alerts(), as_of))
+def _rewrite(ledger: Ledger, state: State, batch_no: int, touched: set[tuple[str, int]], change, as_of: dt.datetime) -> None:
+    old = ledger.read(state.only(touched)).drop("ym", "bucket")
+    after = state.without(touched) + ledger.write_version(change(old), batch_no)
+    ledger.log("alerts", batch_no, new_alerts(ledger.read(after), ledger.alerts(state.batch_no), as_of))
     ledger.publish(batch_no, after)
 
 
@@ -28,53 +27,53 @@ def apply_updates(ledger: Ledger, changes: DataFrame, batch_no: int, as_of: dt.d
     Pieces that hold an edited record and pieces a record moves to are rewritten;
     the change set is written once so that every step sees the same one.
     """
-    if batch_no <= ledger.last_batch():
+    state = ledger.state()
+    if batch_no <= state.batch_no:
         return False
     path = f"{work_folder(ledger.spark, f'updates-{batch_no}')}/changes"
     merge.combine_changes(changes, merge.EDITABLE).withColumn("seq", F.lit(0)).write.parquet(path)
     combined = ledger.spark.read.parquet(path)
     new = combined.select("id", F.col("date").alias("_date"), F.col("department").alias("_department"))
-    hit = ledger.read().select("id", "date", "department", "ym", "bucket").join(new, "id")
+    hit = ledger.read(state.pieces).select("id", "date", "department", "ym", "bucket").join(new, "id")
     target = ledger.placed(
         hit.select(
             F.coalesce("_date", "date").alias("date"), F.coalesce("_department", "department").alias("department")
         )
     )
     touched = ledger.touched(hit.select("ym", "bucket").unionByName(target.select("ym", "bucket")))
-    _rewrite(ledger, batch_no, touched, lambda rows: merge.update_records(rows, combined), as_of)
+    _rewrite(ledger, state, batch_no, touched, lambda rows: merge.update_records(rows, combined), as_of)
     return True
 
 
 def apply_deletes(ledger: Ledger, ids: DataFrame, batch_no: int, as_of: dt.datetime) -> bool:
     """Deletes records by id; only pieces that hold one of them are rewritten."""
-    if batch_no <= ledger.last_batch():
+    state = ledger.state()
+    if batch_no <= state.batch_no:
         return False
     path = f"{work_folder(ledger.spark, f'deletes-{batch_no}')}/ids"
     ids.select("id").distinct().write.parquet(path)
     listed = ledger.spark.read.parquet(path)
-    touched = ledger.touched(ledger.read().join(listed, "id", "left_semi"))
-    _rewrite(ledger, batch_no, touched, lambda rows: merge.delete_by_id(rows, listed), as_of)
+    touched = ledger.touched(ledger.read(state.pieces).join(listed, "id", "left_semi"))
+    _rewrite(ledger, state, batch_no, touched, lambda rows: merge.delete_by_id(rows, listed), as_of)
     return True
 
 
-def _same_rows(ledger: Ledger, batch_no: int) -> None:
-    ledger.publish(batch_no, ledger.pieces())
-
-
 def run_alerts(ledger: Ledger, batch_no: int, as_of: dt.datetime) -> bool:
     """Evaluates the rules on the whole table."""
-    if batch_no <= ledger.last_batch():
+    state = ledger.state()
+    if batch_no <= state.batch_no:
         return False
-    ledger.log("alerts", batch_no, new_alerts(ledger.read(), ledger.alerts(), as_of))
-    _same_rows(ledger, batch_no)
+    ledger.log("alerts", batch_no, new_alerts(ledger.read(state.pieces), ledger.alerts(state.batch_no), as_of))
+    ledger.publish(batch_no, state.pieces)
     return True
 
 
 def mark_alerts_read(ledger: Ledger, ids: DataFrame | None, batch_no: int) -> bool:
     """Marks the listed alerts, or all unread ones, as read."""
-    if batch_no <= ledger.last_batch():
+    state = ledger.state()
+    if batch_no <= state.batch_no:
         return False
-    marked = unread(ledger.alerts()) if ids is None else ids
+    marked = unread(ledger.alerts(state.batch_no)) if ids is None else ids
     ledger.log("alert_marks", batch_no, marked.select(F.col("id").cast("bigint").alias("id")))
-    _same_rows(ledger, batch_no)
+    ledger.publish(batch_no, state.pieces)
     return True

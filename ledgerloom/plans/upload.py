@@ -15,19 +15,22 @@ from ledgerloom.sources import csv_files
 from ledgerloom.sources.ledger import Ledger
 
 
-def stage(ledger: Ledger, files: list[csv_files.SourceFile], work: str, seed: bool) -> DataFrame:
-    """Validated, numbered rows of all usable files.
+def stage(
+    ledger: Ledger, files: list[csv_files.SourceFile], work: str, seed: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Validated, numbered rows of all usable files, and row counts per file.
 
-    The text is parsed once and written as parquet in the shared work folder;
-    everything that follows reads that table.
+    The text is parsed once and written as parquet in the shared work folder, good
+    and bad rows apart; everything that follows reads that table.
     """
     spark = ledger.spark
     validated = ingest.validate(csv_files.scan(spark, files), seed)
-    validated.write.parquet(f"{work}/rows")
-    rows = spark.read.parquet(f"{work}/rows")
+    validated.write.partitionBy("accepted").parquet(f"{work}/rows")
+    rows = spark.read.schema(validated.schema).parquet(f"{work}/rows")
     csv_files.block_offsets(rows, csv_files.file_frame(spark, files)).write.parquet(f"{work}/blocks")
     blocks = spark.read.parquet(f"{work}/blocks")
-    return csv_files.number_rows(rows, blocks, blocks.count())
+    counts = blocks.groupBy("file_no").agg(F.sum("records_count").alias("records_count"), F.sum("errors").alias("errors"))
+    return csv_files.number_rows(rows, blocks, blocks.count()), counts
 
 
 def upload(
@@ -44,12 +47,13 @@ def upload(
     load only inserts unknown ones, the first row winning. Running a batch again
     after a failure replaces whatever the failed attempt wrote.
     """
-    if batch_no <= ledger.last_batch():
+    last = ledger.last_batch()
+    if batch_no <= last:
         return False
     spark = ledger.spark
     work = work_folder(spark, f"upload-{batch_no}")
     files = csv_files.inventory(spark, sources, seed)
-    rows = stage(ledger, files, work, seed)
+    rows, counts = stage(ledger, files, work, seed)
     good, bad = ingest.accepted(rows), ingest.rejected(rows)
 
     reduced = ingest.first_per_key(good) if seed else ingest.last_per_key(good)
@@ -57,8 +61,8 @@ def upload(
     keys = spark.read.parquet(f"{work}/keys")
 
     touched = ledger.touched(keys)
-    before = ledger.pieces()
-    current = ledger.read([p for p in before if (p.ym, p.bucket) in touched])
+    state = ledger.state(last)
+    current = ledger.read(state.only(touched))
     combine = merge.insert_if_absent if seed else merge.upsert
     merged = combine(
         current.drop("ym", "bucket"),
@@ -67,14 +71,14 @@ def upload(
         merge.moment(as_of),
         F.lit(uploaded_by).cast("bigint"),
     )
-    after = ledger.replaced(touched, ledger.write_version(merged, batch_no))
+    after = state.without(touched) + ledger.write_version(merged, batch_no)
 
     new_keys = keys.join(current.select("date", "department"), ["date", "department"], "left_anti")
     named = csv_files.file_frame(spark, files)
-    outcomes = ingest.file_outcomes(named, good, bad, new_keys)
+    outcomes = ingest.file_outcomes(named, counts, new_keys)
     ledger.log("rejects", batch_no, bad.join(named.select("file_no", "filename"), "file_no"))
     ledger.log("upload_history", batch_no, history_rows(outcomes, bad, batch_no, uploaded_by, as_of, seed))
-    ledger.log("alerts", batch_no, new_alerts(ledger.read(after), ledger.alerts(), as_of))
+    ledger.log("alerts", batch_no, new_alerts(ledger.read(after), ledger.alerts(last), as_of))
     ledger.publish(batch_no, after)
     return True
 

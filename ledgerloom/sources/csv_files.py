@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.headers import SEED_DEFAULTS, Layout, layout_of
 from ledgerloom.operators.ingest import RAW
+from ledgerloom.sources.tables import local_frame
 
 # Admitted extensions. Workbooks are admitted but no reader for them
 # exists here, so they are reported as failed.
@@ -26,6 +27,15 @@ WORKBOOKS = {"xlsx", "xls"}
 # (about 100 bytes a row); a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+FILES = T.StructType(
+    [
+        T.StructField("file_no", T.LongType()),
+        T.StructField("uri", T.StringType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("problem", T.StringType()),
+    ]
+)
+
 
 @dataclass(frozen=True)
 class SourceFile:
@@ -71,7 +81,7 @@ def inventory(spark: SparkSession, sources: list[str], seed: bool = False) -> li
     """Every file below the sources, in upload order, with its layout or its problem.
 
     This is metadata: one path and one header line per file, as Spark's own file
-    index keeps on the driver anyway.
+    index keeps on the driver anyway. The index leaves out files of zero bytes.
     """
     found: list[tuple[str, str, str]] = []
     for source in sources:
@@ -79,9 +89,9 @@ def inventory(spark: SparkSession, sources: list[str], seed: bool = False) -> li
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .load(_literal(source))
-            .select("path", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_name").alias("name"))
+            .select("path", F.col("_metadata.file_path").alias("uri"))
         )
-        found.extend(sorted((r.path, r.uri, r.name) for r in listed.collect()))
+        found.extend(sorted((r.path, r.uri, r.path.rsplit("/", 1)[-1]) for r in listed.collect()))
     readable = [path for path, _, name in found if _extension(name) in READABLE]
     headers = {r.uri: r.header for r in header_lines(spark, readable).collect()} if readable else {}
 
@@ -99,8 +109,10 @@ def inventory(spark: SparkSession, sources: list[str], seed: bool = False) -> li
 
 
 def file_frame(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    schema = "file_no long, uri string, filename string, problem string"
-    return spark.createDataFrame([(f.file_no, f.uri, f.filename, f.layout.problem) for f in files], schema)
+    rows = [
+        {"file_no": f.file_no, "uri": f.uri, "filename": f.filename, "problem": f.layout.problem} for f in files
+    ]
+    return local_frame(spark, rows, FILES)
 
 
 def _scan(spark: SparkSession, layout: Layout, paths: list[str]) -> DataFrame:
@@ -159,25 +171,30 @@ def scan(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
 
 
 def block_offsets(staged: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per file block with the number of rows before it in the whole batch.
+    """One row per file block: its row counts and the number of rows before it in
+    the whole batch.
 
     Rows of one block are consecutive in ``row``. The frame has one row per
     128 MB of input (or per file), so the running sum over it is small.
     """
-    blocks = staged.groupBy("uri", "block_start").agg(F.min("row").alias("base"), F.count("*").alias("rows"))
+    blocks = staged.groupBy("uri", "block_start").agg(
+        F.min("row").alias("base"),
+        F.count_if(F.col("accepted")).alias("records_count"),
+        F.count_if(~F.col("accepted")).alias("errors"),
+    )
     before = Window.orderBy("file_no", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocks.join(files.select("uri", "file_no"), "uri")
-        .withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+        .withColumn("before", F.coalesce(F.sum(F.col("records_count") + F.col("errors")).over(before), F.lit(0)))
         .withColumn("file_first", F.min("before").over(Window.partitionBy("file_no")))
-        .select("uri", "block_start", "base", "before", "file_first", "file_no")
     )
 
 
 def number_rows(staged: DataFrame, blocks: DataFrame, block_count: int) -> DataFrame:
     """Adds ``file_no``, ``seq`` (place in the batch) and ``line`` (place in the file,
     the header being line 1)."""
-    side = F.broadcast(blocks) if block_count <= BROADCAST_ROWS else blocks
+    side = blocks.select("uri", "block_start", "base", "before", "file_first", "file_no")
+    side = F.broadcast(side) if block_count <= BROADCAST_ROWS else side
     seq = F.col("before") + F.col("row") - F.col("base")
     return (
         staged.join(side, ["uri", "block_start"])

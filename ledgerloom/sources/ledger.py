@@ -24,10 +24,12 @@ from ledgerloom.functions.measures import month_label
 from ledgerloom.operators.alerts import mark_read
 from ledgerloom.operators.filters import Scope, parse_day
 from ledgerloom.schema import ALERTS, BUSINESS_DATA, UPLOAD_HISTORY
+from ledgerloom.sources.tables import local_frame
 
 PIECES = T.StructType(
     [T.StructField("ym", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("held_by", T.LongType())]
 )
+SETTINGS = T.StructType([T.StructField("buckets", T.IntegerType())])
 STORED = T.StructType(
     [
         *BUSINESS_DATA,
@@ -53,6 +55,19 @@ class Piece(NamedTuple):
     held_by: int
 
 
+class State(NamedTuple):
+    """What one commit made current."""
+
+    batch_no: int
+    pieces: list[Piece]
+
+    def without(self, touched: set[tuple[str, int]]) -> list[Piece]:
+        return [p for p in self.pieces if (p.ym, p.bucket) not in touched]
+
+    def only(self, touched: set[tuple[str, int]]) -> list[Piece]:
+        return [p for p in self.pieces if (p.ym, p.bucket) in touched]
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, root: str, buckets: int):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -61,13 +76,13 @@ class Ledger:
     def create(cls, spark: SparkSession, root: str, buckets: int = 16) -> Ledger:
         """An empty table. ``buckets`` is fixed for its life."""
         ledger = cls(spark, root, buckets)
-        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{ledger.root}/settings")
+        local_frame(spark, [{"buckets": buckets}], SETTINGS).coalesce(1).write.parquet(f"{ledger.root}/settings")
         ledger.publish(0, [])
         return ledger
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Ledger:
-        buckets = spark.read.schema("buckets int").parquet(f"{root.rstrip('/')}/settings").first()["buckets"]
+        buckets = spark.read.schema(SETTINGS).parquet(f"{root.rstrip('/')}/settings").first()["buckets"]
         return cls(spark, root, buckets)
 
     # -- pieces ---------------------------------------------------------------
@@ -79,25 +94,34 @@ class Ledger:
         return df.withColumn("ym", month_label(F.col("date"))).withColumn("bucket", self.bucket_of(F.col("department")))
 
     def last_batch(self) -> int:
-        batches = self.spark.read.schema(_with_batch(PIECES)).parquet(f"{self.root}/current")
-        return batches.agg(F.max("batch")).first()[0] or 0
+        """Number of the last committed batch, from the names of the lists alone."""
+        lists = (
+            self.spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(f"{self.root}/current")
+        )
+        number = F.regexp_extract("path", r"/batch=(\d+)/[^/]*$", 1).cast("bigint")
+        return lists.select(number.alias("batch")).agg(F.max("batch")).first()[0] or 0
 
-    def pieces(self) -> list[Piece]:
-        """Current pieces: at most months x buckets names."""
-        latest = self.spark.read.schema(PIECES).parquet(f"{self.root}/current/batch={self.last_batch()}")
-        return [Piece(r.ym, r.bucket, r.held_by) for r in latest.filter(F.col("bucket") >= 0).collect()]
+    def state(self, batch_no: int | None = None) -> State:
+        """The last commit and its pieces: at most months x buckets names."""
+        last = self.last_batch() if batch_no is None else batch_no
+        listed = self.spark.read.schema(PIECES).parquet(f"{self.root}/current/batch={last}")
+        pieces = [Piece(r.ym, r.bucket, r.held_by) for r in listed.filter(F.col("bucket") >= 0).collect()]
+        return State(last, pieces)
 
     def publish(self, batch_no: int, pieces: list[Piece]) -> None:
         """Commit: the list of current pieces, written as one small file."""
         rows = list(pieces) or [Piece("", -1, 0)]
-        listed = self.spark.createDataFrame(rows, PIECES).coalesce(1)
+        listed = local_frame(self.spark, [dict(p._asdict()) for p in rows], PIECES).coalesce(1)
         listed.write.mode("overwrite").parquet(f"{self.root}/current/batch={batch_no}")
 
     # -- rows -----------------------------------------------------------------
 
     def read(self, pieces: list[Piece] | None = None) -> DataFrame:
         """Rows of the given (default: all current) pieces, with ym and bucket."""
-        chosen = self.pieces() if pieces is None else pieces
+        chosen = self.state().pieces if pieces is None else pieces
         if not chosen:
             return self.spark.createDataFrame([], STORED).drop("batch")
         base = f"{self.root}/data"
@@ -140,10 +164,6 @@ class Ledger:
         written = self.spark.read.schema(schema).parquet(folder)
         return [Piece(ym, bucket, batch_no) for ym, bucket in sorted(self.touched(written))]
 
-    def replaced(self, touched: set[tuple[str, int]], written: list[Piece]) -> list[Piece]:
-        """Current pieces once the touched ones are replaced by the written ones."""
-        return [p for p in self.pieces() if (p.ym, p.bucket) not in touched] + written
-
     # -- logs -----------------------------------------------------------------
 
     def log(self, name: str, batch_no: int, df: DataFrame) -> None:

@@ -1,10 +1,18 @@
-"""Parquet scans."""
+"""Parquet scans, and small frames from driver-side metadata."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a folder of ``<name>.parquet`` files; lazy, columns pruned by use."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A frame from a few rows of metadata, kept as a local relation in the plan."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)))

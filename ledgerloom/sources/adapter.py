@@ -21,6 +21,24 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 TOTAL = T.DecimalType(25, 2)
 
 
+def _hundredths(column: str) -> Column:
+    """A two-decimal amount as a whole number of hundredths.
+
+    Exact like a decimal, but every step of the hot loop stays a primitive long;
+    overflow is an error in ANSI mode, not a wrong result.
+    """
+    return F.floor(F.col(column) * 100 + 0.5)
+
+
+def _rounded_hundredths(scaled: str) -> Column:
+    """Ten-thousandths to hundredths, halves away from zero."""
+    return F.expr(f"({scaled} + if({scaled} < 0, -50, 50)) div 100")
+
+
+def _amount(hundredths: str) -> Column:
+    return (F.col(hundredths).cast("decimal(23,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(TOTAL).alias(hundredths)
+
+
 def business_data(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (ship date, priority).
 
@@ -30,33 +48,43 @@ def business_data(spark: SparkSession, folder: str) -> DataFrame:
     not concentrate rows.
     """
     lines = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey"),
-        F.col("l_partkey"),
-        F.col("l_suppkey"),
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
+        _hundredths("l_extendedprice").alias("price"),
+        (100 - _hundredths("l_discount")).alias("paid"),
     )
     orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("department"))
-    parts = table(spark, folder, "part").select("p_partkey", F.col("p_retailprice").cast(MONEY).alias("unit_cost"))
+    parts = table(spark, folder, "part").select("p_partkey", _hundredths("p_retailprice").alias("unit_cost"))
 
-    digit = F.substring("department", 1, 1).cast("int")
-    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-        orders, F.col("l_orderkey") == F.col("o_orderkey")
+    digit = F.substring("department", 1, 1).cast("bigint")
+    rows = (
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            "date",
+            "department",
+            "quantity",
+            "l_suppkey",
+            (F.col("price") * F.col("paid")).alias("discounted"),
+            (F.col("unit_cost") * F.col("quantity")).alias("cost"),
+            (F.col("price") * 9 * digit * digit).alias("overhead"),
+        )
     )
     totals = rows.groupBy("date", "department").agg(
-        F.sum(F.round(F.col("price") * (1 - F.col("discount")), 2)).cast(TOTAL).alias("revenue"),
-        F.sum(F.round(F.col("unit_cost") * F.col("quantity").cast("int"), 2)).cast(TOTAL).alias("cost"),
-        F.sum(F.round(F.col("price") * F.lit("0.09").cast("decimal(4,2)") * digit * digit, 2))
-        .cast(TOTAL)
-        .alias("expenses"),
+        F.sum(_rounded_hundredths("discounted")).alias("revenue"),
+        F.sum("cost").alias("cost"),
+        F.sum(_rounded_hundredths("overhead")).alias("expenses"),
         F.sum("quantity").alias("sales_volume"),
         F.min("l_suppkey").alias("created_by"),
     )
-    days = F.unix_date("date").cast("bigint")
-    return totals.select(
-        (days * 10 + digit).alias("id"),
+    amounts = totals.select(
+        "date", "department", "sales_volume", "created_by", *[_amount(c) for c in ("revenue", "cost", "expenses")]
+    )
+    return amounts.select(
+        (F.unix_date("date").cast("bigint") * 10 + digit).alias("id"),
         "date",
         "revenue",
         "cost",

@@ -13,7 +13,7 @@ from ledgerloom.functions.measures import (
     performance_label,
 )
 from ledgerloom.operators.filters import Scope, in_month
-from ledgerloom.operators.rollup import departmental, labelled, monthly_departmental
+from ledgerloom.operators.rollup import departmental, labelled, mean_row_margin, monthly_departmental
 
 
 def distribution(df: DataFrame, scope: Scope = Scope()) -> DataFrame:
@@ -27,13 +27,10 @@ def distribution(df: DataFrame, scope: Scope = Scope()) -> DataFrame:
 
 def profitability(df: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """Sums beside the mean of the row margins; rows without revenue have none."""
-    totals = (
-        scope.apply(df)
-        .groupBy("department")
-        .agg(
-            *[F.sum(c).alias(c) for c in ("revenue", "cost", "profit", "expenses")],
-            F.avg(percent_of(F.col("profit"), F.col("revenue"))).alias("mean_margin"),
-        )
+    rows = scope.apply(df)
+    totals = rows.groupBy("department").agg(
+        *[F.sum(c).alias(c) for c in ("revenue", "cost", "profit", "expenses")],
+        mean_row_margin(rows).alias("mean_margin"),
     )
     return totals.select(
         "department",

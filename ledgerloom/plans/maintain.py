@@ -17,7 +17,7 @@ from ledgerloom.sources.ledger import Ledger, State
 def _rewrite(ledger: Ledger, state: State, batch_no: int, touched: set[tuple[str, int]], change, as_of: dt.datetime) -> None:
     old = ledger.read(state.only(touched)).drop("ym", "bucket")
     after = state.without(touched) + ledger.write_version(change(old), batch_no)
-    ledger.log("alerts", batch_no, new_alerts(ledger.read(after), ledger.alerts(state.batch_no), as_of))
+    ledger.log("alerts", batch_no, new_alerts(ledger.cells(after), ledger.alerts(state.batch_no), as_of))
     ledger.publish(batch_no, after)
 
 
@@ -63,7 +63,7 @@ def run_alerts(ledger: Ledger, batch_no: int, as_of: dt.datetime) -> bool:
     state = ledger.state()
     if batch_no <= state.batch_no:
         return False
-    ledger.log("alerts", batch_no, new_alerts(ledger.read(state.pieces), ledger.alerts(state.batch_no), as_of))
+    ledger.log("alerts", batch_no, new_alerts(ledger.cells(state.pieces), ledger.alerts(state.batch_no), as_of))
     ledger.publish(batch_no, state.pieces)
     return True
 

@@ -78,7 +78,7 @@ def upload(
     outcomes = ingest.file_outcomes(named, counts, new_keys)
     ledger.log("rejects", batch_no, bad.join(named.select("file_no", "filename"), "file_no"))
     ledger.log("upload_history", batch_no, history_rows(outcomes, bad, batch_no, uploaded_by, as_of, seed))
-    ledger.log("alerts", batch_no, new_alerts(ledger.read(after), ledger.alerts(last), as_of))
+    ledger.log("alerts", batch_no, new_alerts(ledger.cells(after), ledger.alerts(last), as_of))
     ledger.publish(batch_no, after)
     return True
 

@@ -1,6 +1,7 @@
 """The fact table as partitioned parquet that batches replace piece by piece.
 
     data/batch=N/ym=YYYY-MM/bucket=B/   rows a batch wrote; never changed afterwards
+    cells/batch=N/ym=YYYY-MM/bucket=B/  the same condensed per month and department
     current/batch=N/                    which batch holds each (ym, bucket) after batch N
     upload_history, rejects, alerts, alert_marks   one sub-folder per batch
 
@@ -8,7 +9,8 @@ A batch reads and rewrites only the pieces it touches, into a folder of its own.
 Writing its ``current`` list last is the commit; a batch that died before that is
 simply run again. Buckets split a month by department, so a month that holds a
 third of all rows is still many pieces, and a department has at most 31 rows in
-any of them. One writer at a time is assumed.
+any of them. Metrics and alert rules read the cells, so after a small upload only
+the touched months are read in full. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -23,12 +25,27 @@ from pyspark.sql import types as T
 from ledgerloom.functions.measures import month_label
 from ledgerloom.operators.alerts import mark_read
 from ledgerloom.operators.filters import Scope, parse_day
-from ledgerloom.schema import ALERTS, BUSINESS_DATA, UPLOAD_HISTORY
+from ledgerloom.operators.rollup import cells
+from ledgerloom.schema import ALERTS, BUSINESS_DATA, MEASURES, UPLOAD_HISTORY
 from ledgerloom.sources.tables import local_frame
 
 PIECES = T.StructType(
     [T.StructField("ym", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("held_by", T.LongType())]
 )
+CELLS = T.StructType(
+    [
+        T.StructField("date", T.DateType()),
+        T.StructField("department", T.StringType()),
+        *[T.StructField(m, T.DecimalType(25, 2)) for m in MEASURES[:4]],
+        T.StructField("sales_volume", T.LongType()),
+        T.StructField("records", T.LongType()),
+        T.StructField("margin_sum", T.DoubleType()),
+        T.StructField("margin_count", T.LongType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("ym", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
 SETTINGS = T.StructType([T.StructField("buckets", T.IntegerType())])
 STORED = T.StructType(
     [
@@ -119,14 +136,21 @@ class Ledger:
 
     # -- rows -----------------------------------------------------------------
 
-    def read(self, pieces: list[Piece] | None = None) -> DataFrame:
-        """Rows of the given (default: all current) pieces, with ym and bucket."""
+    def _pieces_of(self, name: str, schema: T.StructType, pieces: list[Piece] | None) -> DataFrame:
         chosen = self.state().pieces if pieces is None else pieces
         if not chosen:
-            return self.spark.createDataFrame([], STORED).drop("batch")
-        base = f"{self.root}/data"
+            return self.spark.createDataFrame([], schema).drop("batch")
+        base = f"{self.root}/{name}"
         paths = [f"{base}/batch={p.held_by}/ym={p.ym}/bucket={p.bucket}" for p in chosen]
-        return self.spark.read.schema(STORED).option("basePath", base).parquet(*paths).drop("batch")
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths).drop("batch")
+
+    def read(self, pieces: list[Piece] | None = None) -> DataFrame:
+        """Rows of the given (default: all current) pieces, with ym and bucket."""
+        return self._pieces_of("data", STORED, pieces)
+
+    def cells(self, pieces: list[Piece] | None = None) -> DataFrame:
+        """Monthly cells of the given (default: all current) pieces."""
+        return self._pieces_of("cells", CELLS, pieces)
 
     def scoped(self, scope: Scope = Scope()) -> DataFrame:
         """Rows in scope. The dates and the department also select pieces, so files
@@ -146,23 +170,38 @@ class Ledger:
         return {(r.ym, r.bucket) for r in placed.select("ym", "bucket").distinct().collect()}
 
     def write_version(self, df: DataFrame, batch_no: int) -> list[Piece]:
-        """Writes rows as the pieces of a batch and lists the non-empty ones.
-
-        The rebalance hint lets adaptive execution split big pieces over several
-        tasks and files and merge small ones.
-        """
-        folder = f"{self.root}/data/batch={batch_no}"
+        """Writes rows and their cells as the pieces of a batch; lists the non-empty ones."""
         rows = self.placed(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BUSINESS_DATA]))
+        self._write(rows, "data", batch_no, "department", "date")
+        stored = self.spark.read.schema(_without_batch(STORED)).parquet(f"{self.root}/data/batch={batch_no}")
+        condensed = cells(stored, "ym", "bucket")
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _without_batch(CELLS)]
+        self._write(condensed.select(*typed), "cells", batch_no, "department")
+        return self._written(batch_no)
+
+    def _write(self, df: DataFrame, name: str, batch_no: int, *order: str) -> None:
+        """The rebalance hint lets adaptive execution split big pieces over several
+        tasks and files and merge small ones."""
         (
-            rows.hint("rebalance", F.col("ym"), F.col("bucket"))
-            .sortWithinPartitions("ym", "bucket", "department", "date")
+            df.hint("rebalance", F.col("ym"), F.col("bucket"))
+            .sortWithinPartitions("ym", "bucket", *order)
             .write.mode("overwrite")
             .partitionBy("ym", "bucket")
-            .parquet(folder)
+            .parquet(f"{self.root}/{name}/batch={batch_no}")
         )
-        schema = T.StructType([f for f in STORED if f.name != "batch"])
-        written = self.spark.read.schema(schema).parquet(folder)
-        return [Piece(ym, bucket, batch_no) for ym, bucket in sorted(self.touched(written))]
+
+    def _written(self, batch_no: int) -> list[Piece]:
+        """Pieces of a batch, from the names of its files alone."""
+        listed = (
+            self.spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .load(f"{self.root}/cells/batch={batch_no}")
+            .select(
+                F.regexp_extract("path", r"/ym=([^/]+)/bucket=(\d+)/", 1).alias("ym"),
+                F.regexp_extract("path", r"/ym=([^/]+)/bucket=(\d+)/", 2).cast("int").alias("bucket"),
+            )
+        )
+        return [Piece(ym, bucket, batch_no) for ym, bucket in sorted(self.touched(listed))]
 
     # -- logs -----------------------------------------------------------------
 
@@ -193,5 +232,9 @@ class Ledger:
         return mark_read(self.logged("alerts", ALERTS, through), marks)
 
 
+def _without_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([f for f in schema if f.name != "batch"])
+
+
 def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema, T.StructField("batch", T.LongType())])

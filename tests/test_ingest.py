@@ -6,7 +6,7 @@ import random
 import pytest
 
 from ledgerloom.functions.headers import layout_of
-from ledgerloom.operators import ingest, merge, reports
+from ledgerloom.operators import alerts, departments, ingest, kpis, merge, reports, trends
 from ledgerloom.operators.filters import Scope
 from ledgerloom.plans import maintain
 from ledgerloom.plans.report import write_printable, write_report
@@ -307,6 +307,24 @@ def test_scope_prunes_pieces(spark, ledger, tmp_path):
     assert "ym" in filters and "bucket" in filters
 
 
+def test_cells_give_the_same_metrics_as_rows(spark, ledger, tmp_path):
+    lines = [
+        f"2024-0{m}-{d:02d},{(m * d * 37) % 900 - 20},{d},{(m * d * 13) % 500 - 90},{name},{d},{m}"
+        for m in range(1, 6) for d in range(1, 20, 3) for name in ("A", "B", "C")
+    ]
+    upload(ledger, [put(tmp_path / "a", "a.csv", HEADER, *lines, "2024-02-01,0,1,1,Z,1,1")], 1, 1, NOW)
+    upload(ledger, [put(tmp_path / "b", "b.csv", HEADER, "2024-03-01,5000,1,1,A,1,1", "2024-07-01,9,1,1,D,1,1")], 2, 1, NOW)
+    rows, cells = ledger.read(), ledger.cells()
+    assert cells.count() < rows.count()
+    metrics = [
+        kpis.kpi_summary, trends.revenue_trend, trends.monthly_growth, trends.monthly_growth_by_department,
+        departments.distribution, departments.profitability, departments.top_and_worst, departments.revenue_shares,
+        departments.report_summary, alerts.evaluate, lambda df: kpis.month_kpis(df, "2024-03"),
+    ]
+    for metric in metrics:
+        assert sorted(map(tuple, metric(rows).collect()), key=str) == sorted(map(tuple, metric(cells).collect()), key=str)
+
+
 def test_deletes_can_empty_a_piece(spark, ledger, tmp_path):
     ids = fill(ledger, tmp_path)
     gone = [i for (month, _), i in ids.items() if month == 2]

@@ -53,7 +53,7 @@ def _record_columns(df: DataFrame) -> DataFrame:
         "department",
         *[F.col(m).cast("double").alias(m) for m in MEASURES[:4]],
         F.col("sales_volume").cast("bigint").alias("sales_volume"),
-        F.col("created_by").cast("bigint").alias("created_by"),
+        F.col("created_by").cast("string").alias("owner"),
     )
 
 
@@ -215,7 +215,9 @@ def users_updated(spark: SparkSession, folder: str) -> DataFrame:
 def users_removed(spark: SparkSession, folder: str) -> DataFrame:
     users, facts = adapter.users(configure(spark), folder), adapter.business_data(spark, folder)
     removed = users.filter(~F.col("is_active"))
-    return merge.release_owner(facts, removed.select("id"), "created_by").select("id", "created_by")
+    return merge.release_owner(facts, removed.select("id"), "created_by").select(
+        "id", F.col("created_by").cast("string").alias("owner")
+    )
 
 
 def users_remaining(spark: SparkSession, folder: str) -> DataFrame:

@@ -198,7 +198,7 @@ ALERT = f"id, type, message, severity, department, is_read, {_iso('created_at')}
 USER = f"id, name, email, role, is_active, {_iso('created_at')} AS created_at, {_iso('last_login')} AS last_login"
 KEYED = """id, strftime(date, '%Y-%m-%d') AS date, department, CAST(revenue AS DOUBLE) AS revenue,
   CAST(cost AS DOUBLE) AS cost, CAST(expenses AS DOUBLE) AS expenses, CAST(profit AS DOUBLE) AS profit,
-  CAST(sales_volume AS BIGINT) AS sales_volume, CAST(created_by AS BIGINT) AS created_by"""
+  CAST(sales_volume AS BIGINT) AS sales_volume, CAST(created_by AS VARCHAR) AS owner"""
 
 PROFITABILITY = f"""
 rated AS (
@@ -267,7 +267,7 @@ uploaded AS (
 )"""
 STORED_ROWS = """
 SELECT strftime(date, '%Y-%m-%d') AS date, department, CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost,
-  CAST(expenses AS DOUBLE) AS expenses, CAST(profit AS DOUBLE) AS profit, sales_volume, CAST(7 AS BIGINT) AS created_by FROM uploaded"""
+  CAST(expenses AS DOUBLE) AS expenses, CAST(profit AS DOUBLE) AS profit, sales_volume, '7' AS owner FROM uploaded"""
 
 KPI_LINES = """
 SELECT CAST(line AS BIGINT) AS line, metric, value FROM (
@@ -468,7 +468,7 @@ ORACLE_SQL: dict[str, str] = {
                 arg_max(event_type = 'view', event_id) FILTER (WHERE event_type IN ('error', 'view')) AS is_active
          FROM events GROUP BY user_id) c ON u.id = c.user_id""",
     "users_removed": _with(FACTS, USERS)
-    + "SELECT id, CASE WHEN created_by NOT IN (SELECT id FROM users WHERE NOT is_active) THEN created_by END AS created_by FROM facts",
+    + "SELECT id, CASE WHEN created_by NOT IN (SELECT id FROM users WHERE NOT is_active) THEN CAST(created_by AS VARCHAR) END AS owner FROM facts",
     "users_remaining": _with(USERS) + "SELECT id, name, role FROM users WHERE is_active",
     "quality_checks": _with(FACTS, USERS, HISTORY)
     + """SELECT 'business_data.created_by references users' AS "check", (SELECT COUNT(*) FROM facts WHERE created_by NOT IN (SELECT id FROM users)) AS violations

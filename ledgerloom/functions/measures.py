@@ -6,8 +6,11 @@ doubles cast from exact sums, then rounded.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def percent_of(part: Column, whole: Column) -> Column:
@@ -62,3 +65,9 @@ def money_sum(name: str) -> Column:
 def as_double(*names: str) -> list[Column]:
     """Output form of exact money columns."""
     return [F.col(n).cast("double").alias(n) for n in names]
+
+
+def moment(value: dt.datetime, kind: T.DataType | str = "timestamp") -> Column:
+    """A timestamp literal. The value has no zone and means UTC, whatever the zone of
+    the machine that runs the driver."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(kind)

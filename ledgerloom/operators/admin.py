@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.display import iso
+from ledgerloom.functions.measures import moment
 
 
 def user_activity(users: DataFrame, history: DataFrame, facts: DataFrame) -> DataFrame:
@@ -39,7 +40,9 @@ def statistics(users: DataFrame, history: DataFrame, facts: DataFrame, as_of: dt
     Every table is reduced to one row on its own; the rows are stacked and added
     up, so no table is joined to another.
     """
-    week_ago = F.lit(as_of - dt.timedelta(days=days))
+    start = as_of - dt.timedelta(days=days)
+    login_from = moment(start, users.schema["last_login"].dataType)
+    upload_from = moment(start, history.schema["created_at"].dataType)
     zero = F.lit(0).cast("bigint")
     names = [
         "total_users",
@@ -53,12 +56,12 @@ def statistics(users: DataFrame, history: DataFrame, facts: DataFrame, as_of: dt
         users.agg(
             F.count("*").alias("total_users"),
             F.count_if(F.col("is_active")).alias("active_users"),
-            F.count_if(F.col("last_login") >= week_ago).alias("recent_logins_7days"),
+            F.count_if(F.col("last_login") >= login_from).alias("recent_logins_7days"),
         ),
         facts.agg(F.count("*").alias("total_data_records")),
         history.agg(
             F.count("*").alias("total_uploads"),
-            F.count_if(F.col("created_at") >= week_ago).alias("recent_uploads_7days"),
+            F.count_if(F.col("created_at") >= upload_from).alias("recent_uploads_7days"),
         ),
     ]
     stacked = None

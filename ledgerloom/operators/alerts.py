@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.measures import moment
 from ledgerloom.operators.departments import alert_totals
 from ledgerloom.operators.filters import unread
 from ledgerloom.operators.rollup import latest_growth, monthly
@@ -94,8 +95,8 @@ def new_alerts(df: DataFrame, existing: DataFrame, created_at: dt.datetime, **th
     """Alert rows to append. The id is a positive hash of what identifies the alert:
     its type, its department and the moment it was raised."""
     raised = suppress(evaluate(df, **thresholds), existing)
-    moment = F.lit(created_at).cast("timestamp")
-    identity = F.xxhash64("type", F.coalesce("department", F.lit("")), moment)
+    raised_at = moment(created_at)
+    identity = F.xxhash64("type", F.coalesce("department", F.lit("")), raised_at)
     return raised.select(
         identity.bitwiseAND(F.lit(2**63 - 1)).alias("id"),
         "type",
@@ -103,7 +104,7 @@ def new_alerts(df: DataFrame, existing: DataFrame, created_at: dt.datetime, **th
         "severity",
         "department",
         F.lit(False).alias("is_read"),
-        moment.alias("created_at"),
+        raised_at.alias("created_at"),
     )
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.measures import moment
+
 
 def parse_day(value: str | dt.date | None) -> dt.date | None:
     if value is None or value == "":
@@ -72,7 +74,8 @@ def in_month(df: DataFrame, month: str | dt.date) -> DataFrame:
 
 
 def since(df: DataFrame, column: str, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    return df.filter(F.col(column) >= F.lit(as_of - dt.timedelta(days=days)))
+    start = moment(as_of - dt.timedelta(days=days), df.schema[column].dataType)
+    return df.filter(F.col(column) >= start)
 
 
 def unread(alerts: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +129,3 @@ def release_owner(children: DataFrame, removed: DataFrame, column: str) -> DataF
     gone = removed.select(F.col("id").alias("_gone")).distinct()
     kept = F.when(F.col("_gone").isNull(), F.col(column))
     return children.join(gone, F.col(column) == F.col("_gone"), "left").withColumn(column, kept).drop("_gone")
-
-
-def moment(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp")

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.headers import normalise
+from ledgerloom.functions.measures import moment
 from ledgerloom.operators import admin, alerts, departments, ingest, kpis, listing, merge, quality, reports, trends
 from ledgerloom.operators.filters import Scope, active, by_id, since, unread, visible_to
-from ledgerloom.functions.headers import normalise
 from ledgerloom.plans import maintain, procedures
 from ledgerloom.plans.report import write_report
 from ledgerloom.plans.upload import upload
@@ -142,14 +143,14 @@ def alerts_mark_all_read(spark: SparkSession, folder: str) -> DataFrame:
 def upsert_last_wins(spark: SparkSession, folder: str) -> DataFrame:
     current = adapter.business_data(configure(spark), folder)
     keys = ingest.last_per_key(adapter.order_batch(spark, folder))
-    owner, now = F.lit(VIEWER).cast("bigint"), F.lit(AS_OF).cast("timestamp_ntz")
+    owner, now = F.lit(VIEWER).cast("bigint"), moment(AS_OF, "timestamp_ntz")
     return _record_columns(merge.upsert(current, keys, 1, now, owner))
 
 
 def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     current = adapter.business_data(configure(spark), folder)
     keys = ingest.first_per_key(adapter.order_batch(spark, folder))
-    owner, now = F.lit(None).cast("bigint"), F.lit(AS_OF).cast("timestamp_ntz")
+    owner, now = F.lit(None).cast("bigint"), moment(AS_OF, "timestamp_ntz")
     return _record_columns(merge.insert_if_absent(current, keys, 1, now, owner))
 
 

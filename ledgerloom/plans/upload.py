@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.measures import moment
 from ledgerloom.operators import ingest, merge
 from ledgerloom.operators.alerts import new_alerts
 from ledgerloom.schema import UPLOAD_HISTORY
@@ -68,7 +69,7 @@ def upload(
         current.drop("ym", "bucket"),
         keys.drop("ym", "bucket", "first_file"),
         batch_no,
-        merge.moment(as_of),
+        moment(as_of),
         F.lit(uploaded_by).cast("bigint"),
     )
     after = state.without(touched) + ledger.write_version(merged, batch_no)
@@ -98,7 +99,7 @@ def history_rows(
             "status",
             F.coalesce("problem", "error_message").alias("error_message"),
             F.lit(uploaded_by).cast("bigint").alias("uploaded_by"),
-            merge.moment(as_of).alias("created_at"),
+            moment(as_of).alias("created_at"),
         )
         .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in UPLOAD_HISTORY])
     )

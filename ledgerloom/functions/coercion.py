@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.schema import MONEY
 
-# Accepted date patterns, tried in this order (month before day).
+ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
+
+# Further date patterns, tried in this order (month before day).
 DATE_PATTERNS = [
-    "yyyy-M-d",
     "yyyy/M/d",
     "yyyy.M.d",
     "M/d/yyyy",
@@ -52,13 +53,15 @@ MISSING_TEXTS = [
 
 
 def strict_date(text: Column) -> Column:
-    """Only yyyy-MM-dd."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    """Year, month and day joined by hyphens only."""
+    return F.when(text.rlike(ISO_DAY), text.try_cast("date"))
 
 
 def lenient_date(text: Column) -> Column:
+    """The usual form is a plain cast; only other texts go through the pattern parsers."""
     trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(p)).cast("date") for p in DATE_PATTERNS])
+    parsed = [F.try_to_timestamp(trimmed, F.lit(p)).cast("date") for p in DATE_PATTERNS]
+    return F.when(trimmed.rlike(ISO_DAY), trimmed.try_cast("date")).otherwise(F.coalesce(*parsed))
 
 
 def money(text: Column) -> Column:
@@ -68,7 +71,8 @@ def money(text: Column) -> Column:
 
 def whole_number(text: Column) -> Column:
     """Integer, fractions cut off toward zero."""
-    return F.trim(text).try_cast("decimal(38,18)").try_cast("bigint")
+    trimmed = F.trim(text)
+    return F.coalesce(trimmed.try_cast("bigint"), trimmed.try_cast("decimal(38,18)").try_cast("bigint"))
 
 
 def strict_whole_number(text: Column) -> Column:

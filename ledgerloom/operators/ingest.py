@@ -43,11 +43,16 @@ def validate(raw: DataFrame, seed: bool = False) -> DataFrame:
     )
     problems = [_problem(F.col(c), F.col(f"_raw.{c}"), c.replace("_", " ")) for c in RAW]
     problems.append(F.when(F.col("malformed"), F.lit("more fields than columns")))
-    errors = F.array_compact(F.array(*problems))
+    complete = ~F.col("malformed")
+    for c in RAW:
+        complete = complete & F.col(c).isNotNull()
     texts = F.concat_ws(",", *[F.coalesce(f"_raw.{c}", F.lit("")) for c in RAW])
     return (
-        staged.withColumn("errors", errors)
-        .withColumn("accepted", F.size("errors") == 0)
+        staged.withColumn("accepted", complete)
+        .withColumn(
+            "errors",
+            F.when(F.col("accepted"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*problems))),
+        )
         .withColumn("raw", F.when(~F.col("accepted"), texts))
         .drop("_raw", "malformed")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.headers import normalise
 from ledgerloom.functions.measures import moment
-from ledgerloom.operators import admin, alerts, departments, ingest, kpis, listing, merge, quality, reports, trends
+from ledgerloom.operators import admin, alerts, departments, ingest, kpis, listing, merge, quality, reports, rollup, trends
 from ledgerloom.operators.filters import Scope, active, by_id, since, unread, visible_to
 from ledgerloom.plans import maintain, procedures
 from ledgerloom.plans.report import write_report
@@ -24,6 +24,7 @@ from ledgerloom.streaming import uploads
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.datetime(2024, 1, 31)
+LAYOUT_CHANGE = dt.date(2024, 1, 16)
 SCOPE = Scope(start="1997-01-15", end="1999-06-30", department="2-HIGH")
 MONTH = "1998-03"
 VIEWER = 7
@@ -236,7 +237,8 @@ def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
-    """The raw uploads as CSV folders, one per day, in two column orders.
+    """The raw uploads as CSV folders, one per day: the days before the change in one
+    column order, the others in another.
 
     Rows are range-partitioned by day and line, so a day may be several files whose
     names are in line order, and no day has to fit one task.
@@ -248,9 +250,10 @@ def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
     ]
     titles = {normalise(t): column for t, column in UPLOAD_COLUMNS.items()}
     written = []
-    for parity, layout in enumerate(layouts):
-        path = work_folder(spark, f"uploads-{parity}")
-        rows = raw.filter(F.col("file_no") % 2 == parity).repartitionByRange("file_no", "seq")
+    early = F.col("file_no") < F.unix_date(F.lit(LAYOUT_CHANGE))
+    for number, (period, layout) in enumerate(zip((early, ~early), layouts)):
+        path = work_folder(spark, f"uploads-{number}")
+        rows = raw.filter(period).repartitionByRange("file_no", "seq")
         columns = [F.col(titles[normalise(title)]).alias(title) for title in layout]
         (
             rows.sortWithinPartitions("file_no", "seq")
@@ -297,6 +300,18 @@ def csv_ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.select("raw", F.regexp_replace("error", "^Row [0-9]+: ", "").alias("problem"))
 
 
+def csv_ingest_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Records over all logged files (how many files there are is up to the partitioning)."""
+    return _uploaded(spark, folder).upload_history().agg(F.sum("records_count").alias("records"))
+
+
+def seed_load(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files as a seed load: strict texts, first row wins, no owner."""
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=2)
+    upload(ledger, _written_uploads(spark, folder), 1, None, AS_OF, seed=True)
+    return _record_columns(ledger.read()).drop("id", "owner")
+
+
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return _record_columns(_streamed(spark, folder).read()).drop("id")
 
@@ -336,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "kpi_summary": _facts(kpis.kpi_summary),
     "kpi_summary_filtered": _facts(lambda df: kpis.kpi_summary(df, SCOPE)),
     "kpi_summary_owner": kpi_summary_owner,
+    "kpi_summary_cells": _facts(lambda df: kpis.kpi_summary(rollup.cells(df))),
     "kpi_month": _facts(lambda df: kpis.month_kpis(df, MONTH)),
     "revenue_trend": _facts(trends.revenue_trend),
     "revenue_trend_filtered": _facts(lambda df: trends.revenue_trend(df, SCOPE)),
@@ -345,6 +361,7 @@ QUERIES: dict[str, Query] = {
     "monthly_growth_by_department": _facts(trends.monthly_growth_by_department),
     "department_distribution": _facts(departments.distribution),
     "department_profitability": _facts(departments.profitability),
+    "department_profitability_cells": _facts(lambda df: departments.profitability(rollup.cells(df))),
     "department_labels": _facts(departments.labels),
     "top_worst_department": _facts(departments.top_and_worst),
     "month_breakdown": _facts(lambda df: departments.month_breakdown(df, MONTH)),
@@ -406,6 +423,8 @@ QUERIES: dict[str, Query] = {
     "report_files_departments": report_files_departments,
     "csv_ingest_roundtrip": csv_ingest_roundtrip,
     "csv_ingest_rejects": csv_ingest_rejects,
+    "csv_ingest_history": csv_ingest_history,
+    "seed_load": seed_load,
     "stream_ingest": stream_ingest,
     "stream_alerts": stream_alerts,
     "ledger_updates": ledger_updates,

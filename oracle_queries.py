@@ -503,5 +503,14 @@ ORACLE_SQL: dict[str, str] = {
     "ledger_deletes": _with(FACTS, CHANGES)
     + f"SELECT {KEYED} FROM facts WHERE id NOT IN (SELECT id FROM changes WHERE date IS NOT NULL)",
 }
+ORACLE_SQL["csv_ingest_history"] = _with(RAW) + "SELECT COUNT(*) AS records FROM good"
+ORACLE_SQL["seed_load"] = (
+    _with(RAW)
+    + """SELECT strftime(date, '%Y-%m-%d') AS date, department, CAST(arg_min(revenue, line) AS DOUBLE) AS revenue, CAST(arg_min(cost, line) AS DOUBLE) AS cost,
+       CAST(arg_min(expenses, line) AS DOUBLE) AS expenses, CAST(arg_min(profit, line) AS DOUBLE) AS profit, arg_min(sales_volume, line) AS sales_volume
+       FROM good WHERE r_sales_volume NOT LIKE '%.%' GROUP BY date, department"""
+)
+ORACLE_SQL["kpi_summary_cells"] = ORACLE_SQL["kpi_summary"]
+ORACLE_SQL["department_profitability_cells"] = ORACLE_SQL["department_profitability"]
 ORACLE_SQL["report_files"] = ORACLE_SQL["report_records"]
 ORACLE_SQL["report_files_departments"] = ORACLE_SQL["report_departments"]

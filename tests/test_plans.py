@@ -10,8 +10,8 @@ from ledgerloom.sources import adapter
 from conftest import SMALL
 
 WRITING = {
-    "report_files", "report_files_departments", "csv_ingest_roundtrip", "csv_ingest_rejects", "stream_ingest",
-    "stream_alerts", "ledger_updates", "ledger_deletes",
+    "report_files", "report_files_departments", "csv_ingest_roundtrip", "csv_ingest_rejects", "csv_ingest_history",
+    "seed_load", "stream_ingest", "stream_alerts", "ledger_updates", "ledger_deletes",
 }
 
 

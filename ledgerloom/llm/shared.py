@@ -35,3 +35,8 @@ def ascii_lower(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(text)
+
+
+def broadcast_up_to(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame, with a broadcast hint only if it was counted and is that small."""
+    return F.broadcast(frame) if frame.count() <= rows else frame

@@ -39,7 +39,10 @@ WORDS = 5
 PERCENT = 80
 ROWS = 5
 MISS = 1e-7
-BLOCK = 128
+# Members per block: of signatures (some 150 bytes each), and of full sets, which must
+# not exceed the second bound in shingles (8 bytes each) together.
+SIGNATURE_BLOCK = 1024
+SET_BLOCK, SET_SHINGLES = 512, 2_000_000
 
 # Two longs each: up to about 50 MB as a hash table.
 BROADCAST_REPS = 1_000_000
@@ -189,13 +192,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _blocks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
-    """Members (bucket, n, rep, label) with their payload, dealt to all pairs of blocks of their bucket.
+def _blocks(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members (bucket, blocks, rep, label) with their payload, dealt to all pairs of blocks of their bucket.
 
     Rows are sorted so that one (bucket, low, high) lies together in its partition.
     """
-    count = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = members.select("bucket", "rep", "label", count.alias("blocks")).withColumn(
+    own = members.select("bucket", "rep", "label", F.col("blocks").cast("int").alias("blocks")).withColumn(
         "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     )
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -206,7 +208,7 @@ def _blocks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
     return dealt.join(payload, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
-def _suspects(members: DataFrame, signatures: DataFrame, floor: float, block: int) -> DataFrame:
+def _suspects(members: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
     """(bucket, rep) of members whose signature resembles one of another component there."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def _suspects(members: DataFrame, signatures: DataFrame, floor: float, block: in
             if near.any():
                 yield group.select(["bucket", "rep"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
 
-    return _blocks(members, signatures, block).mapInArrow(compare, "bucket long, rep long").distinct()
+    return _blocks(members, signatures).mapInArrow(compare, "bucket long, rep long").distinct()
 
 
 def common_counts(sets: list[np.ndarray], width: int = 16384) -> np.ndarray:
@@ -245,7 +247,7 @@ def common_counts(sets: list[np.ndarray], width: int = 16384) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) by full sets between different components of a bucket, as many as join them."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +278,11 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return _blocks(members, sets, block).mapInArrow(compare, "a long, b long").distinct()
+    return _blocks(members, sets).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, n, rep, label) of buckets with several components; one of buckets with the same members."""
+    """(bucket, blocks, rep, label) of buckets with several components; one of buckets with the same members."""
     labelled = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", F.coalesce("label", "rep").alias("label")
     )
@@ -292,10 +294,11 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
     )
     once = several.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return labelled.join(once.select("bucket", "n"), "bucket")
+    blocks = F.ceil(F.col("n") / F.lit(SIGNATURE_BLOCK)).alias("blocks")
+    return labelled.join(once.select("bucket", blocks), "bucket")
 
 
-def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) per document row.
 
     Two documents are linked if their shingle sets' intersection is at least ``percent``
@@ -315,10 +318,11 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, blo
         "classes",
     )
     # A doc_id that represents several classes stands for the one with the smallest key.
-    leading = classes.groupBy("rep").agg(F.min("text_key").alias("text_key"))
-    chosen = rows.join(leading.withColumnRenamed("rep", "doc_id"), ["doc_id", "text_key"], "left_semi").dropDuplicates(
-        ["doc_id"]
-    )
+    leading = classes.groupBy("rep").agg(F.min(F.struct("text_key", "n_shingles")).alias("least"))
+    leading = leading.select("rep", "least.*")
+    chosen = rows.join(
+        leading.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi"
+    ).dropDuplicates(["doc_id"])
 
     banded = chosen.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
     centers = banded.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
@@ -334,10 +338,11 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, blo
     labels = components(star.toDF("u", "v"))
 
     mixed = stored(_mixed(shared.select("bucket", "rep"), labels), "mixed")
-    suspects = stored(_suspects(mixed, signatures, floor, block), "suspects")
-    rest = mixed.drop("n").join(suspects, ["bucket", "rep"], "left_semi")
-    sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    more = _links(sized, sets, percent, block)
+    suspects = stored(_suspects(mixed, signatures, floor), "suspects")
+    rest = mixed.drop("blocks").join(suspects, ["bucket", "rep"], "left_semi")
+    size = rest.join(sharing.select("rep", "n_shingles"), "rep").groupBy("bucket")
+    count = F.greatest(F.count("*") / F.lit(SET_BLOCK), F.sum("n_shingles") / F.lit(SET_SHINGLES))
+    more = _links(rest.join(size.agg(F.ceil(count).alias("blocks")), "bucket"), sets, percent)
     labels = components(star.union(more).toDF("u", "v"))
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(

@@ -1,16 +1,63 @@
-"""The corpus pipeline; its stages are added as their operators are built."""
+"""The corpus pipeline: filter by quality, drop near duplicates and contaminated documents,
+redact secrets, pack.
+
+A stage takes what its predecessor kept. All but the last return the columns of documents
+(and any further ones they were given); the last returns the pieces of the packed
+sequences. Rows with null or empty texts pass every stage unless the quality classifier
+rejects them; repeated rows are reduced to one by the second stage; without documents
+nothing comes out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import decontamination, near_dedup, packing, quality, secret_scan
 from ledgerloom.llm.shared import stored, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-# Models and tokenizers take part, which SQL cannot express; tests compare with brute force.
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.7 or more, by a classifier trained on their labels."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, with the smallest doc_id, of each group of near duplicates."""
+    return near_dedup.drop_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth are windows of the benchmark."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by its kind; ``n_chars`` follows the text."""
+    clean = secret_scan.redact(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    n_chars = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents in sequences of 1024 ids."""
+    return packing.report(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+# A trained model and a tokenizer take part, which SQL cannot express; the tests compare
+# every stage with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import ascii_lower, text_key
+from ledgerloom.llm.shared import ascii_lower, broadcast_up_to, stored, text_key
 
 WINDOW = 13
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,6 +29,9 @@ CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # joins shuffle.
 BROADCAST_WINDOWS = 200_000
 
+# Findings of so many documents, some 100 bytes each, are broadcast to the documents.
+BROADCAST_FINDINGS = 500_000
+
 
 def words_of(text: Column, gap: str = GAP) -> Column:
     """The words of a whole text in order; none for null."""
@@ -146,29 +149,32 @@ def scan(
     )
 
 
-def _with_findings(documents: DataFrame, findings: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents with columns of their findings as ``_found``."""
-    one_each = findings.dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.struct(*columns).alias("_found")
+def _same(documents: DataFrame) -> Column:
+    """Joins rows with their findings, whose keys have a leading underscore."""
+    return documents["doc_id"].eqNullSafe(F.col("_doc_id")) & (text_key(documents["text"]) == F.col("_text_key"))
+
+
+def _keyed(findings: DataFrame) -> DataFrame:
+    """Each finding once, broadcast if they are few enough."""
+    once = stored(findings.dropDuplicates(["doc_id", "text_key"]), "findings")
+    return broadcast_up_to(
+        once.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"}), BROADCAST_FINDINGS
     )
-    same = documents["doc_id"].eqNullSafe(F.col("_doc_id")) & (text_key(documents["text"]) == F.col("_text_key"))
-    return documents.join(one_each, same, "left").drop("_doc_id", "_text_key")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents``, all columns, that are not contaminated."""
-    bad = scan(documents, benchmark, **options).where("contaminated").select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")
-    )
-    same = documents["doc_id"].eqNullSafe(F.col("_doc_id")) & (text_key(documents["text"]) == F.col("_text_key"))
-    return documents.join(bad, same, "left_anti")
+    bad = scan(documents, benchmark, **options).where("contaminated").select("doc_id", "text_key")
+    return documents.join(_keyed(bad), _same(documents), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents with the hit words cut out of their texts, each with what follows it
     up to the next word. Other columns stay; ``text`` of clean rows is unchanged."""
-    findings = scan(documents, benchmark, **options).where("n_hit > 0")
-    joined = _with_findings(documents, findings, ["hit_runs", "n_words"])
+    findings = scan(documents, benchmark, **options).where("n_hit > 0").select(
+        "doc_id", "text_key", F.struct("hit_runs", "n_words").alias("_found")
+    )
+    joined = documents.join(_keyed(findings), _same(documents), "left")
     words, gaps = words_of(F.col("text"), CASED_GAP), F.split("text", CASED_WORD, -1)
     # Piece 0 is what precedes the first word, piece k the k-th word and what follows it.
     pieces = F.concat(

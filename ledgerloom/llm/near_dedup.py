@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -368,25 +368,31 @@ def drop_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
 
     Of repeated rows one stays. Only rows that are repeated are shuffled with their texts.
     """
-    found = groups(documents, words, percent)
-    keys: list[str | Column] = ["doc_id", "text_key"]
-    kept = stored(
-        found.where("kept").groupBy(*keys).agg(F.count("*").alias("copies"), F.max("n_shingles").alias("size")), "kept"
+    found = stored(groups(documents, words, percent).drop("component_id"), "groups")
+    keys = ["doc_id", "text_key"]
+    # A doc_id on several texts of one group keeps the one with the smallest key.
+    first = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(
+        F.min("text_key").alias("first")
+    )
+    later = found.where("kept AND n_shingles > 0").join(first, "doc_id").where("text_key <> first")
+    removed = stored(found.where("NOT kept").select(*keys).union(later.select(*keys)).distinct(), "removed")
+    repeated = stored(
+        found.where("kept AND n_shingles > 0").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys),
+        "repeated",
     )
-    # The smallest doc_id may sit on several texts of one group: the smallest key stays.
-    first = kept.where("doc_id IS NOT NULL AND size > 0").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    unique = kept.where("doc_id IS NULL OR size = 0").select(*keys).union(first.select(*keys))
-    repeated = kept.where("copies > 1 AND size > 0").select(*keys)
 
     def matching(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        side = side.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"))
+        side = broadcast_up_to(side.toDF("_doc_id", "_text_key"), BROADCAST_REPS)
         same = rows["doc_id"].eqNullSafe(F.col("_doc_id")) & (text_key(rows["text"]) == F.col("_text_key"))
         return rows.join(side, same, how)
 
-    staying = matching(documents, unique, "left_semi")
-    single = matching(staying, repeated, "left_anti")
+    staying = matching(documents, removed, "left_anti")
+    if repeated.isEmpty():
+        return staying
     several = matching(staying, repeated, "left_semi").withColumn("_text_key", text_key(F.col("text")))
-    return single.union(several.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))
+    return matching(staying, repeated, "left_anti").union(
+        several.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    )
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, near_dedup, packing, quality, secret_scan, toxicity
+from ledgerloom.llm import decontamination, near_dedup, packing, quality, secret_scan, toxicity, warc
 from ledgerloom.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, near_dedup, packing, quality, secret_scan, toxicity, warc
+from ledgerloom.llm import decontamination, licences, near_dedup, packing, quality, secret_scan, toxicity, warc
 from ledgerloom.llm.shared import table
 
 
@@ -36,6 +36,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -44,6 +48,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_licences": op10_licences,
 }
 
 _WORDS = r"""list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

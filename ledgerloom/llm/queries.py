@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, licences, near_dedup, packing, quality, secret_scan, toxicity, warc
+from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, quality, secret_scan, toxicity, warc
 from ledgerloom.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
+    "op4_neighbours": op4_neighbours,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, quality, secret_scan, toxicity, warc
+from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, quality, repeats, secret_scan, toxicity, warc
 from ledgerloom.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_neighbours": op4_neighbours,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,

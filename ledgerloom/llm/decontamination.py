@@ -149,44 +149,43 @@ def scan(
     )
 
 
-def _same(documents: DataFrame) -> Column:
-    """Joins rows with their findings, whose keys have a leading underscore."""
-    return documents["doc_id"].eqNullSafe(F.col("_doc_id")) & (text_key(documents["text"]) == F.col("_text_key"))
+def _same(documents: DataFrame, findings: DataFrame) -> Column:
+    """Joins rows with their findings; columns are told by their frame, whatever their names."""
+    return documents["doc_id"].eqNullSafe(findings["doc_id"]) & (text_key(documents["text"]) == findings["text_key"])
 
 
-def _keyed(findings: DataFrame) -> DataFrame:
+def _once(findings: DataFrame) -> DataFrame:
     """Each finding once, broadcast if they are few enough."""
-    once = stored(findings.dropDuplicates(["doc_id", "text_key"]), "findings")
-    return broadcast_up_to(
-        once.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"}), BROADCAST_FINDINGS
-    )
+    return broadcast_up_to(stored(findings.dropDuplicates(["doc_id", "text_key"]), "findings"), BROADCAST_FINDINGS)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents``, all columns, that are not contaminated."""
-    bad = scan(documents, benchmark, **options).where("contaminated").select("doc_id", "text_key")
-    return documents.join(_keyed(bad), _same(documents), "left_anti")
+    bad = _once(scan(documents, benchmark, **options).where("contaminated").select("doc_id", "text_key"))
+    return documents.join(bad, _same(documents, bad), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents with the hit words cut out of their texts, each with what follows it
     up to the next word. Other columns stay; ``text`` of clean rows is unchanged."""
-    findings = scan(documents, benchmark, **options).where("n_hit > 0").select(
-        "doc_id", "text_key", F.struct("hit_runs", "n_words").alias("_found")
-    )
-    joined = documents.join(_keyed(findings), _same(documents), "left")
-    words, gaps = words_of(F.col("text"), CASED_GAP), F.split("text", CASED_WORD, -1)
+    findings = scan(documents, benchmark, **options).where("n_hit > 0")
+    side = _once(findings.select("doc_id", "text_key", F.struct("hit_runs", "n_words").alias("found")))
+    text, found = documents["text"], side["found"]
+    words, gaps = words_of(text, CASED_GAP), F.split(text, CASED_WORD, -1)
     # Piece 0 is what precedes the first word, piece k the k-th word and what follows it.
-    pieces = F.concat(
-        F.slice(gaps, 1, 1), F.transform(words, lambda word, i: F.concat(word, F.get(gaps, i + 1)))
-    )
-    runs, n = F.col("_found.hit_runs"), F.col("_found.n_words").cast("int")
+    pieces = F.concat(F.slice(gaps, 1, 1), F.transform(words, lambda word, i: F.concat(word, F.get(gaps, i + 1))))
+    runs, n = found["hit_runs"], found["n_words"].cast("int")
     kept_from = F.concat(F.array(F.lit(0)), F.transform(runs, lambda run: run["end"]))
     kept_to = F.concat(F.transform(runs, lambda run: run["at"]), F.array(n + 1))
-    kept = F.zip_with(kept_from, kept_to, lambda a, b: F.slice(F.col("_pieces"), a + 1, b - a))
-    cut = joined.withColumn("_pieces", F.when(F.col("_found").isNotNull(), pieces))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), ""))
-    return cut.withColumn("text", text).select(*documents.columns)
+    kept = F.zip_with(kept_from, kept_to, lambda a, b: F.struct((a + 1).alias("at"), (b - a).alias("length")))
+    joined = documents.join(side, _same(documents, side), "left").select(
+        *[documents[name] for name in documents.columns if name != "text"],
+        text.alias("text"),
+        F.when(found.isNotNull(), F.struct(pieces.alias("pieces"), kept.alias("kept"))).alias("__cut"),
+    )
+    cut = F.transform("__cut.kept", lambda run: F.slice(F.col("__cut.pieces"), run["at"], run["length"]))
+    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(cut), ""))
+    return joined.withColumn("text", clean).select(*documents.columns)
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -382,16 +382,16 @@ def drop_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     )
 
     def matching(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        side = broadcast_up_to(side.toDF("_doc_id", "_text_key"), BROADCAST_REPS)
-        same = rows["doc_id"].eqNullSafe(F.col("_doc_id")) & (text_key(rows["text"]) == F.col("_text_key"))
+        side = broadcast_up_to(side, BROADCAST_REPS)
+        same = rows["doc_id"].eqNullSafe(side["doc_id"]) & (text_key(rows["text"]) == side["text_key"])
         return rows.join(side, same, how)
 
     staying = matching(documents, removed, "left_anti")
     if repeated.isEmpty():
         return staying
-    several = matching(staying, repeated, "left_semi").withColumn("_text_key", text_key(F.col("text")))
+    several = matching(staying, repeated, "left_semi").withColumn("__text_key", text_key(F.col("text")))
     return matching(staying, repeated, "left_anti").union(
-        several.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+        several.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
     )
 
 

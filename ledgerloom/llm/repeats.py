@@ -119,10 +119,6 @@ def _all_stretches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, text_key long, start long, count long, anchor long, bytes_key long")
 
 
-def _same(rows: DataFrame) -> object:
-    return rows["doc_id"].eqNullSafe(F.col("_doc_id")) & (rows["text_key"] == F.col("_text_key"))
-
-
 _CLASS = "anchor long, single boolean, crowded boolean, start long, count long"
 _PIECE = f"doc_id long, text_key long, {_CLASS}, piece binary"
 
@@ -132,9 +128,7 @@ def _pieces(rows: DataFrame, classes: DataFrame) -> DataFrame:
     listed = classes.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("anchor", "single", "crowded", "start", "count")).alias("classes")
     )
-    side = listed.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
-    if classes.count() <= BROADCAST_CLASSES:
-        side = F.broadcast(side)
+    side = F.broadcast(listed) if classes.count() <= BROADCAST_CLASSES else listed
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +142,8 @@ def _pieces(rows: DataFrame, classes: DataFrame) -> DataFrame:
                     names=["doc_id", "text_key", *own.schema.names, "piece"],
                 )
 
-    joined = rows.join(side, _same(rows)).select("doc_id", "text_key", "text", "classes")
+    same = rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["text_key"] == side["text_key"])
+    joined = rows.join(side, same).select(rows["doc_id"], rows["text_key"], "text", "classes")
     return joined.mapInArrow(cut, _PIECE)
 
 
@@ -302,16 +297,15 @@ def cut_out(text: bytes, windows: list[tuple[int, int]]) -> tuple[bytes, int, in
 
 
 def _with_spans(documents: DataFrame) -> DataFrame:
-    """The documents with their spans; names of added columns start with an underscore."""
-    side = spans(documents).toDF("_doc_id", "_text_key", "_spans")
-    same = documents["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
-    return documents.join(side, same & (text_key(documents["text"]) == F.col("_text_key")), "left").drop(
-        "_doc_id", "_text_key"
-    )
+    """The documents with their spans as ``__spans``."""
+    side = spans(documents)
+    same = documents["doc_id"].cast("long").eqNullSafe(side["doc_id"])
+    joined = documents.join(side, same & (text_key(documents["text"]) == side["text_key"]), "left")
+    return joined.select(*[documents[name] for name in documents.columns], side["spans"].alias("__spans"))
 
 
 def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, tuple[bytes, int, int]]]:
-    for text, own in zip(_texts(batch), batch.column("_spans").to_pylist()):
+    for text, own in zip(_texts(batch), batch.column("__spans").to_pylist()):
         yield text, cut_out(text, [(s["first"], s["last"]) for s in own or []])
 
 

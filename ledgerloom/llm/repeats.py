@@ -42,9 +42,8 @@ CHUNK = 1_000_000  # windows; positions in a chunk take 24 bits
 MOST_CLASSES = 20_000
 TASK_BYTES = 400_000  # of text per suffix array, if no single anchor has more
 
-# One long each, some 30 bytes as a hash table; a class is about 80 bytes.
+# One long each, some 30 bytes as a hash table.
 BROADCAST_ANCHORS = 2_000_000
-BROADCAST_CLASSES = 400_000
 
 _LOW = U64(2**24 - 1)
 
@@ -128,7 +127,6 @@ def _pieces(rows: DataFrame, classes: DataFrame) -> DataFrame:
     listed = classes.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("anchor", "single", "crowded", "start", "count")).alias("classes")
     )
-    side = F.broadcast(listed) if classes.count() <= BROADCAST_CLASSES else listed
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +140,8 @@ def _pieces(rows: DataFrame, classes: DataFrame) -> DataFrame:
                     names=["doc_id", "text_key", *own.schema.names, "piece"],
                 )
 
-    same = rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["text_key"] == side["text_key"])
-    joined = rows.join(side, same).select(rows["doc_id"], rows["text_key"], "text", "classes")
+    same = rows["doc_id"].eqNullSafe(listed["doc_id"]) & (rows["text_key"] == listed["text_key"])
+    joined = rows.join(listed, same).select(rows["doc_id"], rows["text_key"], "text", "classes")
     return joined.mapInArrow(cut, _PIECE)
 
 
@@ -332,6 +330,8 @@ def remove(documents: DataFrame) -> DataFrame:
     A cut inside a character leaves bytes of it, which are replaced as invalid ones are.
     """
 
+    names = documents.columns
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
@@ -340,7 +340,7 @@ def remove(documents: DataFrame) -> DataFrame:
             ]
             at = batch.schema.get_field_index("text")
             whole = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield whole.select(documents.columns)
+            yield whole.select(names)
 
     return _with_spans(documents).mapInArrow(apply, documents.schema)
 

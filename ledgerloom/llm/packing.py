@@ -39,6 +39,7 @@ LENGTH = 1024
 RUN = 16
 END = 0
 REMEMBERED = 400_000
+SEQUENCES = 64  # per partition, at least
 
 _BUCKETS, _DIRECTIONS, _BITS = 128, 3, 16
 
@@ -210,7 +211,10 @@ def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGT
     """
     rows = stored(tokenized(documents, tokenizer, with_ids), "tokenized")
     order = ["hilbert", "doc_id", "row"]
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A partition leaves one sequence unfinished, so small tables get fewer of them.
+    total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
+    most = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, total // (length * SEQUENCES)))
     sorted_rows = (
         rows.withColumn("row", F.monotonically_increasing_id())
         .repartitionByRange(parts, *order)

@@ -27,14 +27,3 @@ def docs(spark):
         return spark.createDataFrame(data, schema)
 
     return build
-
-
-def auc(scores, labels):
-    """Share of (positive, negative) pairs in the right order; ties count half."""
-    import numpy as np
-
-    scores, labels = np.asarray(scores, float), np.asarray(labels)
-    values, where, count = np.unique(scores, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(count) - (count - 1) / 2)[where]
-    positive = int((labels == 1).sum())
-    return (rank[labels == 1].sum() - positive * (positive + 1) / 2) / (positive * (len(labels) - positive))

@@ -12,8 +12,16 @@ BATCH_SHIFT = 40
 
 
 def new_id(batch_no: int, seq: Column) -> Column:
-    """Id of a row first seen as row ``seq`` of a batch: unique without a global counter."""
-    return F.lit(batch_no << BATCH_SHIFT).cast("bigint") + seq
+    """Id of a row first seen as row ``seq`` of a batch: unique without a global counter.
+
+    A row number or batch number that does not fit fails the job: its id would be that of
+    another batch's row. A larger upload has to be split into several batches.
+    """
+    if not 0 <= batch_no < 1 << (63 - BATCH_SHIFT):
+        raise ValueError(f"batch number {batch_no} does not fit an id")
+    fits = (seq >= 0) & (seq < F.lit(1 << BATCH_SHIFT))
+    failure = F.raise_error(F.lit(f"batch {batch_no} has more than 2**{BATCH_SHIFT} rows; split it")).cast("bigint")
+    return F.when(fits, F.lit(batch_no << BATCH_SHIFT).cast("bigint") + seq).otherwise(failure)
 
 
 def upsert(

@@ -251,6 +251,7 @@ def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
     titles = {normalise(t): column for t, column in UPLOAD_COLUMNS.items()}
     written = []
     early = F.col("file_no") < F.unix_date(F.lit(LAYOUT_CHANGE))
+    early = F.coalesce(early, F.lit(False))
     for number, (period, layout) in enumerate(zip((early, ~early), layouts)):
         path = work_folder(spark, f"uploads-{number}")
         rows = raw.filter(period).repartitionByRange("file_no", "seq")
@@ -276,11 +277,12 @@ def _uploaded(spark: SparkSession, folder: str) -> Ledger:
 
 def _streamed(spark: SparkSession, folder: str) -> Ledger:
     ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=2)
-    batch = 1
     for path in _written_uploads(spark, folder):
-        query = uploads.start(ledger, path, work_folder(spark, "progress"), VIEWER, batch, clock=lambda: AS_OF)
+        # The files are written in parallel, so their names say the order, not their times.
+        query = uploads.start(
+            ledger, path, work_folder(spark, "progress"), VIEWER, clock=lambda: AS_OF, order="name"
+        )
         query.awaitTermination()
-        batch = ledger.last_batch() + 1
     return ledger
 
 

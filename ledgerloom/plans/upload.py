@@ -41,8 +41,11 @@ def upload(
     uploaded_by: int | None,
     as_of: dt.datetime,
     seed: bool = False,
+    origin: tuple[str, int] | None = None,
 ) -> bool:
-    """Ingests all files below ``sources`` as one batch; False if it was already done.
+    """Ingests all files below ``sources`` as one batch; False if that number was taken.
+
+    ``origin`` is the (stream, epoch) the batch comes from, kept with its commit.
 
     An upload updates known (date, department) keys, the last row winning; a seed
     load only inserts unknown ones, the first row winning. Running a batch again
@@ -80,6 +83,8 @@ def upload(
     ledger.log("rejects", batch_no, bad.join(named.select("file_no", "filename"), "file_no"))
     ledger.log("upload_history", batch_no, history_rows(outcomes, bad, batch_no, uploaded_by, as_of, seed))
     ledger.log("alerts", batch_no, new_alerts(ledger.cells(after), ledger.alerts(last), as_of))
+    if origin is not None:
+        ledger.log_epoch(batch_no, *origin)
     ledger.publish(batch_no, after)
     return True
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,22 +49,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "led
     return spark
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """Path of a new folder for written intermediate tables.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own: executors on
-    other machines could not read one.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, or else
+    in the warehouse, which executors share as well; never in a machine's own folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if context.applicationId not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
-        shared = _LOCAL_FOLDERS[context.applicationId]
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

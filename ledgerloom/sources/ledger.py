@@ -3,7 +3,7 @@
     data/batch=N/ym=YYYY-MM/bucket=B/   rows a batch wrote; never changed afterwards
     cells/batch=N/ym=YYYY-MM/bucket=B/  the same condensed per month and department
     current/batch=N/                    which batch holds each (ym, bucket) after batch N
-    upload_history, rejects, alerts, alert_marks   one sub-folder per batch
+    upload_history, rejects, alerts, alert_marks, stream_epochs   one sub-folder per batch
 
 A batch reads and rewrites only the pieces it touches, into a folder of its own.
 Writing its ``current`` list last is the commit; a batch that died before that is
@@ -55,6 +55,7 @@ STORED = T.StructType(
         T.StructField("bucket", T.IntegerType()),
     ]
 )
+EPOCHS = T.StructType([T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType())])
 REJECTS = T.StructType(
     [
         T.StructField("filename", T.StringType()),
@@ -220,6 +221,16 @@ class Ledger:
             return self.spark.createDataFrame([], schema)
         return rows.filter(F.col("batch") <= limit).drop("batch")
 
+    def log_epoch(self, batch_no: int, stream: str, epoch: int) -> None:
+        """Notes which micro-batch a batch is; it counts once the batch is published."""
+        row = local_frame(self.spark, [{"stream": stream, "epoch": epoch}], EPOCHS).coalesce(1)
+        self.log("stream_epochs", batch_no, row)
+
+    def has_epoch(self, stream: str, epoch: int) -> bool:
+        """Whether that micro-batch of that stream was committed."""
+        same = (F.col("stream") == stream) & (F.col("epoch") == epoch)
+        return not self.logged("stream_epochs", EPOCHS).filter(same).isEmpty()
+
     def upload_history(self) -> DataFrame:
         return self.logged("upload_history", UPLOAD_HISTORY)
 

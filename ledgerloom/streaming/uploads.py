@@ -1,9 +1,11 @@
 """Continuous ingest: new files in a folder run through the upload job.
 
-The stream only discovers files (path and length, no content), exactly once by
+The stream only discovers files (path, length and time, no content), exactly once by
 its checkpoint. Every micro-batch then is an ordinary upload batch, so mixed
-layouts, rejects, history and alerts work as in batch, and a micro-batch that is
-replayed after a failure finds its batch number committed or writes it anew.
+layouts, rejects, history and alerts work as in batch. It takes the next free batch number
+when it runs, so edits, read marks and alert runs may commit in between; which (stream,
+epoch) a batch was is part of its commit, so a micro-batch that is replayed after a
+failure is skipped only if that very one was committed.
 """
 
 from __future__ import annotations
@@ -17,17 +19,18 @@ from ledgerloom.plans.upload import upload
 from ledgerloom.sources.ledger import Ledger
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+ORDERS = {"arrival": ["modificationTime", "path"], "name": ["path"]}
 
 
 def discover(ledger: Ledger, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of file paths; the content column is pruned, so files are only listed."""
+    """Stream of files; the content column is pruned, so files are only listed."""
     return (
         ledger.spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select("path")
+        .select("path", "modificationTime")
     )
 
 
@@ -40,21 +43,28 @@ def start(
     folder: str,
     checkpoint: str,
     uploaded_by: int | None,
-    first_batch: int,
     files_per_batch: int = 1000,
     interval: str | None = None,
     clock=_now,
+    order: str = "arrival",
 ) -> StreamingQuery:
-    """Starts the stream; micro-batch n is upload batch ``first_batch + n``.
+    """Starts the stream; every micro-batch is the ledger's next upload batch.
 
+    Files of a micro-batch are taken in the order of their arrival, as micro-batches are,
+    so the newest upload of a key wins whatever ``files_per_batch`` is. With ``order``
+    "name" they are taken by path, for folders whose names say the order and that are
+    complete before the stream starts.
     With ``interval`` (such as '60 seconds') it keeps polling, without it handles
     what is there and stops. Alerts are evaluated inside every batch.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        paths = sorted(r.path for r in batch.collect())
-        if paths:
-            upload(ledger, paths, first_batch + epoch, uploaded_by, clock())
+        paths = [r.path for r in batch.sort(*ORDERS[order]).collect()]
+        if not paths or ledger.has_epoch(checkpoint, epoch):
+            return
+        if not upload(ledger, paths, ledger.last_batch() + 1, uploaded_by, clock(), origin=(checkpoint, epoch)):
+            # Failing keeps the checkpoint where it is: the files are taken up again.
+            raise RuntimeError("another writer committed meanwhile; restart the stream")
 
     writer = discover(ledger, folder, files_per_batch).writeStream.foreachBatch(apply)
     writer = writer.option("checkpointLocation", checkpoint)

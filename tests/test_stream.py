@@ -12,7 +12,7 @@ NOW = dt.datetime(2024, 6, 1)
 
 
 def run(ledger, folder, tmp_path, **options):
-    query = uploads.start(ledger, folder, str(tmp_path / "progress"), 3, 1, clock=lambda: NOW, **options)
+    query = uploads.start(ledger, folder, str(tmp_path / "progress"), 3, clock=lambda: NOW, **options)
     query.awaitTermination()
 
 
@@ -43,10 +43,59 @@ def test_one_file_per_batch_keeps_arrival_order(spark, tmp_path):
     assert stored(ledger) == {("2024-01-01", "A"): (3, 3, 3)}
 
 
+def test_the_newest_upload_wins_at_any_batch_size(spark, tmp_path):
+    for size in (1, 1000):
+        ledger = Ledger.create(spark, str(tmp_path / f"ledger-{size}"), buckets=1)
+        folder = put(tmp_path / f"in-{size}", "z.csv", HEADER, "2024-01-01,1,0,1,A,0,1")
+        put(tmp_path / f"in-{size}", "a.csv", HEADER, "2024-01-01,2,0,2,A,0,2")
+        os.utime(tmp_path / f"in-{size}" / "z.csv", (1_700_000_000, 1_700_000_000))
+        os.utime(tmp_path / f"in-{size}" / "a.csv", (1_700_000_001, 1_700_000_001))
+        query = uploads.start(ledger, folder, str(tmp_path / f"progress-{size}"), 3, size, clock=lambda: NOW)
+        query.awaitTermination()
+        assert stored(ledger) == {("2024-01-01", "A"): (2, 2, 3)}
+
+
+def test_other_jobs_may_commit_between_runs(spark, tmp_path):
+    from ledgerloom.plans import maintain
+
+    ledger = Ledger.create(spark, str(tmp_path / "ledger"), buckets=1)
+    folder = put(tmp_path / "in", "1.csv", HEADER, "2024-01-01,100,0,5,A,0,1")
+    run(ledger, folder, tmp_path)
+    first = ledger.read().select("id")
+    assert maintain.run_alerts(ledger, ledger.last_batch() + 1, NOW)
+    changes = first.selectExpr(
+        "id", "0 AS seq", "cast(null as date) date", "cast(7 as decimal(15,2)) revenue", "cast(null as decimal(15,2)) cost",
+        "cast(null as decimal(15,2)) expenses", "cast(null as decimal(15,2)) profit", "cast(null as string) department",
+        "cast(null as bigint) sales_volume",
+    )
+    assert maintain.apply_updates(ledger, changes, ledger.last_batch() + 1, NOW)
+    assert maintain.mark_alerts_read(ledger, None, ledger.last_batch() + 1)
+    put(tmp_path / "in", "2.csv", HEADER, "2024-01-02,50,0,5,B,0,1")
+    run(ledger, folder, tmp_path)
+    assert {key: row[0] for key, row in stored(ledger).items()} == {("2024-01-01", "A"): 7, ("2024-01-02", "B"): 50}
+    assert sorted(r.filename for r in ledger.upload_history().collect()) == ["1.csv", "2.csv"]
+    # A replayed micro-batch is known by its stream and number, not by the batch's.
+    assert ledger.has_epoch(str(tmp_path / "progress"), 1)
+    assert not ledger.has_epoch(str(tmp_path / "progress"), 2)
+    assert not ledger.has_epoch("another", 1)
+
+
+def test_ids_of_another_batch_are_never_given(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.merge import new_id
+
+    fits = spark.range(1).select(new_id(1, F.lit(2**40 - 1)).alias("a"), new_id(2, F.lit(0)).alias("b")).first()
+    assert fits.a + 1 == fits.b
+    with pytest.raises(Exception, match="split it"):
+        spark.range(1).select(new_id(1, F.lit(2**40))).collect()
+
+
 def test_discovery_reads_no_content(spark, tmp_path):
     ledger = Ledger.create(spark, str(tmp_path / "ledger"), buckets=1)
     put(tmp_path / "in", "1.csv", HEADER)
     batch = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path")
     plan = batch._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string>" in plan
-    assert uploads.discover(ledger, str(tmp_path / "in")).columns == ["path"]
+    assert uploads.discover(ledger, str(tmp_path / "in")).columns == ["path", "modificationTime"]

@@ -9,9 +9,8 @@ contain most of each other's n-grams one way or the other; otherwise the paragra
 as an unknown licence.
 
 Everything is DataFrame code and Spark's own estimators; no Python runs on the executors.
-The texts are scanned once: each n-gram is looked up in the broadcast vocabulary (some
-thousand hashes), and only paragraphs with a hit go on, as counts combined before the
-shuffle. The training set is bounded: the templates, their variants, and the lines of
+The texts are scanned once: each pair of words is looked up in the vocabulary (some
+thousand hashes), and only paragraphs with hits go on. The training set is bounded: the templates, their variants, and the lines of
 ``BACKGROUND`` documents.
 
 Defined cases: null and empty texts have no paragraphs; lines without words are none;
@@ -293,26 +292,30 @@ def train(spark: SparkSession, documents: DataFrame) -> Classifier:
 
 
 def paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, copies, line, grams, known): the lines with at least two licence n-grams.
+    """(doc_id, text_key, line, words, grams): the lines with at least two licence pairs of words.
 
-    ``known`` are the n-grams of the line that are in the vocabulary, ``n_grams`` how many
-    n-grams it has in all.
+    The pairs of all templates, some thousand hashes whatever the documents are, become a
+    set in the plan, so lines are judged where they are read and nothing is shuffled.
     """
-    vocabulary = templates(spark).select(F.explode(ngrams(F.col("words"))).alias("gram")).distinct()
-    pairs = vocabulary.where(F.size(F.split("gram", " ")) == 2).select(F.xxhash64("gram").alias("key")).distinct()
+    pairs = templates(spark).select(F.explode(ngrams(F.col("words"))).alias("gram")).where(
+        F.size(F.split("gram", " ")) == 2
+    )
+    keys = sorted({row["key"] for row in pairs.select(F.xxhash64("gram").alias("key")).collect()})
     lines = documents.select(
         "doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line", "text")
     ).withColumn("words", words_of(F.col("text")))
-    hashes = F.transform(
-        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
-        lambda word, i: F.xxhash64(F.concat_ws(" ", word, F.get("words", i + 1))),
+    hits = F.filter(
+        F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b))),
+        lambda key: key.isin(keys),
     )
-    # The outer form: explode() would add a filter that splits every text once more.
-    hit = lines.select("doc_id", "text_key", "line", "words", F.posexplode_outer(hashes).alias("at", "key")).join(
-        F.broadcast(pairs), "key"
+    # Generating the words of lines with hits, and null for others, keeps the condition
+    # from being pushed down, where it would split every line again.
+    judged = F.when(F.size(hits) >= 2, F.array("words"))
+    return (
+        lines.select("doc_id", "text_key", "line", F.explode_outer(judged).alias("words"))
+        .where(F.col("words").isNotNull())
+        .withColumn("grams", ngrams(F.col("words")))
     )
-    grouped = hit.groupBy("doc_id", "text_key", "line").agg(F.count("*").alias("n_hits"), F.first("words").alias("words"))
-    return grouped.where("n_hits >= 2").withColumn("grams", ngrams(F.col("words")))
 
 
 def scan(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:

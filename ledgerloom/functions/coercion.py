@@ -9,24 +9,44 @@ from ledgerloom.schema import MONEY
 
 ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
-# Further date patterns, tried in this order (month before day).
+# Further date patterns, tried in this order.
 DATE_PATTERNS = [
     "yyyy/M/d",
     "yyyy.M.d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "d MMM yyyy",
     "d MMMM yyyy",
     "d-MMM-yyyy",
+    "yyyyMMdd",
+    "yyyy-M",
+    "yyyy-M-d H:m",
     "yyyy-M-d H:m:s",
+    "yyyy-M-d H:m:s.S",
+    "yyyy-M-d H:m:s.SS",
+    "yyyy-M-d H:m:s.SSS",
+    "yyyy-M-d H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m",
     "yyyy-M-d'T'H:m:s",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
+    "yyyy-M-d'T'H:m:s.SSS",
+    "yyyy-M-d'T'H:m:s.SSSSSS",
 ]
+# Numbers joined by slashes or hyphens, by the order of month and day.
+MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M/d/yy", "M/d/yyyy H:m:s", "M/d/yyyy H:m"]
+DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d/M/yy", "d/M/yyyy H:m:s", "d/M/yyyy H:m"]
+
+# "month": month first, and day first where the text cannot be read so (13/04/2024).
+# "month only" and "day only": the other order is not a date at all.
+DATE_ORDERS = {
+    "month": MONTH_FIRST + DAY_FIRST,
+    "month only": MONTH_FIRST,
+    "day only": DAY_FIRST,
+}
+
+# All white space of Unicode, the control characters that part records included.
+WHITE_SPACE = r"[\s\x1C-\x1F\x85\p{Z}]+"
+# A zone at the end of a time; the day is the one written.
+ZONE = r"(?<=[0-9])\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 # Cell texts that mean "no value".
 MISSING_TEXTS = [
@@ -52,26 +72,35 @@ MISSING_TEXTS = [
 ]
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+
+
 def strict_date(text: Column) -> Column:
     """Year, month and day joined by hyphens only."""
     return F.when(text.rlike(ISO_DAY), text.try_cast("date"))
 
 
-def lenient_date(text: Column) -> Column:
-    """The usual form is a plain cast; only other texts go through the pattern parsers."""
-    trimmed = F.trim(text)
-    parsed = [F.try_to_timestamp(trimmed, F.lit(p)).cast("date") for p in DATE_PATTERNS]
+def lenient_date(text: Column, order: str = "month") -> Column:
+    """The usual form is a plain cast; only other texts go through the pattern parsers.
+
+    ``order`` says how month and day are told apart where both are numbers.
+    """
+    trimmed = stripped(text)
+    timed = F.when(trimmed.contains(":"), F.regexp_replace(trimmed, ZONE, "")).otherwise(trimmed)
+    parsed = [F.try_to_timestamp(timed, F.lit(p)).cast("date") for p in [*DATE_PATTERNS, *DATE_ORDERS[order]]]
     return F.when(trimmed.rlike(ISO_DAY), trimmed.try_cast("date")).otherwise(F.coalesce(*parsed))
 
 
 def money(text: Column) -> Column:
     """Exact amount; infinity, NaN and grouped digits are not amounts."""
-    return F.trim(text).try_cast(MONEY)
+    return stripped(text).try_cast(MONEY)
 
 
 def whole_number(text: Column) -> Column:
     """Integer, fractions cut off toward zero."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return F.coalesce(trimmed.try_cast("bigint"), trimmed.try_cast("decimal(38,18)").try_cast("bigint"))
 
 
@@ -82,5 +111,5 @@ def strict_whole_number(text: Column) -> Column:
 
 def department(text: Column) -> Column:
     """Trimmed name; NULL when there is none."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return F.when(~trimmed.isin(MISSING_TEXTS), trimmed)

@@ -17,7 +17,7 @@ def _problem(typed: Column, raw: Column, what: str) -> Column:
     return F.when(typed.isNull(), F.concat(F.lit(f"invalid {what} '"), shown, F.lit("'")))
 
 
-def validate(raw: DataFrame, seed: bool = False) -> DataFrame:
+def validate(raw: DataFrame, seed: bool = False, date_order: str = "month") -> DataFrame:
     """Types the seven text columns and adds ``accepted``, ``errors`` and ``raw``.
 
     ``errors`` lists what is wrong with a row, ``raw`` keeps a bad row's texts for the
@@ -25,7 +25,7 @@ def validate(raw: DataFrame, seed: bool = False) -> DataFrame:
     ``malformed`` that is true marks a line with more fields than its header.
     """
     typed = {
-        "date": coercion.strict_date(F.col("date")) if seed else coercion.lenient_date(F.col("date")),
+        "date": coercion.strict_date(F.col("date")) if seed else coercion.lenient_date(F.col("date"), date_order),
         **{c: coercion.money(F.col(c)) for c in ("revenue", "cost", "expenses", "profit")},
         "department": coercion.department(F.col("department")),
         "sales_volume": (

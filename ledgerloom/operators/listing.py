@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.display import file_kind, iso, iso_date, status_icon, status_label
@@ -28,20 +28,48 @@ def record_projection(df: DataFrame) -> DataFrame:
     )
 
 
-def _page_size(per_page: int) -> int:
-    return max(1, min(per_page, MAX_PER_PAGE))
+def _page_size(per_page: int, most: int) -> int:
+    return max(1, min(per_page, most))
 
 
-def records_page(df: DataFrame, page: int = 1, per_page: int = ITEMS_PER_PAGE, scope: Scope = Scope()) -> DataFrame:
-    """One page, newest date first. Early pages are a top-k; the session's
-    fallback threshold turns very deep ones into a distributed sort."""
-    size = _page_size(per_page)
-    ordered = scope.apply(df).orderBy(F.col("date").desc(), "department", "id")
-    return record_projection(ordered.offset((max(page, 1) - 1) * size).limit(size))
+def records_page(
+    df: DataFrame,
+    page: int = 1,
+    per_page: int = ITEMS_PER_PAGE,
+    scope: Scope = Scope(),
+    max_per_page: int = MAX_PER_PAGE,
+) -> DataFrame:
+    """One page, newest date first; never more than ``max_per_page`` rows.
+
+    Counts per date say on which dates the page lies, so however deep it is, only the
+    rows of these dates are ordered, as a top-k that skips at most what precedes the page
+    on its first date.
+    """
+    size = _page_size(per_page, max_per_page)
+    scoped, skipped = scope.apply(df), (max(page, 1) - 1) * size
+    if skipped:
+        counts = scoped.groupBy("date").agg(F.count("*").alias("rows"))
+        # One row per calendar day that has records.
+        through = F.sum("rows").over(Window.orderBy(F.col("date").desc()))
+        placed = counts.withColumn("through", through).withColumn("before", F.col("through") - F.col("rows"))
+        on_page = placed.filter((F.col("through") > skipped) & (F.col("before") < skipped + size))
+        found = on_page.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.min("before").alias("before"))
+        bounds = found.first()
+        if bounds["before"] is None:  # past the last page
+            return record_projection(scoped.limit(0))
+        scoped = scoped.filter(F.col("date").between(F.lit(bounds["first"]), F.lit(bounds["last"])))
+        skipped -= bounds["before"]
+    ordered = scoped.orderBy(F.col("date").desc(), "department", "id")
+    return record_projection(ordered.offset(skipped).limit(size))
 
 
 def records_after(
-    df: DataFrame, date: str, department: str, per_page: int = ITEMS_PER_PAGE, scope: Scope = Scope()
+    df: DataFrame,
+    date: str,
+    department: str,
+    per_page: int = ITEMS_PER_PAGE,
+    scope: Scope = Scope(),
+    max_per_page: int = MAX_PER_PAGE,
 ) -> DataFrame:
     """The page that follows a given last row. Its cost does not grow with the
     depth: earlier rows are filtered at the scan instead of skipped after a sort."""
@@ -49,15 +77,21 @@ def records_after(
     later = scope.apply(df).filter(
         (F.col("date") <= last) & ((F.col("date") < last) | (F.col("department") > department))
     )
-    return record_projection(later.orderBy(F.col("date").desc(), "department", "id").limit(_page_size(per_page)))
+    return record_projection(later.orderBy(F.col("date").desc(), "department", "id").limit(_page_size(per_page, max_per_page)))
 
 
-def page_info(df: DataFrame, page: int = 1, per_page: int = ITEMS_PER_PAGE, scope: Scope = Scope()) -> DataFrame:
-    size = _page_size(per_page)
+def page_info(
+    df: DataFrame,
+    page: int = 1,
+    per_page: int = ITEMS_PER_PAGE,
+    scope: Scope = Scope(),
+    max_per_page: int = MAX_PER_PAGE,
+) -> DataFrame:
+    size = _page_size(per_page, max_per_page)
     return scope.apply(df).agg(F.count("*").alias("total")).select(
         "total",
         F.ceil(F.col("total") / size).cast("bigint").alias("pages"),
-        F.lit(page).cast("bigint").alias("current_page"),
+        F.lit(max(page, 1)).cast("bigint").alias("current_page"),
     )
 
 

@@ -18,9 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Splitting a hot join key is worth the extra exchange it may add.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A deep page (large OFFSET) is sorted by the executors instead of being
-    # gathered as one in-memory top-k.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Good and bad rows of an upload are written side by side without a sort.
     "spark.sql.maxConcurrentOutputFileWriters": "2",
 }

@@ -20,20 +20,12 @@ DATE_PATTERNS = [
     "d-MMM-yyyy",
     "yyyyMMdd",
     "yyyy-M",
-    "yyyy-M-d H:m",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m:s.S",
-    "yyyy-M-d H:m:s.SS",
-    "yyyy-M-d H:m:s.SSS",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s.SSS",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
+    "yyyy-M-d H:m[:s[.SSSSSS]]",
+    "yyyy-M-d'T'H:m[:s[.SSSSSS]]",
 ]
 # Numbers joined by slashes or hyphens, by the order of month and day.
-MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M/d/yy", "M/d/yyyy H:m:s", "M/d/yyyy H:m"]
-DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d/M/yy", "d/M/yyyy H:m:s", "d/M/yyyy H:m"]
+MONTH_FIRST = ["M/d/yyyy[ H:m[:s]]", "M-d-yyyy", "M/d/yy"]
+DAY_FIRST = ["d/M/yyyy[ H:m[:s]]", "d-M-yyyy", "d/M/yy"]
 
 # "month": month first, and day first where the text cannot be read so (13/04/2024).
 # "month only" and "day only": the other order is not a date at all.

@@ -375,6 +375,7 @@ QUERIES: dict[str, Query] = {
     "view_monthly_summary": view_monthly_summary,
     "view_department_summary": view_department_summary,
     "records_page": _facts(lambda df: listing.records_page(df, page=3)),
+    "records_page_deep": _facts(lambda df: listing.records_page(df, page=40, per_page=70)),
     "records_after": _facts(lambda df: listing.records_after(df, "1998-03-15", "2-HIGH")),
     "records_page_info": _facts(lambda df: listing.page_info(df, page=3)),
     "record_by_id": _facts(lambda df: listing.record_projection(by_id(df, RECORD_ID))),

@@ -365,6 +365,8 @@ ORACLE_SQL: dict[str, str] = {
        FROM facts GROUP BY department""",
     "records_page": _with(FACTS)
     + f"SELECT {RECORD} FROM (SELECT * FROM facts ORDER BY date DESC, department, id LIMIT 50 OFFSET 100)",
+    "records_page_deep": _with(FACTS)
+    + f"SELECT {RECORD} FROM (SELECT * FROM facts ORDER BY date DESC, department, id LIMIT 70 OFFSET 2730)",
     "records_after": _with(FACTS)
     + f"""SELECT {RECORD} FROM (SELECT * FROM facts WHERE date < DATE '1998-03-15' OR (date = DATE '1998-03-15' AND department > '2-HIGH')
        ORDER BY date DESC, department, id LIMIT 50)""",

@@ -58,8 +58,9 @@ def trend_direction(percent: Column) -> Column:
     return F.when(percent >= 0, "up").otherwise("down")
 
 
-def money_sum(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+def trend_value(percent: Column) -> Column:
+    """Size of a change as it is shown beside its direction: one decimal, without sign."""
+    return F.round(F.abs(percent), 1)
 
 
 def as_double(*names: str) -> list[Column]:

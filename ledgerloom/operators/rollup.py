@@ -16,7 +16,7 @@ from ledgerloom.functions.measures import growth, month_label, month_start, perc
 from ledgerloom.schema import MEASURES
 
 
-def _sums(df: DataFrame) -> list:
+def sums(df: DataFrame) -> list:
     """Sums of the measures and the number of records, of rows or of cells."""
     records = F.sum("records") if "records" in df.columns else F.count("*")
     return [F.sum(m).alias(m) for m in MEASURES] + [records.alias("records")]
@@ -24,17 +24,17 @@ def _sums(df: DataFrame) -> list:
 
 def monthly(df: DataFrame) -> DataFrame:
     """Totals per month; ``month`` is the first day."""
-    return df.groupBy(month_start(F.col("date")).alias("month")).agg(*_sums(df))
+    return df.groupBy(month_start(F.col("date")).alias("month")).agg(*sums(df))
 
 
 def departmental(df: DataFrame) -> DataFrame:
     """Totals per department."""
-    return df.groupBy("department").agg(*_sums(df))
+    return df.groupBy("department").agg(*sums(df))
 
 
 def monthly_departmental(df: DataFrame) -> DataFrame:
     """Totals per month and department."""
-    return df.groupBy(month_start(F.col("date")).alias("month"), "department").agg(*_sums(df))
+    return df.groupBy(month_start(F.col("date")).alias("month"), "department").agg(*sums(df))
 
 
 def cells(df: DataFrame, *kept: str) -> DataFrame:
@@ -46,7 +46,7 @@ def cells(df: DataFrame, *kept: str) -> DataFrame:
     """
     row_margin = percent_of(F.col("profit"), F.col("revenue"))
     return df.groupBy(month_start(F.col("date")).alias("date"), "department", *kept).agg(
-        *_sums(df), F.sum(row_margin).alias("margin_sum"), F.count(row_margin).alias("margin_count")
+        *sums(df), F.sum(row_margin).alias("margin_sum"), F.count(row_margin).alias("margin_count")
     )
 
 

@@ -1,82 +1,53 @@
-"""The stored procedures and views as parameterised Spark SQL."""
+"""The stored procedures and views: named, parameterised entry points to the rollups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-MONTHLY_KPIS = """
-SELECT CAST(SUM(revenue) AS DOUBLE) AS total_revenue,
-       CAST(SUM(cost) AS DOUBLE) AS total_cost,
-       CAST(SUM(expenses) AS DOUBLE) AS total_expenses,
-       CAST(SUM(profit) AS DOUBLE) AS net_profit,
-       ROUND(CAST(SUM(profit) AS DOUBLE) / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) * 100, 2) AS profit_margin,
-       CAST(SUM(sales_volume) AS BIGINT) AS total_sales
-FROM {facts}
-WHERE date >= make_date(:year, :month, 1)
-  AND date < add_months(make_date(:year, :month, 1), 1)
-  AND (:department IS NULL OR department = :department)
-"""
-
-DEPARTMENT_PERFORMANCE = """
-SELECT department,
-       CAST(SUM(revenue) AS DOUBLE) AS total_revenue,
-       CAST(SUM(cost) AS DOUBLE) AS total_cost,
-       CAST(SUM(profit) AS DOUBLE) AS total_profit,
-       CAST(SUM(sales_volume) AS BIGINT) AS total_sales,
-       ROUND(CAST(SUM(profit) AS DOUBLE) / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) * 100, 2) AS profit_margin,
-       COUNT(*) AS record_count
-FROM {facts}
-GROUP BY department
-ORDER BY total_profit DESC, department
-"""
-
-MONTHLY_SUMMARY = """
-SELECT date_format(month_start, 'yyyy-MM') AS month,
-       CAST(revenue AS DOUBLE) AS total_revenue,
-       CAST(cost AS DOUBLE) AS total_cost,
-       CAST(profit AS DOUBLE) AS total_profit,
-       CAST(expenses AS DOUBLE) AS total_expenses,
-       CAST(sales_volume AS BIGINT) AS total_sales,
-       ROUND(CAST(profit AS DOUBLE) / NULLIF(CAST(revenue AS DOUBLE), 0) * 100, 2) AS profit_margin
-FROM (
-  SELECT trunc(date, 'MM') AS month_start, SUM(revenue) AS revenue, SUM(cost) AS cost,
-         SUM(profit) AS profit, SUM(expenses) AS expenses, SUM(sales_volume) AS sales_volume
-  FROM {facts} GROUP BY trunc(date, 'MM')
-)
-ORDER BY month DESC
-"""
-
-DEPARTMENT_SUMMARY = """
-SELECT department,
-       CAST(SUM(revenue) AS DOUBLE) AS total_revenue,
-       CAST(SUM(cost) AS DOUBLE) AS total_cost,
-       CAST(SUM(profit) AS DOUBLE) AS total_profit,
-       CAST(SUM(expenses) AS DOUBLE) AS total_expenses,
-       CAST(SUM(sales_volume) AS BIGINT) AS total_sales,
-       ROUND(CAST(SUM(profit) AS DOUBLE) / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) * 100, 2) AS profit_margin,
-       COUNT(*) AS record_count
-FROM {facts}
-GROUP BY department
-"""
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.measures import margin_or_null
+from ledgerloom.operators.rollup import sums, departmental, labelled, monthly
+
+# How the procedures and views name the totals.
+TOTALS = {"revenue": "total_revenue", "cost": "total_cost", "expenses": "total_expenses", "profit": "total_profit"}
+
+
+def _totals(*measures: str, **renamed: str) -> list[Column]:
+    """The totals of a rollup, the volume and the margin, which is NULL without revenue."""
+    money = [F.col(m).cast("double").alias(renamed.get(m, TOTALS[m])) for m in measures]
+    volume = F.col("sales_volume").cast("bigint").alias("total_sales")
+    return [*money, volume, margin_or_null(F.col("profit"), F.col("revenue")).alias("profit_margin")]
 
 
 def monthly_kpis(spark: SparkSession, facts: DataFrame, year: int, month: int, department: str | None = None) -> DataFrame:
     """Month KPIs; the month is a range of dates, so both bounds reach the scan."""
-    return spark.sql(
-        MONTHLY_KPIS, args={"year": year, "month": month, "department": department}, facts=facts
-    )
+    first = dt.date(year, month, 1)
+    after = dt.date(year + month // 12, month % 12 + 1, 1)
+    rows = facts.filter((F.col("date") >= F.lit(first)) & (F.col("date") < F.lit(after)))
+    if department is not None:
+        rows = rows.filter(F.col("department") == department)
+    return rows.agg(*sums(rows)).select(*_totals("revenue", "cost", "expenses", "profit", profit="net_profit"))
 
 
 def department_performance(spark: SparkSession, facts: DataFrame) -> DataFrame:
-    return spark.sql(DEPARTMENT_PERFORMANCE, facts=facts)
+    return (
+        departmental(facts)
+        .select("department", *_totals("revenue", "cost", "profit"), F.col("records").alias("record_count"))
+        .orderBy(F.desc("total_profit"), "department")
+    )
 
 
 def monthly_summary(spark: SparkSession, facts: DataFrame) -> DataFrame:
-    return spark.sql(MONTHLY_SUMMARY, facts=facts)
+    totals = labelled(monthly(facts)).select("month", *_totals("revenue", "cost", "profit", "expenses"))
+    return totals.orderBy(F.desc("month"))
 
 
 def department_summary(spark: SparkSession, facts: DataFrame) -> DataFrame:
-    return spark.sql(DEPARTMENT_SUMMARY, facts=facts)
+    return departmental(facts).select(
+        "department", *_totals("revenue", "cost", "profit", "expenses"), F.col("records").alias("record_count")
+    )
 
 
 def register_views(spark: SparkSession, facts: DataFrame) -> None:

@@ -38,7 +38,7 @@ from ledgerloom.llm.shared import stored
 LENGTH = 1024
 RUN = 16
 END = 0
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SEQUENCES = 64  # per partition, at least
 
 _BUCKETS, _DIRECTIONS, _BITS = 128, 3, 16

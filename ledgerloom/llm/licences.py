@@ -10,8 +10,9 @@ as an unknown licence.
 
 Everything is DataFrame code and Spark's own estimators; no Python runs on the executors.
 The texts are scanned once: each pair of words is looked up in the vocabulary (some
-thousand hashes), and only paragraphs with hits go on. The training set is bounded: the templates, their variants, and the lines of
-``BACKGROUND`` documents.
+thousand hashes), and every paragraph with a hit is judged by the regression where it is
+read; only those that are not ordinary text are kept. The training set is bounded: the
+templates, their variants, and the lines of ``BACKGROUND`` documents.
 
 Defined cases: null and empty texts have no paragraphs; lines without words are none;
 null doc_ids and repeated rows give one result each; an empty table gives no rows, and a
@@ -39,7 +40,7 @@ MOST_FEATURES = 20_000
 
 NONE, UNKNOWN = "none", "unknown"
 
-# Wordings of public licences and of the notices that name them.
+# Wordings of public licences, their title lines and the notices that name them.
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -50,6 +51,10 @@ TEMPLATES = {
         'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
         "This project is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License",
+        "Version 2.0, January 2004",
+        "License: Apache-2.0",
+        "Licensed under Apache-2.0",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -60,6 +65,10 @@ TEMPLATES = {
         "the Software.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "License: MIT",
+        "Licensed under MIT",
+        "Released under MIT.",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
@@ -71,12 +80,17 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 2-Clause License",
+        "BSD 3-Clause License",
+        "License: BSD-3-Clause",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
         "SPDX-License-Identifier: ISC",
+        "ISC License",
+        "License: ISC",
     ),
     "GPL-2.0": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -84,6 +98,8 @@ TEMPLATES = {
         "later version.",
         "This work is licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-2.0-or-later",
+        "GPL v2",
+        "License: GPL-2.0",
     ),
     "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -92,6 +108,8 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPL v3",
+        "License: GPL-3.0",
     ),
     "LGPL": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
@@ -99,18 +117,21 @@ TEMPLATES = {
         "option) any later version.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "License: LGPL-3.0",
     ),
     "AGPL-3.0": (
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
         "the Free Software Foundation, either version 3 of the License",
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "License: AGPL-3.0",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "License: MPL-2.0",
     ),
     "EPL-2.0": (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
@@ -152,6 +173,7 @@ TEMPLATES = {
         "This work is licensed under terms to be agreed.",
         "Use of this material is subject to the terms of service of the provider.",
         "SPDX-License-Identifier: LicenseRef-Other",
+        "Proprietary license",
     ),
 }
 
@@ -292,9 +314,9 @@ def train(spark: SparkSession, documents: DataFrame) -> Classifier:
 
 
 def paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, words, grams): the lines with at least two licence pairs of words.
+    """(doc_id, text_key, line, words, grams): the lines with any n-gram of the vocabulary.
 
-    The pairs of all templates, some thousand hashes whatever the documents are, become a
+    A known triple holds two known pairs, so pairs tell. The pairs of all templates, some thousand hashes whatever the documents are, become a
     set in the plan, so lines are judged where they are read and nothing is shuffled.
     """
     pairs = templates(spark).select(F.explode(ngrams(F.col("words"))).alias("gram")).where(
@@ -310,7 +332,7 @@ def paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     )
     # Generating the words of lines with hits, and null for others, keeps the condition
     # from being pushed down, where it would split every line again.
-    judged = F.when(F.size(hits) >= 2, F.array("words"))
+    judged = F.when(F.size(hits) > 0, F.array("words"))
     return (
         lines.select("doc_id", "text_key", "line", F.explode_outer(judged).alias("words"))
         .where(F.col("words").isNotNull())
@@ -326,11 +348,9 @@ def scan(documents: DataFrame, classifier: Classifier | None = None) -> DataFram
     """
     spark = documents.sparkSession
     classifier = classifier or train(spark, documents)
-    lines = stored(paragraphs(spark, documents), "licence-lines")
     keys = ["doc_id", "text_key", "line"]
-    judged = classifier.predicted(lines).where(F.col("predicted") != NONE).withColumn(
-        "grams", F.array_distinct("grams")
-    )
+    judged = classifier.predicted(paragraphs(spark, documents)).where(F.col("predicted") != NONE)
+    judged = stored(judged.drop("grams"), "licence-lines").withColumn("grams", F.array_distinct(ngrams(F.col("words"))))
     known = templates(spark).where(F.col("family") != UNKNOWN).select(
         "template", F.col("family").alias("predicted"), F.array_distinct(ngrams(F.col("words"))).alias("wording")
     )

@@ -80,6 +80,27 @@ def test_scores_are_those_of_the_regression(spark, docs, classifier):
     assert {found[i].family for i in (0, 1, 3)} == {"GPL-3.0", "Apache-2.0", "MIT"}
 
 
+SHORT = [
+    "MIT License", "Apache License", "Version 2.0, January 2004", "ISC License", "GPL v3", "BSD 2-Clause License",
+    "Licensed under MIT", "License: Apache-2.0", "License: GPL-3.0", "Released under MIT.", "Proprietary license",
+]
+
+
+def test_lines_with_one_known_pair_are_judged(spark, docs, classifier):
+    """Every line with a known n-gram gets the regression's class, however few it has."""
+    table = docs([(i, line) for i, line in enumerate(SHORT)])
+    lines = table.select("doc_id", op.ngrams(op.words_of(table["text"])).alias("grams"))
+    expected = {r.doc_id: r.predicted for r in classifier.predicted(lines).collect()}
+    vocabulary = set(classifier.vocabulary.vocabulary)
+    known = {i for i, line in enumerate(SHORT) if brute_ngrams(line) & vocabulary}
+    found = {r.doc_id: r for r in op.scan(table, classifier).collect()}
+    assert {i: r.predicted for i, r in found.items()} == {i: expected[i] for i in known if expected[i] != op.NONE}
+    families = [found[i].family if i in found else None for i in range(len(SHORT))]
+    assert families == [
+        "MIT", "Apache-2.0", "Apache-2.0", "ISC", "GPL-3.0", "BSD", "MIT", "Apache-2.0", "GPL-3.0", "MIT", op.UNKNOWN
+    ]
+
+
 def test_edges(docs):
     notice = "Released under the MIT License."
     rows = [(1, None), (2, ""), (3, "\n\n"), (None, notice), (4, f"x\n{notice}\n{notice}"), (4, f"x\n{notice}\n{notice}"), (5, "a " * 50000)]

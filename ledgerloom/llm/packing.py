@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -52,17 +53,34 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(byte): byte for byte in printable} | {chr(256 + i): byte for i, byte in enumerate(others)}
 
 
+@functools.cache
+def _file(path: str | None) -> dict:
+    """A tokenizers file, the public 50k one by default."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return json.load(file)
+
+
+def added_tokens(path: str | None) -> dict[str, int]:
+    """The strings that a tokenizers file takes out of a text before anything else, and their ids."""
+    added = _file(path).get("added_tokens") or []
+    for token in added:
+        if token.get("single_word") or token.get("lstrip") or token.get("rstrip") or token["id"] >= 2**16:
+            raise ValueError(f"added token {token['content']!r} cannot be encoded here")
+    return {token["content"]: token["id"] for token in added}
+
+
 @functools.cache
 def encoding(path: str | None):
     """The byte-level BPE of a tokenizers file (the public 50k one by default), as ranks.
 
-    Strings of special tokens in a text are ordinary text.
+    Added tokens are not part of it.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        model = json.load(file)["model"]
+    model = _file(path)["model"]
     spelled = byte_of_symbol()
     ranks = {}
     for symbols, number in model["vocab"].items():
@@ -80,28 +98,38 @@ class Encoder:
 
     A space between two characters that are none always starts a new token, whatever is
     around it, so a text may be encoded word by word. A word with white space at either
-    side is not remembered, and its text is encoded in one go.
+    side is not remembered, and its text is encoded in one go. Added tokens cut a text into
+    stretches, which are encoded as if they were texts.
     """
 
     def __init__(self, path: str | None):
         self.encode = encoding(path).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.added = {token: array("H", [number]).tobytes() for token, number in added_tokens(path).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.encode(text)).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
+        parts = self.cut.split(text) if self.cut else [text]
+        if len(parts) == 1:
+            return self._numbers(self._stretch(text))
+        return self._numbers(b"".join(self.added.get(part) or self._stretch(part) for part in parts if part))
+
+    def _stretch(self, text: str) -> bytes:
         words = text.split(" ")
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
         for word in set(words[1:]).difference(known):
             if not word or word[0].isspace() or word[-1].isspace():
-                return self._numbers(self._whole(text))
+                return self._whole(text)
             known[word] = self._whole(" " + word)
         if words[0] and words[0][-1].isspace() or len(words) > 1 and not words[0]:
-            return self._numbers(self._whole(text))
-        return self._numbers(self._whole(words[0]) + b"".join(map(known.__getitem__, words[1:])))
+            return self._whole(text)
+        return self._whole(words[0]) + b"".join(map(known.__getitem__, words[1:]))
 
     @staticmethod
     def _numbers(data: bytes) -> np.ndarray:

@@ -80,6 +80,19 @@ def test_ids_on_demand(docs, expected_ids):
         assert np.frombuffer(b"".join(ids for _, ids in own), np.uint16).tolist() == expected_ids(text)
 
 
+def test_added_tokens_have_their_ids(docs):
+    """As the tokenizers library has it at its defaults."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = lambda text: [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark} x", f"one two{mark}\n three  {mark}  ", f"{mark[:-1]} {mark.upper()} <{mark}>", f"some words {mark} " * 300]
+    assert expected(texts[0])[:-1] == [64, 220, 50256, 275]
+    encoder = op.Encoder(None)
+    assert [encoder.ids(text).tolist() for text in texts] == [expected(text) for text in texts]
+    rows = list(enumerate(texts))
+    check(op.report(docs(rows)).collect(), rows, expected)
+
+
 def test_curve_visits_neighbours():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)

@@ -54,16 +54,26 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]+", least=32),
 )
+# A key reaches to its END line; without one, over the base64 that follows, after header
+# fields, however it is wrapped, quoted or escaped. No key reaches over the next BEGIN.
+_KEY_NAME = r"[A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+_KEY_GAP = r"""(?:[\s>#*|"',+]|\\[nr])*+"""
+_KEY = (
+    rf"-----BEGIN {_KEY_NAME}"
+    rf"(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END {_KEY_NAME}"
+    rf"|(?:{_KEY_GAP}(?:(?:Proc-Type|DEK-Info):[ \t]*\S+|[A-Za-z][A-Za-z0-9-]*:[^\n]*+(?=\n)))*+"
+    rf"(?:{_KEY_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_KEY_GAP}[A-Za-z0-9+/]{{1,15}}+(?:=+|(?=[ \t\r]*(?:\n|\Z))))?)?"
+)
 # Public formats of well-known tokens.
 FORMATS = (
-    Rule("github", r"gh[opsru]_[A-Za-z0-9]{36,}"),
+    Rule("github", r"gh[opsru]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]{16,}", flags=re.IGNORECASE),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]++:[^\s:/@]++@"),
 )
 RULES = BASE + FORMATS
 

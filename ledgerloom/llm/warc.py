@@ -36,15 +36,25 @@ _SCHEMA = (
     "source_payload_digest string, n_links long, headers string, block string"
 )
 
-# One token of markup; what is unclosed reaches to the end of the page. No tag reaches over
-# the next "<", so that no page makes the search start over and over.
+# One token of markup; what is unclosed reaches to the end of the page. Here no tag reaches
+# over the next "<", so that no page makes the search start over and over; ``odd`` is the
+# start of what may be a tag with "<" in quoted values, which _TagEnds tells.
+_QUOTED = r"(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+"
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|title)\b(?P<rawattrs>[^<>]*)>(?P<inner>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
-    r"|<[!?][^<>]*>",
+    rf"|<(?P<raw>script|style|template|noscript|title)\b(?P<rawattrs>{_QUOTED})>(?P<inner>.*?)(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>{_QUOTED})>"
+    r"|<[!?][^<>]*>"
+    r"|<(?P<odd>/?[a-z][a-z0-9:-]*)",
     re.IGNORECASE | re.DOTALL,
 )
+_RAW = re.compile(r"(script|style|template|noscript|title)\b", re.IGNORECASE)
+_RAW_END = {
+    name: re.compile(rf"(.*?)(?:</{name}\s*>|\Z)", re.IGNORECASE | re.DOTALL)
+    for name in ("script", "style", "template", "noscript", "title")
+}
+_UNQUOTED = re.compile(r"[^<>\"']*")
+_NO_MARKS = re.compile(r"[^<>]*>")
 _ATTRIBUTE = re.compile(r"([a-z][a-z0-9:_-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
@@ -77,24 +87,90 @@ def _tidy(text: str) -> str:
     return _LINES.sub("\n", _SPACES.sub(" ", text)).strip()
 
 
+class _TagEnds:
+    """Where tags of one page end whose quoted values may hold "<", in time linear in the page.
+
+    Only a value, after "=", may hold one. Places outside quotes from which no end was
+    found, and quotes that nothing closes, are remembered, so nothing is read twice.
+    """
+
+    def __init__(self, body: str):
+        self.body, self.dead = body, set()
+        self.unclosed = {'"': len(body), "'": len(body)}
+
+    def after(self, at: int) -> int | None:
+        """The place of the ">" of a tag whose attributes start there; None if it has none."""
+        body, visited = self.body, []
+        while at not in self.dead:
+            visited.append(at)
+            mark = _UNQUOTED.match(body, at).end()
+            quote = body[mark : mark + 1]
+            if quote == ">":
+                return mark
+            if quote not in self.unclosed or mark >= self.unclosed[quote]:
+                break
+            end = body.find(quote, mark + 1)
+            if end < 0:
+                self.unclosed[quote] = mark
+                break
+            if body.find("<", mark, end) >= 0 and not body[at:mark].rstrip().endswith("="):
+                break
+            at = end + 1
+        self.dead.update(visited)
+        return None
+
+
+def _tokens(body: str) -> Iterator[tuple[int, int, str, str | None, str | None]]:
+    """(start, end, tag, attributes, inner) of the markup; ``inner`` is the text of raw elements.
+
+    Comments and the like have no tag, closing tags no attributes.
+    """
+    at, ends = 0, None
+    while True:
+        for match in _MARKUP.finditer(body, at):
+            odd = match["odd"]
+            if odd is None:
+                raw = match["raw"]
+                tag = (raw or match["tag"] or "").lower()
+                yield match.start(), match.end(), tag, match["rawattrs"] if raw else not match["close"] and match["attrs"] or None, match["inner"]
+                continue
+            ends = ends or _TagEnds(body)
+            start = match.end()
+            name = _RAW.match(odd)
+            end = ends.after(start)
+            if end is None and name:  # stray quotes do not keep a raw element from being one
+                plain = _NO_MARKS.match(body, start)
+                end = plain.end() - 1 if plain else None
+            if end is None:
+                continue
+            if name:
+                tag = name[1].lower()
+                inner = _RAW_END[tag].match(body, end + 1)
+                yield match.start(), inner.end(), tag, body[match.start() + 1 + len(tag) : end], inner[1]
+                at = inner.end()
+            else:
+                yield match.start(), end + 1, odd.lstrip("/").lower(), None if odd[0] == "/" else body[start:end], None
+                at = end + 1
+            break
+        else:
+            return
+
+
 def read_page(body: str, base: str | None) -> Page:
     """Visible text, title, language, charset and absolute links of an HTML page."""
     page, shown, at = Page(), [], 0
     base = base or ""
-    for match in _MARKUP.finditer(body):
-        shown.append(body[at : match.start()])
-        at = match.end()
-        tag = (match["raw"] or match["tag"] or "").lower()
+    for start, end, tag, attrs, inner in _tokens(body):
+        shown.append(body[at:start])
+        at = end
         if not tag:
             continue
-        if match["raw"]:
+        if inner is not None:
             if tag == "title" and not page.title:
-                page.title = _tidy(html.unescape(match["inner"])).replace("\n", " ")
-            attributes = _attributes(match["rawattrs"]) if tag == "script" else {}
-        elif match["close"]:
-            attributes = {}
+                page.title = _tidy(html.unescape(inner)).replace("\n", " ")
+            attributes = _attributes(attrs) if tag == "script" else {}
         else:
-            attributes = _attributes(match["attrs"]) if match["attrs"] else {}
+            attributes = _attributes(attrs)
         if tag in _BREAKS:
             shown.append("\n")
         elif tag in ("td", "th"):

@@ -102,6 +102,38 @@ def test_pages(body, text, links):
     assert [url for url, _ in page.links] == links
 
 
+@pytest.mark.parametrize(
+    "body,text,links",
+    [
+        ('<a href="/y" onclick="if(a<b)go()">z</a>', "z", ["http://h/y"]),
+        ("<a data-x='<b>x</b>' href='/y'>z</a>", "z", ["http://h/y"]),
+        ('<img alt="x < y" src=/i><p title="a<b">in</p>', "in", ["http://h/i", ]),
+        ('<script src="/s" data-x="<b>">var a = "<p>"</script>on', "on", ["http://h/s"]),
+        ('<script data-x="a>b" src="/s">no</script>on<SCRIPT a="<">no', "on", ["http://h/s"]),
+        ("<title it's>T</title>on", "on", []),
+        ('a <b "c <i>d</i> "e', 'a <b "c d "e', []),
+        ('<a href="/y>z</a> and <p>more', '<a href="/y>z and\nmore', []),
+        ("1 <a 2 <a href='<' >x</a>", "1 <a 2 x", ["http://h/d/<"]),
+    ],
+)
+def test_quoted_values_may_hold_tags(body, text, links):
+    page = op.read_page(body, "http://h/d/e")
+    assert page.text == text
+    assert [url for url, _ in page.links] == links
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for part in ("<a \"", "<a x='\"' y=\" ", "<a b='", "<a b=\"<a b='", "<p a=\"<\" ", "<script a='"):
+        took = []
+        for n in (5_000, 40_000):
+            start = time.perf_counter()
+            op.read_page(part * n, None)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 30 * took[0] + 0.5
+
+
 def test_edges(spark):
     schema = "page_id long, url string, html string, headers string, block string"
     rows = [(None, None, None, "x", "y"), (1, "http://a/", "<p>" * 20000, "x", "y"), (1, "http://a/", "<p>" * 20000, "x", "y")]

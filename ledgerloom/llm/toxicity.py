@@ -52,7 +52,7 @@ DISGUISED = 16  # so many of the strongest words are also learned with a charact
 REMEMBERED = 300_000
 
 _DROPPED = re.compile(r"[\W_]+")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][^\w\n.!?]{1,2}){2,}[^\W_](?![^\W_])")
+_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_](?:[^\w\n!?]|_){1,2}){2,}[^\W_](?![^\W_])")
 _GAPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN + 1) for a in range(1, b)]
 
 
@@ -66,8 +66,7 @@ def raw_words(text: str | None) -> set[str]:
     if not text:
         return set()
     words = set(text.split())
-    if sum(len(word) == 1 for word in words) > 1:  # else nothing is spelled out
-        words.update(_SPELLED.findall(text))
+    words.update(_SPELLED.findall(text))
     return words
 
 

@@ -89,6 +89,15 @@ def test_disguised_insults(tables):
     assert np.ptp(spelled[:, 0]) < 0.2
 
 
+@pytest.mark.parametrize(
+    "spelled",
+    ["i d i o t", "i, d, i, o, t", "i- d- i- o- t", "i.d-i o t", "i. d. i. o. t", "i_d i_o t", "an i-d i-o-t!", "(I.D I.O T)"],
+)
+def test_spelled_out_words_are_joined(spelled):
+    assert "idiot" in toxicity.units(f"you are {spelled}")
+    assert "scum" in toxicity.units("s-c u-m")
+
+
 def test_kernel_feature_map_is_exact():
     """Hashing aside, inner products are the gap-weighted counts of common subsequences."""
     from itertools import combinations

@@ -1,8 +1,8 @@
 """Near-duplicate groups: MinHash signatures, banding, verified links, connected components.
 
 1. Every document becomes its set of distinct word shingles and, of it, a signature of
-   many universal hash minima. Documents with the same set are one class, represented by
-   the smallest doc_id.
+   many universal hash minima. Rows with the same set are one class under a number of its
+   own, whatever doc_ids they have; its text is read from the row with the smallest one.
 2. Signatures are cut into bands; classes that agree in a whole band share a bucket. The
    number of bands follows from the threshold: a linked pair shares no bucket with a
    probability of at most ``MISS``.
@@ -11,13 +11,13 @@
 4. A bucket that holds several components may hide more links. There, and only there,
    members are compared block by block, within tasks; a block emits no more links than it
    takes to join what it found. Large buckets become more blocks, never larger ones.
-5. Components are taken again over all links, by alternating large-star and small-star.
+5. Components are taken again over all links, by alternating large-star and small-star;
+   the smallest doc_id of each is looked up at the end.
 
 Defined cases: null and blank texts have no shingles, link with nothing and stay; rows
-without a doc_id are put into the component of their text's class, if it has a doc_id, and
-else stay alone with a null component; repeated rows and rows that share a doc_id give one
-result each; rows with one doc_id and different texts are one document if that id is the
-smallest of both texts' classes; an empty table gives no rows. Columns other than doc_id
+without a doc_id link like others, and a component without any doc_id is null; repeated rows
+and rows that share a doc_id give one result each; rows with one doc_id and different texts
+are different documents; an empty table gives no rows. Columns other than doc_id
 and text are ignored; ``drop_duplicates`` keeps them.
 """
 
@@ -113,7 +113,7 @@ def signed(documents: DataFrame, words: int, bands: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles): the full sets, as bytes, of the wanted (rep, text_key).
+    """(rep, shingles): the full sets, as bytes, of the wanted (rep, doc_id, text_key).
 
     The texts are read again rather than kept; up to a bound the wanted rows are broadcast,
     so that no text is shuffled.
@@ -125,8 +125,10 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(text.as_py(), words).tobytes() for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), text_key(F.col("text")).alias("text_key"), "text")
-    chosen = texts.join(broadcast_up_to(wanted, BROADCAST_REPS), ["rep", "text_key"], "left_semi").select("rep", "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    side = broadcast_up_to(wanted.toDF("rep", "_doc_id", "_text_key"), BROADCAST_REPS)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
+    chosen = texts.join(side, same).select("rep", "text")
     return chosen.mapInArrow(build, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
@@ -299,10 +301,11 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) per document row.
+    """(doc_id, text_key, n_shingles, component_id, kept, component) per document row.
 
     Two documents are linked if their shingle sets' intersection is at least ``percent``
     hundredths of their union; ``component_id`` is the smallest doc_id reachable.
+    ``component`` numbers the components, also those that share a doc_id or have none.
     """
     bands = band_count(percent)
     similarity = percent / 100
@@ -310,27 +313,27 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     floor = similarity - 5 * math.sqrt(similarity * (1 - similarity) / (bands * ROWS))
     rows = stored(signed(documents, words, bands), "signed")
     identity = ["n_shingles", "set_key", "set_check"]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least")
     classes = stored(
-        rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        rows.where("n_shingles > 0")
         .groupBy(*identity)
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
-        .select(*identity, F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")),
+        .agg(least)
+        .select(*identity, "least.doc_id", "least.text_key", F.monotonically_increasing_id().alias("rep")),
         "classes",
     )
-    # A doc_id that represents several classes stands for the one with the smallest key.
-    leading = classes.groupBy("rep").agg(F.min(F.struct("text_key", "n_shingles")).alias("least"))
-    leading = leading.select("rep", "least.*")
-    chosen = rows.join(
-        leading.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi"
-    ).dropDuplicates(["doc_id"])
-
-    banded = chosen.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
+    source = classes.select(*identity, F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "rep")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
+    for name in identity:
+        same &= rows[name] == source[name]
+    chosen = rows.join(source, same).select("rep", "signature", "bands").dropDuplicates(["rep"])
+
+    banded = chosen.select("rep", F.explode("bands").alias("bucket"))
     centers = banded.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
     shared = stored(banded.join(centers, "bucket").select("bucket", "rep", "center"), "buckets")
-    sharing = stored(leading.join(shared, "rep", "left_semi"), "sharing")
-    signatures = chosen.select(F.col("doc_id").alias("rep"), "signature")
-    signatures = stored(signatures.join(sharing, "rep", "left_semi"), "signatures")
-    sets = stored(_sets(documents, sharing, words), "sets")
+    sharing = classes.select("rep", "doc_id", "text_key", "n_shingles").join(shared, "rep", "left_semi")
+    sharing = stored(sharing, "sharing")
+    signatures = stored(chosen.select("rep", "signature").join(sharing, "rep", "left_semi"), "signatures")
+    sets = stored(_sets(documents, sharing.drop("n_shingles"), words), "sets")
 
     pairs = shared.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     near = _resembling(pairs, signatures, floor)
@@ -345,20 +348,26 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     more = _links(rest.join(size.agg(F.ceil(count).alias("blocks")), "bucket"), sets, percent)
     labels = components(star.union(more).toDF("u", "v"))
 
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-        *identity, F.coalesce("label", "rep").alias("component")
+    labels = stored(labels, "components")
+    smallest = labels.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("label")
+    tops = labels.join(smallest.agg(F.min("doc_id").alias("top")), "label")
+    named = classes.join(tops, F.col("rep") == F.col("node"), "left").select(
+        *identity,
+        F.coalesce("label", "rep").alias("component"),
+        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("top"),
     )
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component_id = F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id"))
     return (
         rows.select("doc_id", "text_key", *identity)
         .join(named, identity, "left")
-        .withColumn("component_id", component)
+        .withColumn("component_id", component_id)
         .select(
             "doc_id",
             "text_key",
             "n_shingles",
             "component_id",
             F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+            "component",
         )
     )
 
@@ -370,11 +379,13 @@ def drop_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     """
     found = stored(groups(documents, words, percent).drop("component_id"), "groups")
     keys = ["doc_id", "text_key"]
-    # A doc_id on several texts of one group keeps the one with the smallest key.
-    first = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(
-        F.min("text_key").alias("first")
+    # Of several kept texts of one component, with its doc_id or all without, the one with
+    # the smallest key stays.
+    several = found.where("kept AND n_shingles > 0").groupBy("component").agg(
+        F.min("text_key").alias("first"), F.max("text_key").alias("last")
     )
-    later = found.where("kept AND n_shingles > 0").join(first, "doc_id").where("text_key <> first")
+    several = several.where("first <> last").select("component", "first")
+    later = found.where("kept AND n_shingles > 0").join(several, "component").where("text_key <> first")
     removed = stored(found.where("NOT kept").select(*keys).union(later.select(*keys)).distinct(), "removed")
     repeated = stored(
         found.where("kept AND n_shingles > 0").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys),
@@ -397,4 +408,4 @@ def drop_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
 
 def report(documents: DataFrame) -> DataFrame:
     """The query's columns: shingles of three words, linked from 85 hundredths on."""
-    return groups(documents, words=3, percent=85).drop("text_key")
+    return groups(documents, words=3, percent=85).drop("text_key", "component")

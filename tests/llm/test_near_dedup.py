@@ -79,6 +79,29 @@ def test_one_row_of_each_group_stays(docs):
     assert op.drop_duplicates(docs([])).count() == 0
 
 
+def shared_ids():
+    """One id on unrelated texts, near copies of each of them, and near copies without ids."""
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdef") for _ in range(5))
+    bases = [[word() for _ in range(60)] for _ in range(5)]
+    near = lambda i: " ".join([*bases[i][:-1], word()])
+    rows = [(1, " ".join(bases[0])), (1, " ".join(bases[1])), (1, " ".join(bases[2]))]
+    rows += [(7, near(0)), (8, near(1)), (9, near(2)), (None, near(1))]
+    rows += [(None, near(3)), (None, near(3)), (None, " ".join(bases[3]))]
+    return [*rows, (20, near(4)), (None, " ".join(bases[4])), (21, near(4))]
+
+
+def test_rows_that_share_an_id_are_linked_by_their_texts(docs):
+    rows = shared_ids()
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op.groups(docs(rows)).collect()]
+    assert sorted(found, key=str) == sorted(brute(rows, 5, 80), key=str)
+    kept = [(r.doc_id, r.text) for r in op.drop_duplicates(docs(rows)).collect()]
+    assert sorted(text for i, text in kept if i == 1) == sorted(text for i, text in rows if i == 1)
+    unnamed = [text for i, text in kept if i is None]
+    assert len(unnamed) == 1 and unnamed[0] in {text for _, text in rows[7:10]}
+    assert sorted(i for i, _ in kept if i is not None) == [1, 1, 1, 20]
+
+
 def test_intersections_by_slabs():
     random_ = np.random.default_rng(1)
     sets = [np.unique(random_.integers(0, 60, 40).astype(np.uint64)) for _ in range(9)]

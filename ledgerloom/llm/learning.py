@@ -12,9 +12,9 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(
-    documents: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int
+    documents: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, others: tuple[str, ...] = ()
 ) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, label) of at most ``per_class`` labelled ids of each class, and the class sizes.
+    """(doc_id, text, others, label) of at most ``per_class`` labelled ids of each class, and the class sizes.
 
     Ids are drawn by their hash among all that are not held out; the bound is what makes
     the sample small enough to broadcast and to train on one machine. Rows whose label or
@@ -31,5 +31,5 @@ def labelled_sample(
         for value in (0, 1)
     ]
     ids = drawn[0].union(drawn[1])
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = documents.select("doc_id", "text", *others).join(F.broadcast(ids), "doc_id")
     return texts, sizes

@@ -189,10 +189,15 @@ def _vectors(batch: pa.RecordBatch, metadata: tuple[str, ...]) -> Iterator[np.nd
         yield _vector(text.as_py(), [f"{name}={column[i]}" for name, column in zip(metadata, others)])
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
-    """A machine for ``labels.quality``; held-out documents take no part."""
-    sample, sizes = labelled_sample(documents, labels, "quality", MODULUS, REMAINDER, per_class)
-    rows = _featured(sample, ()).toArrow()
+def train(
+    documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, metadata: tuple[str, ...] = ()
+) -> Machine:
+    """A machine for ``labels.quality``; held-out documents take no part.
+
+    It is for scores with the same ``metadata`` columns.
+    """
+    sample, sizes = labelled_sample(documents, labels, "quality", MODULUS, REMAINDER, per_class, metadata)
+    rows = _featured(sample, metadata).toArrow()
     y = rows.column("label").to_numpy().astype(np.float32)
     width = BUCKETS + _STATISTICS + _LENGTHS
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).astype(np.float32).reshape(len(y), width)
@@ -227,13 +232,15 @@ def _scores(batch: pa.RecordBatch, machine: Machine, metadata: tuple[str, ...])
     return np.concatenate(scores)
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(
+    documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, metadata: tuple[str, ...] = ()
+) -> DataFrame:
     """The rows, all columns, whose score reaches the threshold."""
-    machine = train(documents, labels)
+    machine = train(documents, labels, metadata=metadata)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch, machine, ()) >= threshold))
+            yield batch.filter(pa.array(_scores(batch, machine, metadata) >= threshold))
 
     return documents.mapInArrow(choose, documents.schema)
 

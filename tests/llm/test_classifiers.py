@@ -79,6 +79,17 @@ def test_quality_filter_keeps_columns(tables):
     assert ids == set(scores[scores >= 0.7].index)
 
 
+def test_metadata_takes_part_in_training(spark):
+    rows = [(i, f"the same words {i % 3}", "good" if i % 2 else "bad") for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    machine = quality.train(documents, labels, metadata=("source",))
+    scores = {r.doc_id: r.quality_score for r in quality.score(documents, machine, ("source",)).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+    kept = quality.keep_good(documents, labels, 0.5, metadata=("source",))
+    assert kept.columns == documents.columns and {r.doc_id % 2 for r in kept.collect()} == {1}
+
+
 def test_disguised_insults(tables):
     documents, labels = tables
     machine = toxicity.train(documents, labels)

@@ -7,7 +7,7 @@ import pytest
 from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.sources import adapter
 
-from conftest import SMALL
+from paths import SMALL
 
 WRITING = {
     "report_files", "report_files_departments", "csv_ingest_roundtrip", "csv_ingest_rejects", "csv_ingest_history",

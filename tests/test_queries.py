@@ -10,7 +10,7 @@ from ledgerloom.plans.catalog import QUERIES
 from oracle_queries import ORACLE_SQL
 from tools.compare import connect, difference
 
-from conftest import SMALL
+from paths import SMALL
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.sources import adapter
 from tools.compare import canonical
 
-from conftest import SMALL
+from paths import SMALL
 
 LARGE = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, quality, repeats, secret_scan, toxicity, warc
+from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, quality, repeats, secret_scan, sharding, toxicity, warc
 from ledgerloom.llm.shared import table
 
 
@@ -48,6 +48,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op13_sharding": op13_sharding,
 }
 
 _WORDS = r"""list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -67,7 +72,29 @@ _WORDS = r"""list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRS
 _SHINGLE_WORDS = r"""list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
+# The UTF-8 bytes of a text, from its code points.
+_BYTES = """flatten(list_transform(string_split(coalesce(text, ''), ''), lambda s: CASE
+        WHEN s = '' THEN [] WHEN ord(s) < 128 THEN [ord(s)]
+        WHEN ord(s) < 2048 THEN [192 + (ord(s) >> 6), 128 + (ord(s) & 63)]
+        WHEN ord(s) < 65536 THEN [224 + (ord(s) >> 12), 128 + ((ord(s) >> 6) & 63), 128 + (ord(s) & 63)]
+        ELSE [240 + (ord(s) >> 18), 128 + ((ord(s) >> 12) & 63), 128 + ((ord(s) >> 6) & 63), 128 + (ord(s) & 63)] END))"""
+
 ORACLE_SQL = {
+    "op13_sharding": f"""
+WITH t AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                       lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t
+           FROM (SELECT unnest(range(256)) AS n)),
+d AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size,
+             CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])),
+                      4294967295) AS BIGINT) AS text_crc32
+      FROM (SELECT doc_id, {_BYTES} AS b FROM documents), t),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto,
+             sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(((2 * upto - size) * 8) // (2 * total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+""",
     "op3_minhash": f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce({_SHINGLE_WORDS}, []) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

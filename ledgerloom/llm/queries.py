@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, quality, repeats, secret_scan, sharding, toxicity, warc
+from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, periodic_runs, quality, repeats, secret_scan, sharding, toxicity, warc
 from ledgerloom.llm.shared import table
 
 
@@ -48,6 +48,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_sharding": op13_sharding,
 }
 
@@ -79,14 +84,44 @@ _BYTES = """flatten(list_transform(string_split(coalesce(text, ''), ''), lambda
         WHEN ord(s) < 65536 THEN [224 + (ord(s) >> 12), 128 + ((ord(s) >> 6) & 63), 128 + (ord(s) & 63)]
         ELSE [240 + (ord(s) >> 18), 128 + ((ord(s) >> 12) & 63), 128 + ((ord(s) >> 6) & 63), 128 + (ord(s) & 63)] END))"""
 
+# The table of the checksum, one entry per byte; the checksum of a list b of bytes.
+_CRC_TABLE = """t AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                              lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t
+      FROM (SELECT unnest(range(256)) AS n))"""
+_CRC = """CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])),
+                      4294967295) AS BIGINT)"""
+
 ORACLE_SQL = {
+    "op12_periodic_runs": rf"""
+WITH {_CRC_TABLE},
+s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ord(s)) AS b FROM documents),
+h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, {_CRC} AS h FROM s, t),
+p AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) ELSE w END AS w FROM p),
+e AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM e x JOIN e y
+         ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same)
+            GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, count(*) AS n_runs,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+                first({{'start': start, 'length': length, 'period': period}}
+                      ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS r
+         FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM e ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r.start AS start, r.length AS length, r.period AS period,
+       1000 * r.length // r.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op13_sharding": f"""
-WITH t AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-                       lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t
-           FROM (SELECT unnest(range(256)) AS n)),
-d AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size,
-             CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])),
-                      4294967295) AS BIGINT) AS text_crc32
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, {_CRC} AS text_crc32
       FROM (SELECT doc_id, {_BYTES} AS b FROM documents), t),
 o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto,
              sum(size) OVER () AS total FROM d),

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontamination, licences, near_dedup, neighbours, packing, periodic_runs, quality, repeats, secret_scan, sharding, toxicity, warc
+from ledgerloom.llm import (
+    alignment,
+    decontamination,
+    licences,
+    near_dedup,
+    neighbours,
+    packing,
+    periodic_runs,
+    quality,
+    repeats,
+    secret_scan,
+    sharding,
+    toxicity,
+    warc,
+)
 from ledgerloom.llm.shared import table
 
 
@@ -48,6 +62,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents"))
 
@@ -67,6 +85,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_sharding": op13_sharding,
 }

@@ -9,8 +9,9 @@
 3. In each bucket the members are compared with its smallest one: signatures first, then
    the full sets. The links give first components.
 4. A bucket that holds several components may hide more links. There, and only there,
-   members are compared block by block, within tasks; a block emits no more links than it
-   takes to join what it found. Large buckets become more blocks, never larger ones.
+   members of different components are compared block by block, within tasks; a block emits
+   no more links than it takes to join what it found. Large components become more blocks,
+   never larger ones, and blocks of one component do not meet.
 5. Components are taken again over all links, by alternating large-star and small-star;
    the smallest doc_id of each is looked up at the end.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -39,8 +40,8 @@ WORDS = 5
 PERCENT = 80
 ROWS = 5
 MISS = 1e-7
-# Members per block: of signatures (some 150 bytes each), and of full sets, which must
-# not exceed the second bound in shingles (8 bytes each) together.
+# Members per block: of signatures (some 150 bytes each), and of full sets, of which those
+# with more than SET_SHINGLES / SET_BLOCK shingles (8 bytes each) count as several.
 SIGNATURE_BLOCK = 1024
 SET_BLOCK, SET_SHINGLES = 512, 2_000_000
 
@@ -195,35 +196,76 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _blocks(members: DataFrame, payload: DataFrame) -> DataFrame:
-    """Members (bucket, blocks, rep, label) with their payload, dealt to all pairs of blocks of their bucket.
+    """Members (bucket, rep, label, weight) with their payload, dealt to pairs of blocks of their bucket.
 
-    Rows are sorted so that one (bucket, low, high) lies together in its partition.
+    A label with a block's weight or more is cut into blocks of its own; the smaller labels of
+    a bucket share blocks, each label whole in one. Two blocks meet unless they hold
+    the same single label, so members of one component are not dealt against each other. Rows
+    are sorted so that one (bucket, pair) lies together in its partition.
     """
-    own = members.select("bucket", "rep", "label", F.col("blocks").cast("int").alias("blocks")).withColumn(
-        "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    size = F.ceil(F.sum("weight")).cast("int")
+    sizes = members.groupBy("bucket", "label").agg(F.sum("weight").alias("weight"))
+    large = sizes.where("weight >= 1").groupBy("bucket", "label").agg(size.alias("blocks"))
+    small = sizes.where("weight < 1").groupBy("bucket").agg(size.alias("blocks"))
+
+    own = members.join(large, ["bucket", "label"], "left").join(small.withColumnRenamed("blocks", "shared"), "bucket", "left")
+    own = own.select(
+        "bucket",
+        F.when(F.col("blocks").isNotNull(), F.col("label")).alias("owner"),
+        F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("rep"), "blocks"))
+        .otherwise(F.pmod(F.xxhash64("label"), "shared"))
+        .cast("int")
+        .alias("block"),
+        "rep",
+        "label",
     )
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "label"
+
+    def numbers(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    nobody = F.lit(None).cast("long")
+    inside = (
+        small.select("bucket", "blocks", numbers("blocks").alias("block"))
+        .select("*", numbers("blocks").alias("other"))
+        .where("block <= other")
+        .select("bucket", nobody.alias("owner"), "block", nobody.alias("other_owner"), "other")
+    )
+    across = small.toDF("bucket", "shared").join(large, "bucket")
+    across = across.select("*", numbers("shared").alias("block")).select(
+        "bucket", nobody.alias("owner"), "block", F.col("label").alias("other_owner"), numbers("blocks").alias("other")
+    )
+    apart = large.join(large.toDF("bucket", "other_owner", "other_blocks"), "bucket").where("label < other_owner")
+    apart = apart.select("*", numbers("blocks").alias("block")).select(
+        "bucket", F.col("label").alias("owner"), "block", "other_owner", numbers("other_blocks").alias("other")
+    )
+    pairs = inside.union(across).union(apart)
+    pair = F.xxhash64("bucket", F.coalesce("owner", F.lit(-1)), "block", F.coalesce("other_owner", F.lit(-1)), "other")
+    numbered = pairs.withColumn("pair", pair)
+    places = numbered.select("bucket", "owner", "block", "pair").union(
+        numbered.select("bucket", "other_owner", "other", "pair").where("NOT (owner <=> other_owner AND block = other)")
     )
-    keys = ["bucket", "low", "high"]
+    places = places.toDF("bucket", "_owner", "_block", "pair")
+    met = (own["owner"].eqNullSafe(places["_owner"])) & (own["block"] == places["_block"]) & (own["bucket"] == places["bucket"])
+    dealt = own.join(places, met).select(own["bucket"], "pair", "rep", "label")
+    keys = ["bucket", "pair"]
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.join(payload, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.join(payload, "rep").repartition(parts, *keys).sortWithinPartitions(*keys, "label")
 
 
 def _suspects(members: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
     """(bucket, rep) of members whose signature resembles one of another component there."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, ["bucket", "low", "high"]):
+        for group in _grouped(batches, ["bucket", "pair"]):
             labels = group.column("label").to_numpy()
-            if (labels == labels[0]).all():
+            if labels[0] == labels[-1]:
                 continue
             matrix = _matrix(group.column("signature").combine_chunks())
             near = np.zeros(len(labels), dtype=bool)
-            for i in range(len(labels) - 1):
-                rest = slice(i + 1, None)
-                hit = ((matrix[rest] == matrix[i]).mean(axis=1) >= floor) & (labels[rest] != labels[i])
-                near[rest] |= hit
+            for i, end in enumerate(np.searchsorted(labels, labels, side="right")):
+                # Labels lie together; a row is compared with those of the labels after its own.
+                hit = (matrix[end:] == matrix[i]).mean(axis=1) >= floor
+                near[end:] |= hit
                 near[i] |= hit.any()
             if near.any():
                 yield group.select(["bucket", "rep"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
@@ -253,9 +295,9 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) by full sets between different components of a bucket, as many as join them."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, ["bucket", "low", "high"]):
+        for group in _grouped(batches, ["bucket", "pair"]):
             labels = group.column("label").to_numpy()
-            if (labels == labels[0]).all():
+            if labels[0] == labels[-1]:
                 continue
             reps = group.column("rep").to_numpy()
             shingles = [np.frombuffer(s.as_buffer(), U64) for s in group.column("shingles").combine_chunks()]
@@ -284,7 +326,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, blocks, rep, label) of buckets with several components; one of buckets with the same members."""
+    """(bucket, rep, label) of buckets with several components; one of buckets with the same members."""
     labelled = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", F.coalesce("label", "rep").alias("label")
     )
@@ -296,8 +338,7 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
     )
     once = several.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("n") / F.lit(SIGNATURE_BLOCK)).alias("blocks")
-    return labelled.join(once.select("bucket", blocks), "bucket")
+    return labelled.join(once.select("bucket"), "bucket", "left_semi")
 
 
 def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -341,11 +382,10 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     labels = components(star.toDF("u", "v"))
 
     mixed = stored(_mixed(shared.select("bucket", "rep"), labels), "mixed")
-    suspects = stored(_suspects(mixed, signatures, floor), "suspects")
-    rest = mixed.drop("blocks").join(suspects, ["bucket", "rep"], "left_semi")
-    size = rest.join(sharing.select("rep", "n_shingles"), "rep").groupBy("bucket")
-    count = F.greatest(F.count("*") / F.lit(SET_BLOCK), F.sum("n_shingles") / F.lit(SET_SHINGLES))
-    more = _links(rest.join(size.agg(F.ceil(count).alias("blocks")), "bucket"), sets, percent)
+    suspects = _suspects(mixed.withColumn("weight", F.lit(1 / SIGNATURE_BLOCK)), signatures, floor)
+    rest = mixed.join(stored(suspects, "suspects"), ["bucket", "rep"], "left_semi")
+    weight = F.greatest(F.lit(1 / SET_BLOCK), F.col("n_shingles") / F.lit(SET_SHINGLES)).alias("weight")
+    more = _links(rest.join(sharing.select("rep", weight), "rep"), sets, percent)
     labels = components(star.union(more).toDF("u", "v"))
 
     labels = stored(labels, "components")

@@ -26,19 +26,19 @@ DATE_PATTERNS = [
 # Numbers joined by slashes or hyphens, by the order of month and day.
 MONTH_FIRST = ["M/d/yyyy[ H:m[:s]]", "M-d-yyyy", "M/d/yy"]
 DAY_FIRST = ["d/M/yyyy[ H:m[:s]]", "d-M-yyyy", "d/M/yy"]
+NUMBERS_ONLY = r"^\d{1,2}[/-]\d{1,2}[/-]\d"
 
-# "month": month first, and day first where the text cannot be read so (13/04/2024).
-# "month only" and "day only": the other order is not a date at all.
-DATE_ORDERS = {
-    "month": MONTH_FIRST + DAY_FIRST,
-    "month only": MONTH_FIRST,
-    "day only": DAY_FIRST,
-}
+# What a file whose dates can be read in both orders is read as: "month" or "day" first. With
+# "only" the other order is not a date at all.
+DATE_ORDERS = ["month", "day", "month only", "day only"]
 
 # All white space of Unicode, the control characters that part records included.
-WHITE_SPACE = r"[\s\x1C-\x1F\x85\p{Z}]+"
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # A zone at the end of a time; the day is the one written.
-ZONE = r"(?<=[0-9])\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
+ZONE = r"(?<=[0-9])\s?(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 # Cell texts that mean "no value".
 MISSING_TEXTS = [
@@ -65,8 +65,8 @@ MISSING_TEXTS = [
 
 
 def stripped(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+    """Without white space of any kind at either end, in time linear in the text."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strict_date(text: Column) -> Column:
@@ -74,26 +74,40 @@ def strict_date(text: Column) -> Column:
     return F.when(text.rlike(ISO_DAY), text.try_cast("date"))
 
 
-def lenient_date(text: Column, order: str = "month") -> Column:
-    """The usual form is a plain cast; only other texts go through the pattern parsers.
+def _read_by(text: Column, patterns: list[str]) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)).cast("date") for p in patterns])
 
-    ``order`` says how month and day are told apart where both are numbers.
+
+def date_readings(text: Column) -> tuple[Column, Column, Column]:
+    """(date, day-first date, whether the order of month and day is open).
+
+    The usual form is a plain cast; only other texts go through the pattern parsers. Where the
+    order is open the first date is read month first; elsewhere the second one is null.
     """
     trimmed = stripped(text)
     timed = F.when(trimmed.contains(":"), F.regexp_replace(trimmed, ZONE, "")).otherwise(trimmed)
-    parsed = [F.try_to_timestamp(timed, F.lit(p)).cast("date") for p in [*DATE_PATTERNS, *DATE_ORDERS[order]]]
-    return F.when(trimmed.rlike(ISO_DAY), trimmed.try_cast("date")).otherwise(F.coalesce(*parsed))
+    numbers = F.coalesce(trimmed.rlike(NUMBERS_ONLY), F.lit(False))
+    date = (
+        F.when(trimmed.rlike(ISO_DAY), trimmed.try_cast("date"))
+        .when(numbers, _read_by(timed, MONTH_FIRST))
+        .otherwise(_read_by(timed, DATE_PATTERNS))
+    )
+    return date, F.when(numbers, _read_by(timed, DAY_FIRST)), numbers
+
+
+def _number(text: Column, kind) -> Column:
+    """A plain cast, which passes over usual blanks; only where it fails is more stripped."""
+    return F.coalesce(text.try_cast(kind), stripped(text).try_cast(kind))
 
 
 def money(text: Column) -> Column:
     """Exact amount; infinity, NaN and grouped digits are not amounts."""
-    return stripped(text).try_cast(MONEY)
+    return _number(text, MONEY)
 
 
 def whole_number(text: Column) -> Column:
     """Integer, fractions cut off toward zero."""
-    trimmed = stripped(text)
-    return F.coalesce(trimmed.try_cast("bigint"), trimmed.try_cast("decimal(38,18)").try_cast("bigint"))
+    return F.coalesce(_number(text, "bigint"), _number(text, "decimal(38,18)").try_cast("bigint"))
 
 
 def strict_whole_number(text: Column) -> Column:

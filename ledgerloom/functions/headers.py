@@ -1,10 +1,11 @@
-"""Header names of uploaded files (metadata only, no row is touched)."""
+"""Header lines of uploaded files: which column lies where, or why a file cannot be used."""
 
 from __future__ import annotations
 
-import csv
-from dataclasses import dataclass
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.coercion import stripped
 from ledgerloom.schema import UPLOAD_COLUMNS
 
 # Accepted spellings, after trimming and title-casing.
@@ -24,6 +25,11 @@ SEED_DEFAULTS = {
     "department": "Unknown",
 }
 
+NO_COLUMNS = "No columns to parse from file"
+
+# A field and the comma after it; quoted fields may hold commas.
+_FIELD = r'("(?:[^"]|"")*"[^,]*|[^,]*),'
+
 
 def normalise(name: str) -> str:
     """Trimmed, title-cased, alias resolved."""
@@ -31,42 +37,48 @@ def normalise(name: str) -> str:
     return ALIASES.get(titled, titled)
 
 
-def split_header(line: str) -> list[str]:
-    return next(csv.reader([line]), [])
-
+def _known() -> dict[str, str]:
+    """Accepted names in lower case, and the column each one stands for."""
+    titles = {title.lower(): column for title, column in UPLOAD_COLUMNS.items()}
+    return titles | {alias.lower(): UPLOAD_COLUMNS[title] for alias, title in ALIASES.items()}
 
-@dataclass(frozen=True)
-class Layout:
-    """Position of every known column in one header line."""
 
-    width: int
-    positions: tuple[tuple[str, int], ...]
-    problem: str | None = None
+def fields(line: Column) -> Column:
+    """The fields of a header line, without their quotes."""
+    whole = F.regexp_extract_all(F.concat(F.regexp_replace(line, "﻿", ""), F.lit(",")), F.lit(_FIELD), F.lit(1))
+    quoted = r'^"((?:[^"]|"")*)"(.*)$'
+    return F.transform(
+        whole,
+        lambda x: F.when(
+            x.startswith('"'), F.concat(F.replace(F.regexp_extract(x, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, quoted, 2))
+        ).otherwise(x),
+    )
 
 
-def layout_of(line: str | None, required: bool = True) -> Layout:
-    """Maps a header line to positions, or says why the file cannot be used.
+def layout(line: Column, required: bool = True) -> Column:
+    """A struct of the file's ``problem``, its ``width`` and the position ``at`` of every column.
 
-    The same name written twice keeps its first position. Two different names
-    for one column are ambiguous. With ``required=False`` (seed files) missing
-    columns are allowed.
+    The same name written twice keeps its first position. Two different names for one column
+    are ambiguous. With ``required=False`` (seed files) columns may be missing: their
+    position is null.
     """
-    if line is None or not line.strip():
-        return Layout(0, (), "No columns to parse from file")
-    names = split_header(line)
-    positions: dict[str, int] = {}
-    seen: set[str] = set()
-    for position, raw in enumerate(names):
-        if raw in seen:
-            continue
-        seen.add(raw)
-        column = UPLOAD_COLUMNS.get(normalise(raw))
-        if column is None:
-            continue
-        if column in positions:
-            return Layout(len(names), (), f"Ambiguous columns for {normalise(raw)}")
-        positions[column] = position
-    missing = [title for title, column in UPLOAD_COLUMNS.items() if column not in positions]
-    if missing and required:
-        return Layout(len(names), (), f"Missing required columns: {', '.join(missing)}")
-    return Layout(len(names), tuple(sorted(positions.items())))
+    known = F.create_map(*[F.lit(text) for pair in _known().items() for text in pair])
+    names = fields(line)
+    columns = F.transform(names, lambda x: F.element_at(known, F.lower(stripped(x))))
+
+    def spelled_twice(column: str) -> Column:
+        own = F.filter(names, lambda x: F.element_at(known, F.lower(stripped(x))) == column)
+        return F.size(F.array_distinct(own)) > 1
+
+    position = {c: F.nullif(F.array_position(columns, c), F.lit(0)) - 1 for c in UPLOAD_COLUMNS.values()}
+    ambiguous = F.coalesce(*[F.when(spelled_twice(c), F.lit(title)) for title, c in UPLOAD_COLUMNS.items()])
+    missing = F.array_compact(F.array(*[F.when(position[c].isNull(), F.lit(title)) for title, c in UPLOAD_COLUMNS.items()]))
+    problem = F.when(line.isNull() | (stripped(line) == ""), F.lit(NO_COLUMNS)).when(
+        ambiguous.isNotNull(), F.concat(F.lit("Ambiguous columns for "), ambiguous)
+    )
+    if required:
+        problem = problem.when(
+            F.size(missing) > 0, F.concat(F.lit("Missing required columns: "), F.array_join(missing, ", "))
+        )
+    places = F.struct(*[at.cast("int").alias(c) for c, at in position.items()])
+    return F.struct(problem.alias("problem"), F.size(names).alias("width"), places.alias("at"))

@@ -17,55 +17,115 @@ def _problem(typed: Column, raw: Column, what: str) -> Column:
     return F.when(typed.isNull(), F.concat(F.lit(f"invalid {what} '"), shown, F.lit("'")))
 
 
-def validate(raw: DataFrame, seed: bool = False, date_order: str = "month") -> DataFrame:
-    """Types the seven text columns and adds ``accepted``, ``errors`` and ``raw``.
+def typed(raw: DataFrame, seed: bool = False) -> DataFrame:
+    """Types the seven text columns, as far as one row alone can say.
 
-    ``errors`` lists what is wrong with a row, ``raw`` keeps a bad row's texts for the
-    reject table. Rows are atomic: one bad field rejects the row. A column
-    ``malformed`` that is true marks a line with more fields than its header.
+    Where a date could be read month or day first, ``date`` is read month first, ``day_first``
+    is the other reading and ``open_order`` is true. ``problems`` lists what is wrong besides the
+    date, ``texts`` keeps the fields of a row that is or may become bad, ``sound`` says that it
+    can be good. A column ``malformed`` that is true marks a line with more fields than its header.
     """
-    typed = {
-        "date": coercion.strict_date(F.col("date")) if seed else coercion.lenient_date(F.col("date"), date_order),
+    strict = coercion.strict_date(F.col("date"))
+    date, day_first, open_order = (strict, F.lit(None).cast("date"), F.lit(False)) if seed else coercion.date_readings(F.col("date"))
+    whole_number = coercion.strict_whole_number if seed else coercion.whole_number
+    fields = {
         **{c: coercion.money(F.col(c)) for c in ("revenue", "cost", "expenses", "profit")},
         "department": coercion.department(F.col("department")),
-        "sales_volume": (
-            coercion.strict_whole_number(F.col("sales_volume"))
-            if seed
-            else coercion.whole_number(F.col("sales_volume"))
-        ),
+        "sales_volume": whole_number(F.col("sales_volume")),
     }
     kept = [c for c in raw.columns if c not in RAW and c != "malformed"]
     staged = raw.select(
         *kept,
         F.col("malformed") if "malformed" in raw.columns else F.lit(False).alias("malformed"),
         F.struct(*RAW).alias("_raw"),
-        *[expression.alias(name) for name, expression in typed.items()],
+        date.alias("date"),
+        day_first.alias("day_first"),
+        open_order.alias("open_order"),
+        *[expression.alias(name) for name, expression in fields.items()],
     )
-    problems = [_problem(F.col(c), F.col(f"_raw.{c}"), c.replace("_", " ")) for c in RAW]
+    problems = [_problem(F.col(c), F.col(f"_raw.{c}"), c.replace("_", " ")) for c in RAW if c != "date"]
     problems.append(F.when(F.col("malformed"), F.lit("more fields than columns")))
     complete = ~F.col("malformed")
-    for c in RAW:
+    for c in fields:
         complete = complete & F.col(c).isNotNull()
-    texts = F.concat_ws(",", *[F.coalesce(f"_raw.{c}", F.lit("")) for c in RAW])
+    readable = F.col("date").isNotNull() | F.col("day_first").isNotNull()
     return (
-        staged.withColumn("accepted", complete)
+        staged.withColumn("sound", complete & readable)
         .withColumn(
-            "errors",
-            F.when(F.col("accepted"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*problems))),
+            "problems", F.when(complete, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*problems)))
         )
-        .withColumn("raw", F.when(~F.col("accepted"), texts))
+        .withColumn("texts", F.when(~F.col("sound") | F.col("open_order"), F.col("_raw")))
         .drop("_raw", "malformed")
     )
 
 
+def date_orders(rows: DataFrame) -> DataFrame:
+    """(file_no, orders) of files that have dates of numbers alone: 1 if all of them can be read
+    month first, plus 2 if all can be read day first.
+
+    Cells that are no date in either order say nothing. One aggregate with a fixed-width
+    buffer, so a file with a third of all rows arrives as one row per task.
+    """
+    bit = lambda reading, value: F.when(F.col(reading).isNotNull(), F.lit(value)).otherwise(F.lit(0))
+    said = rows.where("open_order AND (date IS NOT NULL OR day_first IS NOT NULL)")
+    return said.groupBy("file_no").agg(F.bit_and(bit("date", 1) + bit("day_first", 2)).alias("orders"))
+
+
+def decided(rows: DataFrame, orders: DataFrame | None = None, date_order: str = "month") -> DataFrame:
+    """Typed rows with their final date, and ``accepted``, ``errors`` and ``raw``.
+
+    A file is read in one order of month and day: the one in which all its dates can be read, or, if
+    both can, as ``date_order`` says. If neither can, its dates that differ by the order are
+    rejected as ambiguous. Rows are atomic: one bad field rejects the row.
+    """
+    if date_order not in coercion.DATE_ORDERS:
+        raise ValueError(f"date_order is one of {', '.join(coercion.DATE_ORDERS)}")
+    month, day, both = F.col("date"), F.col("day_first"), F.lit(3)
+    preferred = day if date_order.startswith("day") else month
+    if date_order.endswith("only") or orders is None:
+        chosen = preferred
+        rows = rows.withColumn("orders", both)
+    else:
+        rows = rows.join(orders, "file_no", "left")
+        order = F.coalesce("orders", both)
+        chosen = F.when(order == 3, preferred).when(order == 1, month).when(order == 2, day)
+    date = F.when(~F.col("open_order") | month.eqNullSafe(day), month).otherwise(chosen)
+    text = F.coalesce("texts.date", F.lit(""))
+    what = F.when(F.col("orders") == 0, F.lit("ambiguous date '")).otherwise(F.lit("invalid date '"))
+    problem = F.when(F.col("_date").isNull(), F.concat(what, text, F.lit("'")))
+    raw = F.concat_ws(",", *[F.coalesce(f"texts.{c}", F.lit("")) for c in RAW])
+    kept = [c for c in rows.columns if c not in ("date", "day_first", "open_order", "sound", "problems", "texts", "orders")]
+    return rows.withColumn("_date", date).select(
+        *kept,
+        F.col("_date").alias("date"),
+        (F.col("sound") & F.col("_date").isNotNull()).alias("accepted"),
+        F.array_compact(F.concat(F.array(problem), F.col("problems"))).alias("errors"),
+        F.when(~(F.col("sound") & F.col("_date").isNotNull()), raw).alias("raw"),
+    )
+
+
+def validate(raw: DataFrame, seed: bool = False, date_order: str = "month") -> DataFrame:
+    """Types the seven text columns and adds ``accepted``, ``errors`` and ``raw``.
+
+    The texts are read once for the order of their dates and once for all else; a job
+    stores the typed rows in between.
+    """
+    if seed:
+        return decided(typed(raw, seed))
+    date, day_first, open_order = coercion.date_readings(F.col("date"))
+    read = raw.select("file_no", date.alias("date"), day_first.alias("day_first"), open_order.alias("open_order"))
+    return decided(typed(raw), date_orders(read), date_order)
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     return validated.filter("accepted").drop("accepted", "errors", "raw")
 
 
-def rejected(validated: DataFrame) -> DataFrame:
-    """Every bad row with its line number, texts and message."""
+def rejected(validated: DataFrame, *named: str) -> DataFrame:
+    """Every bad row with its line number, texts and message, and the columns asked for."""
     return validated.filter(~F.col("accepted")).select(
         "file_no",
+        *named,
         "line",
         "raw",
         F.concat(F.lit("Row "), F.col("line").cast("string"), F.lit(": "), F.array_join("errors", "; ")).alias("error"),

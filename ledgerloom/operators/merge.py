@@ -30,6 +30,7 @@ def upsert(
     """Current rows with the batch merged in: known keys take the new measures and
     keep id, owner and creation time; unknown keys are inserted.
 
+    ``first_file`` says in which file a key that is new came first; for others it is null.
     Both sides hold each key once, so the join has no hot key.
     """
     old = current.select(*KEY, *[F.col(c).alias(f"_old_{c}") for c in ["id", "created_at", "created_by", *MEASURES]])
@@ -42,23 +43,29 @@ def upsert(
         F.coalesce("sales_volume", "_old_sales_volume").alias("sales_volume"),
         F.when(known, F.col("_old_created_at")).otherwise(created_at).alias("created_at"),
         F.when(known, F.col("_old_created_by")).otherwise(created_by).alias("created_by"),
+        F.when(~known, F.col("first_file")).alias("first_file"),
     )
 
 
 def insert_if_absent(
     current: DataFrame, keys: DataFrame, batch_no: int, created_at: Column, created_by: Column
 ) -> DataFrame:
-    """Current rows plus the batch's rows whose key is not there yet."""
-    fresh = keys.join(current.select(*KEY), KEY, "left_anti").select(
-        new_id(batch_no, F.col("first_seq")).alias("id"),
-        "date",
-        *MEASURES[:4],
-        "department",
-        "sales_volume",
-        created_at.alias("created_at"),
-        created_by.alias("created_by"),
+    """Current rows plus the batch's rows whose key is not there yet, in one pass over both.
+
+    ``first_file`` says in which file a new key came first; for current rows it is null.
+    """
+    old = current.select(*KEY, F.struct(*[c for c in current.columns if c not in KEY]).alias("_old"))
+    known = F.col("_old").isNotNull()
+    fresh = {
+        "id": new_id(batch_no, F.col("first_seq")),
+        **{m: F.col(m) for m in MEASURES},
+        "created_at": created_at,
+        "created_by": created_by,
+    }
+    return old.join(keys, KEY, "full_outer").select(
+        *[F.col(c) if c in KEY else F.when(known, F.col(f"_old.{c}")).otherwise(fresh[c]).alias(c) for c in current.columns],
+        F.when(~known, F.col("first_file")).alias("first_file"),
     )
-    return current.unionByName(fresh)
 
 
 EDITABLE = ["date", "revenue", "cost", "expenses", "profit", "department", "sales_volume"]

@@ -289,7 +289,8 @@ def _streamed(spark: SparkSession, folder: str) -> Ledger:
 def _stored(spark: SparkSession, folder: str) -> Ledger:
     """The fact table as the first batch of a ledger."""
     ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=1)
-    ledger.publish(1, ledger.write_version(adapter.business_data(spark, folder), 1))
+    attempt = ledger.begin()
+    attempt.publish(attempt.write_version(adapter.business_data(spark, folder)))
     return ledger
 
 

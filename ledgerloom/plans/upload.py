@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.measures import moment
@@ -13,25 +13,7 @@ from ledgerloom.operators.alerts import new_alerts
 from ledgerloom.schema import UPLOAD_HISTORY
 from ledgerloom.session import work_folder
 from ledgerloom.sources import csv_files
-from ledgerloom.sources.ledger import Ledger
-
-
-def stage(
-    ledger: Ledger, files: list[csv_files.SourceFile], work: str, seed: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Validated, numbered rows of all usable files, and row counts per file.
-
-    The text is parsed once and written as parquet in the shared work folder, good
-    and bad rows apart; everything that follows reads that table.
-    """
-    spark = ledger.spark
-    validated = ingest.validate(csv_files.scan(spark, files), seed)
-    validated.write.partitionBy("accepted").parquet(f"{work}/rows")
-    rows = spark.read.schema(validated.schema).parquet(f"{work}/rows")
-    csv_files.block_offsets(rows, csv_files.file_frame(spark, files)).write.parquet(f"{work}/blocks")
-    blocks = spark.read.parquet(f"{work}/blocks")
-    counts = blocks.groupBy("file_no").agg(F.sum("records_count").alias("records_count"), F.sum("errors").alias("errors"))
-    return csv_files.number_rows(rows, blocks, blocks.count()), counts
+from ledgerloom.sources.ledger import Attempt, Ledger
 
 
 def upload(
@@ -41,54 +23,83 @@ def upload(
     uploaded_by: int | None,
     as_of: dt.datetime,
     seed: bool = False,
-    origin: tuple[str, int] | None = None,
+    date_order: str = "month",
 ) -> bool:
     """Ingests all files below ``sources`` as one batch; False if that number was taken.
 
-    ``origin`` is the (stream, epoch) the batch comes from, kept with its commit.
-
     An upload updates known (date, department) keys, the last row winning; a seed
-    load only inserts unknown ones, the first row winning. Running a batch again
-    after a failure replaces whatever the failed attempt wrote.
+    load only inserts unknown ones, the first row winning. ``date_order`` says how dates of
+    numbers alone are read in files that do not show it themselves. After a failure the
+    same batch may be run again, or any other.
     """
-    last = ledger.last_batch()
-    if batch_no <= last:
+    attempt = ledger.begin(batch_no)
+    if attempt is None:
         return False
+    lines = csv_files.text_lines(ledger.spark, sources)
+    listed = csv_files.listing(ledger.spark, sources)
+    ingest_lines(attempt, lines, uploaded_by, as_of, seed, date_order, csv_files.BY_SOURCE, listed)
+    return True
+
+
+def ingest_lines(
+    attempt: Attempt,
+    lines: DataFrame,
+    uploaded_by: int | None,
+    as_of: dt.datetime,
+    seed: bool,
+    date_order: str,
+    order: list[str],
+    listed: DataFrame | None = None,
+) -> bool:
+    """Ingests located lines as one batch and publishes it; False, and nothing published, without files."""
+    ledger, state = attempt.ledger, attempt.state
     spark = ledger.spark
-    work = work_folder(spark, f"upload-{batch_no}")
-    files = csv_files.inventory(spark, sources, seed)
-    rows, counts = stage(ledger, files, work, seed)
-    good, bad = ingest.accepted(rows), ingest.rejected(rows)
-
-    reduced = ingest.first_per_key(good) if seed else ingest.last_per_key(good)
-    ledger.placed(reduced).write.parquet(f"{work}/keys")
-    keys = spark.read.parquet(f"{work}/keys")
-
-    touched = ledger.touched(keys)
-    state = ledger.state(last)
-    current = ledger.read(state.only(touched))
+    work = work_folder(spark, f"upload-{attempt.batch_no}")
+    staged = csv_files.stage(spark, lines, work, seed, order, listed)
+    if staged is None:
+        return False
+    orders = None if seed else ingest.date_orders(staged.rows.where("sound"))
+    good = ingest.accepted(ingest.decided(staged.rows.where("sound"), orders, date_order))
+    reduced = ledger.placed(ingest.first_per_key(good) if seed else ingest.last_per_key(good))
+    seen = Observation()
+    reduced.observe(seen, F.collect_set(F.struct("ym", "bucket")).alias("pieces")).write.parquet(f"{work}/keys")
+    keys = spark.read.schema(reduced.schema).parquet(f"{work}/keys")
+
+    touched = {(p["ym"], p["bucket"]) for p in seen.get["pieces"]}
+    current = ledger.read(state.only(touched)).drop("ym", "bucket")
     combine = merge.insert_if_absent if seed else merge.upsert
-    merged = combine(
-        current.drop("ym", "bucket"),
-        keys.drop("ym", "bucket", "first_file"),
-        batch_no,
-        moment(as_of),
-        F.lit(uploaded_by).cast("bigint"),
-    )
-    after = state.without(touched) + ledger.write_version(merged, batch_no)
-
-    new_keys = keys.join(current.select("date", "department"), ["date", "department"], "left_anti")
-    named = csv_files.file_frame(spark, files)
-    outcomes = ingest.file_outcomes(named, counts, new_keys)
-    ledger.log("rejects", batch_no, bad.join(named.select("file_no", "filename"), "file_no"))
-    ledger.log("upload_history", batch_no, history_rows(outcomes, bad, batch_no, uploaded_by, as_of, seed))
-    ledger.log("alerts", batch_no, new_alerts(ledger.cells(after), ledger.alerts(last), as_of))
-    if origin is not None:
-        ledger.log_epoch(batch_no, *origin)
-    ledger.publish(batch_no, after)
+    combined = combine(current, keys.drop("ym", "bucket"), attempt.batch_no, moment(as_of), F.lit(uploaded_by).cast("bigint"))
+    combined.write.parquet(f"{work}/merged")
+    merged = spark.read.schema(combined.schema).parquet(f"{work}/merged")
+    after = state.without(touched) + attempt.write_version(merged)
+
+    counts = _counts(staged, orders, date_order)
+    bad = _rejected(staged, orders, date_order)
+    bad.write.parquet(f"{work}/bad")
+    bad = spark.read.schema(bad.schema).parquet(f"{work}/bad")
+    outcomes = ingest.file_outcomes(staged.files, counts, merged.where("first_file IS NOT NULL"))
+    attempt.log("rejects", bad)
+    attempt.log("upload_history", history_rows(outcomes, bad, attempt.batch_no, uploaded_by, as_of, seed))
+    attempt.log("alerts", new_alerts(ledger.cells(after), ledger.alerts(state.version), as_of))
+    attempt.publish(after)
     return True
 
 
+def _counts(staged: csv_files.Staged, orders: DataFrame | None, date_order: str) -> DataFrame:
+    """Accepted rows and errors per file."""
+    return ingest.row_counts(ingest.decided(staged.rows, orders, date_order))
+
+
+def _rejected(staged: csv_files.Staged, orders: DataFrame | None, date_order: str) -> DataFrame:
+    """The bad rows, named and numbered: certainly bad ones, and those that their file's date order spoils."""
+    spoilt = ingest.decided(staged.rows.where("sound AND open_order"), orders, date_order).filter("NOT accepted")
+    certain = ingest.decided(staged.rows.where("NOT sound"), orders, date_order)
+    named = staged.files.select("file_no", "filename", "rows_before")
+    bad = certain.unionByName(spoilt).join(named, "file_no")
+    numbered = bad.withColumn("line", F.col("seq") - F.col("rows_before") + 2)
+    return ingest.rejected(numbered, "filename")
+
+
 def history_rows(
     outcomes: DataFrame, bad: DataFrame, batch_no: int, uploaded_by: int | None, as_of: dt.datetime, seed: bool
 ) -> DataFrame:

@@ -1,51 +1,47 @@
-"""Directories of uploaded CSV files: inventory, headers, scans, row numbers.
+"""Directories of uploaded CSV files: one pass over their text, headers, row numbers.
 
-Files may order their columns differently. Spark matches a file's fields to a
-schema by position, so files are grouped by header line first and each distinct
-layout gets a scan of its own.
+Lines are read once and written to the work folder with where they come from. What follows
+reads that table: a row per file block, a row per file with its layout, and the typed rows.
+Files may order their columns differently; every line is cut into as many fields as the
+widest file has, and its file's layout says which field is which column. Nothing about files
+or blocks is collected to the driver, besides the listing that Spark's own file index keeps.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerloom.functions.headers import SEED_DEFAULTS, Layout, layout_of
-from ledgerloom.operators.ingest import RAW
-from ledgerloom.sources.tables import local_frame
+from ledgerloom.functions.headers import NO_COLUMNS, SEED_DEFAULTS, layout
+from ledgerloom.operators.ingest import RAW, typed
 
 # Admitted extensions. Workbooks are admitted but no reader for them
 # exists here, so they are reported as failed.
-READABLE = {"csv"}
-WORKBOOKS = {"xlsx", "xls"}
-
-# Up to this many rows a file or block list is small enough to broadcast
-# (about 100 bytes a row); a longer one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-FILES = T.StructType(
-    [
-        T.StructField("file_no", T.LongType()),
-        T.StructField("uri", T.StringType()),
-        T.StructField("filename", T.StringType()),
-        T.StructField("problem", T.StringType()),
-    ]
-)
+READABLE = ["csv"]
+WORKBOOKS = ["xlsx", "xls"]
+
+# Up to this many file blocks are small enough to broadcast (about 200 bytes each);
+# a longer list is joined by a shuffle.
+BROADCAST_BLOCKS = 500_000
+
+# A character that Java's trim, and so the CSV reader, does not take for blank.
+INK = r"[^\x00-\x20]"
+
+BY_SOURCE = ["source_no", "uri"]
+BY_ARRIVAL = ["arrived", "uri"]
+BY_NAME = ["uri"]
 
 
 @dataclass(frozen=True)
-class SourceFile:
-    """One file of a batch. ``file_no`` is its place in the upload order."""
+class Staged:
+    """The tables of one upload: ``rows`` of all usable files, and ``files``, a row per file."""
 
-    file_no: int
-    path: str
-    uri: str
-    filename: str
-    layout: Layout
+    rows: DataFrame
+    files: DataFrame
 
 
 def _literal(path: str) -> str:
@@ -53,152 +49,188 @@ def _literal(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def _extension(filename: str) -> str:
-    return filename.rsplit(".", 1)[1].lower() if "." in filename else ""
+def _extension() -> Column:
+    return F.lower(F.regexp_extract("uri", r"\.([^./]*)$", 1))
 
 
-def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """First line that is not blank of every file.
+def located(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank with their place: (uri, arrived, block_start, row, value).
 
-    Only first blocks are looked at, and each task keeps one line per file before
-    anything is shuffled.
+    Rows of one block are consecutive in ``row``. Of files that are no CSV only lines of the
+    first block stay, without their text, so that the file is known.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text([_literal(p) for p in paths])
-    located = lines.select(
-        "value",
+    meta = lines.select(
+        "*",
         F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_modification_time").alias("arrived"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return (
-        located.filter((F.col("block_start") == 0) & (F.trim("value") != ""))
-        .groupBy("uri")
-        .agg(F.min_by("value", "row").alias("header"))
     )
+    readable = _extension().isin(READABLE)
+    inked = meta.filter(F.col("value").rlike(INK) & (readable | (F.col("block_start") == 0)))
+    return inked.withColumn("row", F.monotonically_increasing_id()).withColumn("value", F.when(readable, F.col("value")))
+
 
+def text_lines(spark: SparkSession, sources: list[str]) -> DataFrame:
+    """The lines of all CSV files below the sources."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]")
+    parts = [
+        located(reader.text(_literal(source))).withColumn("source_no", F.lit(number))
+        for number, source in enumerate(sources)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
-def inventory(spark: SparkSession, sources: list[str], seed: bool = False) -> list[SourceFile]:
-    """Every file below the sources, in upload order, with its layout or its problem.
 
-    This is metadata: one path and one header line per file, as Spark's own file
-    index keeps on the driver anyway. The index leaves out files of zero bytes.
-    """
-    found: list[tuple[str, str, str]] = []
-    for source in sources:
-        listed = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .load(_literal(source))
-            .select("path", F.col("_metadata.file_path").alias("uri"))
+def listing(spark: SparkSession, sources: list[str]) -> DataFrame:
+    """(source_no, uri, arrived) of every file below the sources; contents are not opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    parts = [
+        reader.load(_literal(source)).select(
+            F.lit(number).alias("source_no"),
+            F.col("_metadata.file_path").alias("uri"),
+            F.col("modificationTime").alias("arrived"),
         )
-        found.extend(sorted((r.path, r.uri, r.path.rsplit("/", 1)[-1]) for r in listed.collect()))
-    readable = [path for path, _, name in found if _extension(name) in READABLE]
-    headers = {r.uri: r.header for r in header_lines(spark, readable).collect()} if readable else {}
-
-    files = []
-    for number, (path, uri, name) in enumerate(found):
-        extension = _extension(name)
-        if extension in READABLE:
-            layout = layout_of(headers.get(uri), required=not seed)
-        elif extension in WORKBOOKS:
-            layout = Layout(0, (), "Excel workbooks cannot be read; upload CSV")
-        else:
-            layout = Layout(0, (), "Invalid file format. Please upload CSV or Excel file.")
-        files.append(SourceFile(number, path, uri, name, layout))
-    return files
-
-
-def file_frame(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    rows = [
-        {"file_no": f.file_no, "uri": f.uri, "filename": f.filename, "problem": f.layout.problem} for f in files
+        for number, source in enumerate(sources)
     ]
-    return local_frame(spark, rows, FILES)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _scan(spark: SparkSession, layout: Layout, paths: list[str]) -> DataFrame:
-    """Text columns of all files with one layout.
+def _blocks(lines: DataFrame) -> DataFrame:
+    """(source_no, uri, arrived, block_start, first_row, n): one row per file block, fixed-width sums."""
+    return lines.groupBy("source_no", "uri", "arrived", "block_start").agg(
+        F.min("row").alias("first_row"), F.count("*").alias("n")
+    )
 
-    A line with more fields than the header is marked: it is parsed again with
-    one column more and has a value there.
-    """
-    names = [f"_c{i}" for i in range(layout.width)]
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    wider = T.StructType([*text, T.StructField("_extra", T.StringType())])
-    rows = (
-        spark.read.schema(T.StructType([*text, T.StructField("_odd", T.StringType())]))
-        .option("header", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_odd")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("recursiveFileLookup", "true")
-        .csv([_literal(p) for p in paths])
+
+def _files(lines: DataFrame, blocks: DataFrame, listed: DataFrame | None, seed: bool) -> DataFrame:
+    """One row per file: its first line, how many rows follow it, its layout or its problem."""
+    heads = blocks.groupBy("source_no", "uri", "arrived").agg(
+        F.min("block_start").alias("head_block"),
+        F.min_by("first_row", "block_start").alias("head_row"),
+        (F.sum("n") - 1).alias("n_rows"),
     )
-    position = dict(layout.positions)
-    overlong = F.col("_odd").isNotNull() & F.coalesce(
-        F.from_csv(F.col("_odd"), wider.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"'})[
-            "_extra"
-        ].isNotNull(),
-        F.lit(False),
+    places = heads.select("uri", F.col("head_block").alias("block_start"), F.col("head_row").alias("row"))
+    headers = lines.join(places, ["uri", "block_start", "row"]).select("uri", F.col("value").alias("header"))
+    found = heads.join(headers, "uri")
+    if listed is not None:
+        others = listed.join(heads.select("uri"), "uri", "left_anti")
+        found = found.unionByName(others, allowMissingColumns=True)
+    extension = _extension()
+    problem = (
+        F.when(extension.isin(READABLE), F.coalesce("layout.problem", F.when(F.col("header").isNull(), F.lit(NO_COLUMNS))))
+        .when(extension.isin(WORKBOOKS), F.lit("Excel workbooks cannot be read; upload CSV"))
+        .otherwise(F.lit("Invalid file format. Please upload CSV or Excel file."))
     )
-    columns = [
-        (F.col(f"_c{position[c]}") if c in position else F.lit(SEED_DEFAULTS.get(c)).cast("string")).alias(c)
-        for c in RAW
-    ]
-    return rows.select(
-        *columns,
-        overlong.alias("malformed"),
-        F.col("_metadata.file_path").alias("uri"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row"),
+    name = F.regexp_extract("uri", r"([^/]*)$", 1)
+    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return found.withColumn("layout", layout(F.col("header"), required=not seed)).select(
+        "source_no",
+        "uri",
+        "arrived",
+        decoded.alias("filename"),
+        problem.alias("problem"),
+        F.when(problem.isNull(), F.col("layout.width")).alias("width"),
+        F.col("layout.at").alias("at"),
+        "head_block",
+        "head_row",
+        F.when(problem.isNull(), F.col("n_rows")).otherwise(F.lit(0)).alias("n_rows"),
     )
 
 
-def scan(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    """Raw text rows of all usable files: one scan per distinct layout."""
-    groups: dict[Layout, list[str]] = {}
-    for f in files:
-        if f.layout.problem is None:
-            groups.setdefault(f.layout, []).append(f.path)
-    out = None
-    for layout, paths in groups.items():
-        rows = _scan(spark, layout, paths)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        fields = ", ".join(f"{c} string" for c in RAW)
-        out = spark.createDataFrame([], f"{fields}, malformed boolean, uri string, block_start long, row long")
-    return out
-
-
-def block_offsets(staged: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per file block: its row counts and the number of rows before it in
-    the whole batch.
-
-    Rows of one block are consecutive in ``row``. The frame has one row per
-    128 MB of input (or per file), so the running sum over it is small.
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """Adds ``file_no``, a file's place in the order, and ``rows_before``, the rows before its first.
+
+    ``ordered`` was range-partitioned and sorted, and holds each row's ``part`` and ``place``
+    there. Sums within a part and the sums of the parts before it give both numbers.
     """
-    blocks = staged.groupBy("uri", "block_start").agg(
-        F.min("row").alias("base"),
-        F.count_if(F.col("accepted")).alias("records_count"),
-        F.count_if(~F.col("accepted")).alias("errors"),
+    parts = ordered.groupBy("part").agg(F.count("*").alias("files"), F.sum("n_rows").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    zero = F.lit(0)
+    starts = parts.select(
+        "part",
+        F.coalesce(F.sum("files").over(before), zero).alias("files_before"),
+        F.coalesce(F.sum("rows").over(before), zero).alias("part_rows_before"),
     )
-    before = Window.orderBy("file_no", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocks.join(files.select("uri", "file_no"), "uri")
-        .withColumn("before", F.coalesce(F.sum(F.col("records_count") + F.col("errors")).over(before), F.lit(0)))
-        .withColumn("file_first", F.min("before").over(Window.partitionBy("file_no")))
+        ordered.withColumn("_files", F.count("*").over(inside))
+        .withColumn("_rows", F.coalesce(F.sum("n_rows").over(inside), zero))
+        .join(F.broadcast(starts), "part")
+        .withColumn("file_no", F.col("files_before") + F.col("_files"))
+        .withColumn("rows_before", F.col("part_rows_before") + F.col("_rows"))
+        .drop("part", "place", "files_before", "part_rows_before", "_files", "_rows")
     )
 
 
-def number_rows(staged: DataFrame, blocks: DataFrame, block_count: int) -> DataFrame:
-    """Adds ``file_no``, ``seq`` (place in the batch) and ``line`` (place in the file,
-    the header being line 1)."""
-    side = blocks.select("uri", "block_start", "base", "before", "file_first", "file_no")
-    side = F.broadcast(side) if block_count <= BROADCAST_ROWS else side
-    seq = F.col("before") + F.col("row") - F.col("base")
-    return (
-        staged.join(side, ["uri", "block_start"])
-        .withColumn("seq", seq)
-        .withColumn("line", F.col("seq") - F.col("file_first") + 2)
-        .drop("uri", "block_start", "row", "base", "before", "file_first")
+def _placed_blocks(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """Blocks of usable files, with what turns a line of theirs into a numbered row.
+
+    ``row`` plus ``shift`` is a row's place in the batch, the header being the place before the
+    file's first row.
+    """
+    inside = Window.partitionBy("uri").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    usable = files.where("problem IS NULL").drop("source_no", "arrived", "filename", "problem", "n_rows")
+    joined = blocks.select("uri", "block_start", "first_row", "n").join(usable, "uri")
+    earlier = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return joined.withColumn("shift", F.col("rows_before") + earlier - F.col("first_row") - 1).drop(
+        "first_row", "n", "head_block", "head_row"
+    )
+
+
+def _parsed(lines: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """Raw text rows (file_no, seq, malformed and the seven columns) of all usable files.
+
+    A line with more fields than its header is malformed.
+    """
+    names = [f"c{i}" for i in range(width + 1)]
+    schema = ", ".join(f"{name} string" for name in names)
+    options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    rows = (
+        lines.select("uri", "block_start", "row", "value")
+        .join(places, ["uri", "block_start"])
+        .withColumn("seq", F.col("row") + F.col("shift"))
+        .where("seq >= rows_before")
+    )
+    fields = rows.select("file_no", "seq", "width", "at", F.from_csv("value", schema, options).alias("f"))
+    cells = fields.select("file_no", "seq", "width", "at", F.array(*[F.col(f"f.{name}") for name in names]).alias("cells"))
+
+    def cell(column: str) -> Column:
+        at = F.col(f"at.{column}")
+        return F.when(at.isNull(), F.lit(SEED_DEFAULTS.get(column)).cast("string")).otherwise(F.get("cells", at))
+
+    return cells.select(
+        "file_no", "seq", F.get("cells", F.col("width")).isNotNull().alias("malformed"), *[cell(c).alias(c) for c in RAW]
+    )
+
+
+def stage(
+    spark: SparkSession, lines: DataFrame, work: str, seed: bool, order: list[str], listed: DataFrame | None = None
+) -> Staged | None:
+    """Writes an upload's tables to the work folder; None if there are no files.
+
+    ``rows`` are typed, good candidates and certainly bad ones apart (``sound``). How many
+    blocks there are and how wide the widest file is are observed while these are written.
+    """
+    lines.write.parquet(f"{work}/lines")
+    read = spark.read.schema(lines.schema).parquet(f"{work}/lines")
+    listed_blocks, found_files = Observation(), Observation()
+    blocks = _blocks(read)
+    blocks.observe(listed_blocks, F.count("*").alias("n")).write.parquet(f"{work}/blocks")
+    blocks = spark.read.schema(blocks.schema).parquet(f"{work}/blocks")
+    files = _files(read, blocks, listed, seed)
+    ordered = (
+        files.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+        .observe(found_files, F.count("*").alias("n"), F.max("width").alias("width"))
     )
+    ordered.write.parquet(f"{work}/files")
+    if not found_files.get["n"]:
+        return None
+    numbered = _numbered(spark.read.schema(ordered.schema).parquet(f"{work}/files"))
+    numbered.write.parquet(f"{work}/numbered")
+    files = spark.read.schema(numbered.schema).parquet(f"{work}/numbered")
+    places = _placed_blocks(blocks, files)
+    small = listed_blocks.get["n"] <= BROADCAST_BLOCKS
+    rows = typed(_parsed(read, F.broadcast(places) if small else places, found_files.get["width"] or 0), seed)
+    rows.write.partitionBy("sound").parquet(f"{work}/rows")
+    return Staged(spark.read.schema(rows.schema).parquet(f"{work}/rows"), files)

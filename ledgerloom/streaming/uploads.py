@@ -1,11 +1,11 @@
 """Continuous ingest: new files in a folder run through the upload job.
 
-The stream only discovers files (path, length and time, no content), exactly once by
-its checkpoint. Every micro-batch then is an ordinary upload batch, so mixed
-layouts, rejects, history and alerts work as in batch. It takes the next free batch number
-when it runs, so edits, read marks and alert runs may commit in between; which (stream,
-epoch) a batch was is part of its commit, so a micro-batch that is replayed after a
-failure is skipped only if that very one was committed.
+The stream reads the lines of new files, exactly once by its checkpoint, and every micro-batch
+is an ordinary upload batch on those lines, so mixed layouts, rejects, history and alerts work
+as in batch and the text is read once. A micro-batch takes the next free batch number
+when it runs, so edits, read marks and alert runs may commit in between; the last epoch of
+every stream is part of a commit, so a micro-batch that is replayed after a failure is
+skipped only if that very one was committed.
 """
 
 from __future__ import annotations
@@ -13,28 +13,28 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.plans.upload import upload
+from ledgerloom.plans.upload import ingest_lines
+from ledgerloom.sources import csv_files
 from ledgerloom.sources.ledger import Ledger
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-ORDERS = {"arrival": ["modificationTime", "path"], "name": ["path"]}
+ORDERS = {"arrival": csv_files.BY_ARRIVAL, "name": csv_files.BY_NAME}
 
 
-def discover(ledger: Ledger, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of files; the content column is pruned, so files are only listed."""
-    return (
-        ledger.spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
+def arriving_lines(ledger: Ledger, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of the lines of new files. Files without any text do not appear in it."""
+    lines = (
+        ledger.spark.readStream.format("text")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select("path", "modificationTime")
     )
+    return lines.select("value", "_metadata")
 
 
-def _now() -> dt.datetime:
+def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
@@ -45,8 +45,9 @@ def start(
     uploaded_by: int | None,
     files_per_batch: int = 1000,
     interval: str | None = None,
-    clock=_now,
+    clock=now,
     order: str = "arrival",
+    date_order: str = "month",
 ) -> StreamingQuery:
     """Starts the stream; every micro-batch is the ledger's next upload batch.
 
@@ -57,16 +58,17 @@ def start(
     With ``interval`` (such as '60 seconds') it keeps polling, without it handles
     what is there and stops. Alerts are evaluated inside every batch.
     """
+    by = ORDERS[order]
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        paths = [r.path for r in batch.sort(*ORDERS[order]).collect()]
-        if not paths or ledger.has_epoch(checkpoint, epoch):
+        attempt = ledger.begin()
+        if attempt.epochs.get(checkpoint, -1) >= epoch:
             return
-        if not upload(ledger, paths, ledger.last_batch() + 1, uploaded_by, clock(), origin=(checkpoint, epoch)):
-            # Failing keeps the checkpoint where it is: the files are taken up again.
-            raise RuntimeError("another writer committed meanwhile; restart the stream")
+        attempt.epochs[checkpoint] = epoch
+        lines = csv_files.located(batch).withColumn("source_no", F.lit(0))
+        ingest_lines(attempt, lines, uploaded_by, clock(), False, date_order, by)
 
-    writer = discover(ledger, folder, files_per_batch).writeStream.foreachBatch(apply)
+    writer = arriving_lines(ledger, folder, files_per_batch).writeStream.foreachBatch(apply)
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()

@@ -4,15 +4,18 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
-from ledgerloom.functions.headers import layout_of
+from ledgerloom.functions import coercion
+from ledgerloom.functions.headers import fields, layout
 from ledgerloom.operators import alerts, departments, ingest, kpis, merge, reports, trends
 from ledgerloom.operators.filters import Scope
 from ledgerloom.plans import maintain
 from ledgerloom.plans.report import write_printable, write_report
 from ledgerloom.plans.upload import upload
 from ledgerloom.sources import csv_files
-from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.ledger import Attempt, Ledger
 
 NOW = dt.datetime(2024, 6, 1)
 HEADER = "Date,Revenue,Cost,Profit,Department,Expenses,Sales Volume"
@@ -42,19 +45,33 @@ def history(ledger):
 # -- headers ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("sales", ["Sales Volume", "sales_volume", "SalesVolume", " SALES ", "sales volume"])
-def test_header_spellings(sales):
-    layout = layout_of(f"﻿ date ,REVENUE,Cost,profit,Department,expenses,{sales}")
-    assert layout.problem is None and dict(layout.positions)["sales_volume"] == 6
+def laid_out(spark, *lines, required=True):
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    rows = frame.select("i", layout(F.col("line"), required).alias("x")).sort("i").collect()
+    return [(r.x.problem, r.x.width, r.x.at.asDict()) for r in rows]
 
 
-def test_header_problems():
-    assert layout_of("Date,Revenue,Cost,Profit").problem == "Missing required columns: Department, Expenses, Sales Volume"
-    assert layout_of(HEADER + ",Sales").problem == "Ambiguous columns for Sales Volume"
-    assert layout_of("").problem == layout_of(None).problem == "No columns to parse from file"
-    repeated = layout_of(HEADER + ",Revenue")
-    assert repeated.problem is None and dict(repeated.positions)["revenue"] == 1
-    assert layout_of("date,revenue", required=False).problem is None
+def test_header_spellings(spark):
+    for sales in ["Sales Volume", "sales_volume", "SalesVolume", " SALES ", "sales volume", '"Sales"', "Sales\u00a0"]:
+        problem, width, at = laid_out(spark, f"\ufeff date ,REVENUE,Cost,profit,Department,expenses,{sales}")[0]
+        assert problem is None and width == 7 and at["sales_volume"] == 6 and at["date"] == 0
+
+
+def test_header_problems(spark):
+    found = laid_out(spark, "Date,Revenue,Cost,Profit", HEADER + ",Sales", "", None, HEADER + ",Revenue", '"a, ""b""",' + HEADER)
+    assert [problem for problem, _, _ in found] == [
+        "Missing required columns: Department, Expenses, Sales Volume",
+        "Ambiguous columns for Sales Volume",
+        "No columns to parse from file",
+        "No columns to parse from file",
+        None,
+        None,
+    ]
+    assert found[4][2]["revenue"] == 1 and found[5][1:] == (8, {**found[5][2], "date": 1, "sales_volume": 7})
+    seed = laid_out(spark, "date,revenue", required=False)[0]
+    assert seed[0] is None and seed[2]["cost"] is None
+    line = spark.createDataFrame([('a,"b, ""c""",,d',)], "line string")
+    assert line.select(fields(F.col("line"))).first()[0] == ["a", 'b, "c"', "", "d"]
 
 
 # -- rows ---------------------------------------------------------------------
@@ -228,31 +245,99 @@ def test_seed_load_first_wins_with_defaults(spark, ledger, tmp_path):
     assert {k: v[:2] for k, v in history(ledger).items()} == {"z.csv": ("partial", 1), "a.csv": ("success", 1)}
 
 
-def test_row_numbers_survive_many_splits(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [0, csv_files.BROADCAST_BLOCKS])
+def test_row_numbers_survive_many_splits(spark, tmp_path, monkeypatch, broadcast):
     """Files cut into many blocks and packed into tasks in any order."""
     folder = tmp_path / "in"
     counts = {"a.csv": 4000, "b.csv": 1, "c.csv": 2500}
     for name, n in counts.items():
-        put(folder, name, HEADER, *[f"2024-01-01,{i},0,0,{name},0,{i}" for i in range(n)])
+        put(folder, name, HEADER, *[f"2024-01-01,{i},0,0,{name},0,{i}" + "\n" * (i % 50 == 7) for i in range(n)])
+    monkeypatch.setattr(csv_files, "BROADCAST_BLOCKS", broadcast)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
     try:
-        files = csv_files.inventory(spark, [str(folder)])
-        work = str(tmp_path / "rows")
-        ingest.validate(csv_files.scan(spark, files)).write.parquet(work)
-        staged = spark.read.parquet(work)
-        blocks = csv_files.block_offsets(staged, csv_files.file_frame(spark, files))
-        assert blocks.count() > 20
-        for limit in (10**6, 0):
-            rows = csv_files.number_rows(staged, blocks, csv_files.BROADCAST_ROWS + 1 if limit == 0 else 1)
-            found = rows.select("seq", "line", "department", "sales_volume").toPandas().sort_values("seq")
-            assert list(found.seq) == list(range(6501))
-            assert list(found.department) == [name for name, n in counts.items() for _ in range(n)]
-            assert list(found.line) == [i + 2 for n in counts.values() for i in range(n)]
-            assert list(found.sales_volume) == [i for n in counts.values() for i in range(n)]
+        lines = csv_files.text_lines(spark, [str(folder)])
+        staged = csv_files.stage(spark, lines, str(tmp_path / "work"), False, csv_files.BY_SOURCE)
+        assert spark.read.parquet(str(tmp_path / "work" / "blocks")).count() > 20
+        files = staged.files.select("file_no", "rows_before", "filename", "n_rows")
+        rows = staged.rows.join(files, "file_no").withColumn("line", F.col("seq") - F.col("rows_before") + 2)
+        found = rows.select("seq", "line", "department", "sales_volume", "file_no").toPandas().sort_values("seq")
+        assert list(found.seq) == list(range(6501))
+        assert list(found.department) == [name for name, n in counts.items() for _ in range(n)]
+        assert list(found.line) == [i + 2 for n in counts.values() for i in range(n)]
+        assert list(found.sales_volume) == [i for n in counts.values() for i in range(n)]
+        listed = {r.filename: (r.file_no, r.n_rows) for r in files.collect()}
+        assert listed == {"a.csv": (0, 4000), "b.csv": (1, 1), "c.csv": (2, 2500)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_text_is_read_once(spark, ledger, tmp_path, monkeypatch):
+    """Only the first table written from an upload scans its text."""
+    scans = []
+    write = DataFrameWriter.parquet
+
+    def counted(self, path, *args, **kwargs):
+        plan = self._df._jdf.queryExecution().executedPlan().toString()
+        scans.append((path.rsplit("/", 1)[-1], plan.count("FileScan text")))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    source = put(tmp_path / "in", "a.csv", HEADER, "2024-01-01,1,0,0,A,0,1", "x,1,0,0,A,0,1")
+    upload(ledger, [source], 1, 1, NOW)
+    assert dict(scans)["lines"] == 1 and sum(n for _, n in scans) == 1
+
+
+def test_many_files_are_numbered_in_order(spark, tmp_path):
+    """A listing of 100,000 files of different sizes, without any of them on the driver."""
+    n = 100_000
+    listed = spark.range(n).select(
+        F.format_string("f%06d.csv", F.lit(n - 1) - F.col("id")).alias("uri"), (F.col("id") % 7).alias("n_rows")
+    )
+    ordered = listed.repartitionByRange(16, "uri").sortWithinPartitions("uri").withColumns(
+        {"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}
+    )
+    ordered.write.parquet(str(tmp_path / "files"))
+    numbered = csv_files._numbered(spark.read.parquet(str(tmp_path / "files")))
+    found = numbered.toPandas().sort_values("uri")
+    assert list(found.file_no) == list(range(n))
+    assert list(found.rows_before) == [0, *found.n_rows.cumsum()[:-1]]
+
+
+def test_a_file_has_one_date_order(spark, ledger, tmp_path):
+    folder = tmp_path / "in"
+    row = lambda date, department: f"{date},1,0,0,{department},0,1"
+    put(folder, "day.csv", HEADER, row("03/04/2024", "A"), row("13/04/2024", "A"), row("2024-05-01", "A"))
+    put(folder, "month.csv", HEADER, row("03/04/2024", "B"), row("04/13/2024", "B"), row("99/99/2024", "B"))
+    put(folder, "open.csv", HEADER, row("03/04/2024", "C"), row("05-06-2024", "C"))
+    put(folder, "both.csv", HEADER, row("13/04/2024", "D"), row("04/13/2024", "D"), row("05/05/2024", "D"), row('"Mar 4, 2024"', "D"))
+    upload(ledger, [str(folder)], 1, 5, NOW)
+    assert sorted(stored(ledger)) == [
+        ("2024-03-04", "B"), ("2024-03-04", "C"), ("2024-03-04", "D"), ("2024-04-03", "A"), ("2024-04-13", "A"),
+        ("2024-04-13", "B"), ("2024-05-01", "A"), ("2024-05-05", "D"), ("2024-05-06", "C"),
+    ]
+    assert sorted((r.filename, r.error) for r in ledger.rejects().collect()) == [
+        ("both.csv", "Row 2: ambiguous date '13/04/2024'"),
+        ("both.csv", "Row 3: ambiguous date '04/13/2024'"),
+        ("month.csv", "Row 4: invalid date '99/99/2024'"),
+    ]
+    for order, kept in [("day", ["2024-04-03", "2024-06-05"]), ("day only", ["2024-04-03", "2024-06-05"]), ("month only", ["2024-03-04", "2024-05-06"])]:
+        other = Ledger.create(spark, str(tmp_path / order), buckets=1)
+        upload(other, [f"{folder}/open.csv"], 1, 5, NOW, date_order=order)
+        assert sorted(date for date, _ in stored(other)) == kept
+
+
+def test_blanks_are_stripped_in_linear_time(spark):
+    import time
+
+    wide = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 100_000), F.lit("b")).alias("x"))
+    wide.select(coercion.department(F.col("x"))).collect()
+    started = time.perf_counter()
+    assert len(wide.select(coercion.department(F.col("x")), coercion.money(F.col("x"))).first()[0]) == 100_002
+    assert time.perf_counter() - started < 1
+    odd = spark.createDataFrame([("\u3000\u00a0\x1f 7.5\x85\t",)], "x string").select(coercion.money(F.col("x")))
+    assert str(odd.first()[0]) == "7.50"
+
+
 def test_same_batch_again_is_skipped_and_a_new_one_changes_nothing(spark, ledger, tmp_path):
     source = [put(tmp_path / "a", "a.csv", HEADER, *[f"2024-0{m}-01,{m},0,{m},A,0,{m}" for m in range(1, 7)])]
     assert upload(ledger, source, 1, 1, NOW)
@@ -270,7 +355,7 @@ def test_failed_attempt_is_invisible_and_repeatable(spark, ledger, tmp_path, mon
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(Ledger, "publish", lost)
+        patch.setattr(Attempt, "publish", lost)
         with pytest.raises(RuntimeError, match="lost"):
             upload(ledger, source, 2, 2, NOW)
     assert stored(ledger) == {("2024-01-01", "A"): (1, 1, 1)}
@@ -280,6 +365,33 @@ def test_failed_attempt_is_invisible_and_repeatable(spark, ledger, tmp_path, mon
     assert ledger.rejects().count() == 1 and len(ledger.upload_history().collect()) == 2
 
 
+def test_what_a_dead_attempt_left_stays_unseen(spark, ledger, tmp_path, monkeypatch):
+    """Also when another job commits under the number that it had."""
+    upload(ledger, [put(tmp_path / "a", "a.csv", HEADER, "2024-01-01,1,0,1,A,0,1")], 1, 1, NOW)
+    source = [put(tmp_path / "b", "b.csv", HEADER, "2024-01-01,2,5,-9,A,8,2", "2024-02-01,bad,0,0,A,0,1")]
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Attempt, "publish", lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            upload(ledger, source, 2, 2, NOW)
+    assert maintain.run_alerts(ledger, 2, NOW)
+    assert set(history(ledger)) == {"a.csv"} and ledger.rejects().count() == 0 and ledger.alerts().count() == 0
+    assert not upload(ledger, source, 2, 2, NOW) and upload(ledger, source, 3, 2, NOW)
+    assert set(history(ledger)) == {"a.csv", "b.csv"} and ledger.rejects().count() == 1
+    assert Ledger.open(spark, ledger.root).last_batch() == 3
+
+
+def test_a_commit_that_was_cut_short_does_not_count(spark, ledger, tmp_path):
+    source = [put(tmp_path / "a", "a.csv", HEADER, "2024-01-01,1,0,1,A,0,1")]
+    upload(ledger, source, 1, 1, NOW)
+    (tmp_path / "ledger" / "commits" / "version=2" / "_temporary").mkdir(parents=True)
+    assert ledger.last_batch() == 1 and Ledger.open(spark, ledger.root).state().version == 1
+    assert upload(ledger, source, 2, 1, NOW) and Ledger.open(spark, ledger.root).state().version == 2
+
+
 # -- stored table -------------------------------------------------------------
 
 
@@ -289,6 +401,25 @@ def fill(ledger, tmp_path):
     return {(r.date.month, r.department): r.id for r in ledger.read().collect()}
 
 
+def test_an_edit_opens_only_pieces_that_can_hold_its_id(spark, ledger, tmp_path):
+    rows = [f"20{y}-{m:02d}-{d:02d},{m},0,{m},{name},0,{d}" for y in (22, 23, 24) for m in range(1, 13) for d in (1, 9) for name in "ABCDE"]
+    upload(ledger, [put(tmp_path / "a", "a.csv", HEADER, *rows)], 1, 1, NOW)
+    upload(ledger, [put(tmp_path / "b", "b.csv", HEADER, "2024-02-03,7,0,7,A,0,7")], 2, 1, NOW)
+    state = ledger.state()
+    assert len(state.pieces) == 72
+    for row in ledger.read().where("sales_volume = 7 OR (department = 'C' AND day(date) = 9)").collect():
+        wanted = spark.createDataFrame([(row.id,)], "id long")
+        held = ledger.may_hold(wanted)
+        assert (row.ym, row.bucket) in {(p.ym, p.bucket) for p in held} and len(held) <= 2
+        assert len(ledger.read(held).inputFiles()) == len(held)
+    assert ledger.may_hold(spark.createDataFrame([(-5,), (2**50,)], "id long")) == []
+    assert ledger.may_hold(ledger.read().select("id").unionByName(spark.range(2000))) == state.pieces
+    one = ledger.read().where("sales_volume = 7").select("id")
+    assert maintain.apply_deletes(ledger, one, 3, NOW)
+    after = ledger.state().pieces
+    assert sum(p.held_by == 3 for p in after) == 1 and len(after) == 72
+
+
 def test_only_touched_pieces_are_rewritten(spark, ledger, tmp_path):
     fill(ledger, tmp_path)
     before = {(p.ym, p.bucket): p.held_by for p in ledger.state().pieces}
@@ -400,3 +531,29 @@ def test_report_files(spark, tmp_path, facts):
     rows = spark.read.option("header", "true").csv(printed["business_data_summary"]).collect()
     assert len(rows) == 50 and rows[0].date == "2024-01-30" and rows[0].revenue == "$3,000.00" and rows[0].sales == "30,000"
     assert {len(r.department) for r in rows} == {1, 15}
+
+
+def test_stored_users_and_their_removal(spark, ledger, tmp_path):
+    schema = "id long, name string, email string, role string, is_active boolean, created_at timestamp, last_login timestamp"
+    people = [(i, f"user {i}", f"u{i}@example.com", "Analyst", True, NOW, None) for i in (1, 2, 3)]
+    assert ledger.users().count() == 0
+    assert maintain.put_users(ledger, spark.createDataFrame(people, schema), 1)
+    for batch, user in ((2, 1), (3, 2)):
+        upload(ledger, [put(tmp_path / f"in{user}", f"{user}.csv", HEADER, f"2024-0{user}-01,1,0,1,A,0,1")], batch, user, NOW)
+    changes = [(1, 1, "first", None, None), (1, 2, None, "Admin", None), (1, 3, None, None, False), (9, 4, "nobody", None, None)]
+    frame = spark.createDataFrame(changes, "id long, seq long, name string, role string, is_active boolean")
+    assert maintain.apply_user_changes(ledger, frame, 4) and not maintain.apply_user_changes(ledger, frame, 4)
+    first = ledger.users().where("id = 1").first()
+    assert (first.name, first.role, first.is_active, first.email) == ("first", "Admin", False, "u1@example.com")
+
+    before = {(p.ym, p.bucket): p.attempt for p in ledger.state().pieces}
+    assert maintain.remove_users(ledger, spark.createDataFrame([(1,), (1,)], "id long"), 5)
+    assert sorted(r.id for r in ledger.users().collect()) == [2, 3]
+    assert stored(ledger) == {("2024-01-01", "A"): (1, 1, None), ("2024-02-01", "A"): (1, 1, 2)}
+    assert {r.filename: r.uploaded_by for r in ledger.upload_history().collect()} == {"1.csv": None, "2.csv": 2}
+    after = {(p.ym, p.bucket): p.attempt for p in ledger.state().pieces}
+    assert [key[0] for key in after if after[key] != before[key]] == ["2024-01"]
+    # A new user with the old id owns what is uploaded from now on, and nothing before.
+    assert maintain.put_users(ledger, spark.createDataFrame([people[0]], schema), 6)
+    upload(ledger, [put(tmp_path / "again", "3.csv", HEADER, "2024-03-01,1,0,1,A,0,1")], 7, 1, NOW)
+    assert {r.filename: r.uploaded_by for r in ledger.upload_history().collect()} == {"1.csv": None, "2.csv": 2, "3.csv": 1}

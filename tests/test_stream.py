@@ -3,7 +3,10 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from ledgerloom.sources.ledger import Ledger
+import pytest
+
+from ledgerloom.plans import maintain
+from ledgerloom.sources.ledger import Attempt, Ledger
 from ledgerloom.streaming import uploads
 
 from test_ingest import HEADER, OTHER, put, stored
@@ -56,8 +59,6 @@ def test_the_newest_upload_wins_at_any_batch_size(spark, tmp_path):
 
 
 def test_other_jobs_may_commit_between_runs(spark, tmp_path):
-    from ledgerloom.plans import maintain
-
     ledger = Ledger.create(spark, str(tmp_path / "ledger"), buckets=1)
     folder = put(tmp_path / "in", "1.csv", HEADER, "2024-01-01,100,0,5,A,0,1")
     run(ledger, folder, tmp_path)
@@ -81,7 +82,6 @@ def test_other_jobs_may_commit_between_runs(spark, tmp_path):
 
 
 def test_ids_of_another_batch_are_never_given(spark):
-    import pytest
     from pyspark.sql import functions as F
 
     from ledgerloom.operators.merge import new_id
@@ -92,10 +92,31 @@ def test_ids_of_another_batch_are_never_given(spark):
         spark.range(1).select(new_id(1, F.lit(2**40))).collect()
 
 
-def test_discovery_reads_no_content(spark, tmp_path):
+def test_a_batch_that_dies_is_taken_up_again(spark, tmp_path, monkeypatch):
+    """The stream dies just before its commit, another job commits, the stream starts again."""
+    ledger = Ledger.create(spark, str(tmp_path / "ledger"), buckets=1)
+    folder = put(tmp_path / "in", "1.csv", HEADER, "2024-01-01,100,0,5,A,0,1", "2024-01-02,bad,0,5,A,0,1")
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Attempt, "publish", lost)
+        with pytest.raises(Exception, match="lost"):
+            run(ledger, folder, tmp_path)
+    assert maintain.run_alerts(ledger, ledger.last_batch() + 1, NOW)
+    assert ledger.upload_history().count() == ledger.rejects().count() == ledger.alerts().count() == 0
+    for _ in range(2):
+        run(ledger, folder, tmp_path)
+        assert stored(ledger) == {("2024-01-01", "A"): (100, 1, 3)}
+        assert ledger.upload_history().count() == ledger.rejects().count() == ledger.alerts().count() == 1
+
+
+def test_files_of_other_kinds_are_logged(spark, tmp_path):
     ledger = Ledger.create(spark, str(tmp_path / "ledger"), buckets=1)
-    put(tmp_path / "in", "1.csv", HEADER)
-    batch = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path")
-    plan = batch._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string>" in plan
-    assert uploads.discover(ledger, str(tmp_path / "in")).columns == ["path", "modificationTime"]
+    folder = put(tmp_path / "in", "1.csv", HEADER, "2024-01-01,100,0,50,A,0,1")
+    put(tmp_path / "in", "book.xlsx", "PK", "more", "lines")
+    run(ledger, folder, tmp_path)
+    statuses = {r.filename: r.status for r in ledger.upload_history().collect()}
+    assert statuses == {"1.csv": "success", "book.xlsx": "failed"}
+    assert uploads.arriving_lines(ledger, folder).columns == ["value", "_metadata"]

@@ -50,7 +50,7 @@ def short_date(date: Column) -> Column:
 
 def status_label(status: Column) -> Column:
     """First letter in upper case, the rest as it is."""
-    return F.concat(F.upper(F.substring(status, 1, 1)), F.substring(status, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(status, 1, 1)), F.substr(status, F.lit(2)))
 
 
 def status_icon(status: Column) -> Column:

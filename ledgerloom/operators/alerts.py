@@ -7,10 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.measures import moment
-from ledgerloom.operators.departments import alert_totals
+from ledgerloom.functions.measures import growth, moment, percent_of
 from ledgerloom.operators.filters import unread
-from ledgerloom.operators.rollup import latest_growth, monthly
+from ledgerloom.operators.rollup import monthly_departmental
 from ledgerloom.schema import PROFIT_MARGIN_THRESHOLD, REVENUE_DROP_THRESHOLD
 
 
@@ -22,51 +21,54 @@ def evaluate(
     """All alerts the rules raise on the given records: type, message, severity,
     department and the unrounded value that fired.
 
-    Both department rules are read off one department aggregate.
+    The records are read once: they are condensed per month and department, and grouping sets
+    of these cells give the departments' and the months' totals.
     """
-    totals = alert_totals(df)
-    low = F.struct(
-        F.lit("low_margin").alias("type"),
-        F.concat(
-            F.lit("Low profit margin ("),
-            F.format_string("%.1f", F.col("margin")),
-            F.lit("%) detected in "),
-            F.col("department"),
-        ).alias("message"),
-        F.lit("warning").alias("severity"),
-        F.col("margin").alias("value"),
+    cells = monthly_departmental(df)
+    totals = cells.groupingSets([["month"], ["department"]], "month", "department").agg(
+        F.grouping("month").alias("departmental"), *[F.sum(c).alias(c) for c in ("revenue", "profit", "expenses")]
     )
-    exceed = F.struct(
-        F.lit("expense_exceed").alias("type"),
-        F.concat(F.lit("Expenses exceed revenue in "), F.col("department"), F.lit("!")).alias("message"),
-        F.lit("danger").alias("severity"),
-        (F.col("expenses") - F.col("revenue")).cast("double").alias("value"),
+    # A row per department, and one with all months, of which the calendar has few.
+    whole = F.when(F.col("departmental") == 0, F.struct("month", "revenue"))
+    rows = totals.groupBy("departmental", "department").agg(
+        *[F.max(F.when(F.col("departmental") == 1, F.col(c))).alias(c) for c in ("revenue", "profit", "expenses")],
+        F.array_sort(F.collect_list(whole)).alias("months"),
     )
-    fired = F.array_compact(
-        F.array(
-            F.when(F.col("margin") < margin_threshold, low),
-            F.when(F.col("expenses") > F.col("revenue"), exceed),
-        )
-    )
-    departmental = totals.select("department", F.explode(fired).alias("alert")).select(
-        "alert.type", "alert.message", "alert.severity", "department", "alert.value"
-    )
-
-    drop = -F.col("growth")
-    dropped = (
-        latest_growth(monthly(df))
-        .filter(drop > drop_threshold)
-        .select(
-            F.lit("revenue_drop").alias("type"),
+    margin = F.when(F.col("revenue") > 0, percent_of(F.col("profit"), F.col("revenue"))).otherwise(F.lit(0.0))
+    latest, previous = (F.get(F.col("months.revenue"), F.size("months") - back) for back in (1, 2))
+    drop = -growth(latest, F.when(F.size("months") > 1, previous))
+    rules = {
+        "low_margin": (
+            (F.col("departmental") == 1) & (margin < margin_threshold),
             F.concat(
-                F.lit("Revenue dropped by "), F.format_string("%.1f", drop), F.lit("% compared to last month")
-            ).alias("message"),
-            F.lit("danger").alias("severity"),
-            F.lit(None).cast("string").alias("department"),
-            drop.alias("value"),
+                F.lit("Low profit margin ("), F.format_string("%.1f", margin), F.lit("%) detected in "), F.col("department")
+            ),
+            "warning",
+            margin,
+        ),
+        "expense_exceed": (
+            F.col("expenses") > F.col("revenue"),
+            F.concat(F.lit("Expenses exceed revenue in "), F.col("department"), F.lit("!")),
+            "danger",
+            (F.col("expenses") - F.col("revenue")).cast("double"),
+        ),
+        "revenue_drop": (
+            drop > drop_threshold,
+            F.concat(F.lit("Revenue dropped by "), F.format_string("%.1f", drop), F.lit("% compared to last month")),
+            "danger",
+            drop,
+        ),
+    }
+    fired = [
+        F.when(
+            fires,
+            F.struct(F.lit(kind).alias("type"), message.alias("message"), F.lit(severity).alias("severity"), value.alias("value")),
         )
+        for kind, (fires, message, severity, value) in rules.items()
+    ]
+    return rows.select("department", F.explode(F.array_compact(F.array(*fired))).alias("alert")).select(
+        "alert.type", "alert.message", "alert.severity", "department", "alert.value"
     )
-    return departmental.unionByName(dropped)
 
 
 def suppress(candidates: DataFrame, existing: DataFrame) -> DataFrame:

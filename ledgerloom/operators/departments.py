@@ -94,12 +94,3 @@ def report_summary(df: DataFrame, scope: Scope = Scope()) -> DataFrame:
 
 def names(df: DataFrame, scope: Scope = Scope()) -> DataFrame:
     return scope.apply(df).select("department").distinct()
-
-
-def alert_totals(df: DataFrame) -> DataFrame:
-    """Department totals the alert rules look at, with the unrounded margin."""
-    totals = departmental(df)
-    unrounded = F.when(
-        F.col("revenue") > 0, percent_of(F.col("profit"), F.col("revenue"))
-    ).otherwise(F.lit(0.0))
-    return totals.select("department", "revenue", "profit", "expenses", unrounded.alias("margin"))

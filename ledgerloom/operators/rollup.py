@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.measures import growth, month_label, month_start, percent_of
+from ledgerloom.functions.measures import month_label, month_start, percent_of
 from ledgerloom.schema import MEASURES
 
 
@@ -66,12 +66,3 @@ def with_previous(months: DataFrame, *partition: str) -> DataFrame:
 def labelled(months: DataFrame) -> DataFrame:
     """Replaces the first day of the month by its 'yyyy-MM' text."""
     return months.withColumn("month", month_label(F.col("month")))
-
-
-def latest_growth(months: DataFrame) -> DataFrame:
-    """One row: revenue of the last two present months and the unrounded growth."""
-    return (
-        with_previous(months)
-        .agg(F.max_by("revenue", "month").alias("current"), F.max_by("previous", "month").alias("previous"))
-        .withColumn("growth", growth(F.col("current"), F.col("previous")))
-    )

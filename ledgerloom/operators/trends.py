@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.measures import as_double, growth, margin
+from ledgerloom.functions.measures import as_double, growth, margin, trend_direction, trend_value
 from ledgerloom.operators.filters import Scope
 from ledgerloom.operators.rollup import labelled, monthly, monthly_departmental, with_previous
 
@@ -43,3 +43,10 @@ def monthly_growth_by_department(df: DataFrame, scope: Scope = Scope()) -> DataF
     months = labelled(with_previous(monthly_departmental(scope.apply(df)), "department"))
     rate = growth(F.col("revenue"), F.col("previous"))
     return months.filter(F.col("previous") > 0).select("department", "month", F.round(rate, 2).alias("growth_rate"))
+
+
+def growth_directions(df: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """The growth series as it is shown: up or down, and by how much."""
+    rates = monthly_growth(df, scope)
+    shown = [trend_direction(F.col("growth_rate")).alias("direction"), trend_value(F.col("growth_rate")).alias("value")]
+    return rates.select("month", *shown)

@@ -8,18 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.display import short_date
 from ledgerloom.functions.headers import normalise
-from ledgerloom.functions.measures import moment
+from ledgerloom.functions.measures import margin, moment, performance_class
 from ledgerloom.operators import admin, alerts, departments, ingest, kpis, listing, merge, quality, reports, rollup, trends
 from ledgerloom.operators.filters import Scope, active, by_id, since, unread, visible_to
 from ledgerloom.plans import maintain, procedures
-from ledgerloom.plans.report import write_report
+from ledgerloom.plans.report import write_printable, write_report
 from ledgerloom.plans.upload import upload
-from ledgerloom.schema import MEASURES, UPLOAD_COLUMNS
+from ledgerloom.schema import BUSINESS_DATA, MEASURES, UPLOAD_COLUMNS, UPLOAD_HISTORY
 from ledgerloom.session import configure, work_folder
 from ledgerloom.sources import adapter
 from ledgerloom.sources.ledger import Ledger
-from ledgerloom.streaming import uploads
+from ledgerloom.streaming import polling, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,37 +237,44 @@ def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
-    """The raw uploads as CSV folders, one per day: the days before the change in one
-    column order, the others in another.
+LAYOUTS = [
+    ["Date", "Revenue", "Cost", "Expenses", "Profit", "Department", "Sales_Volume"],
+    ["date", "REVENUE", "Cost", "Profit", "department", "Expenses", " Sales Volume"],
+]
+
+
+def _written_csv(spark: SparkSession, rows: DataFrame, titles: list[str], extension: str = "csv") -> str:
+    """Input for the upload queries: a folder with one CSV file per ``filename``, in order of ``seq``.
 
-    Rows are range-partitioned by day and line, so a day may be several files whose
-    names are in line order, and no day has to fit one task.
+    Every file is written by one task, as an upload is, and then gets its name.
     """
-    raw = adapter.raw_uploads(configure(spark), folder)
-    layouts = [
-        ["Date", "Revenue", "Cost", "Expenses", "Profit", "Department", "Sales_Volume"],
-        ["date", "REVENUE", "Cost", "Profit", "department", "Expenses", " Sales Volume"],
-    ]
-    titles = {normalise(t): column for t, column in UPLOAD_COLUMNS.items()}
-    written = []
-    early = F.col("file_no") < F.unix_date(F.lit(LAYOUT_CHANGE))
-    early = F.coalesce(early, F.lit(False))
-    for number, (period, layout) in enumerate(zip((early, ~early), layouts)):
-        path = work_folder(spark, f"uploads-{number}")
-        rows = raw.filter(period).repartitionByRange("file_no", "seq")
-        columns = [F.col(titles[normalise(title)]).alias(title) for title in layout]
-        (
-            rows.sortWithinPartitions("file_no", "seq")
-            .select("file_no", *columns)
-            .write.partitionBy("file_no")
-            .option("header", "true")
-            .option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false")
-            .csv(path)
-        )
-        written.append(path)
-    return written
+    path = work_folder(spark, "uploads")
+    columns = {normalise(t): c for t, c in UPLOAD_COLUMNS.items()}
+    named = [F.col(columns[normalise(title)]).alias(title) for title in titles]
+    (
+        rows.repartitionByRange("filename")
+        .sortWithinPartitions("filename", "seq")
+        .select(F.col("filename").alias("_file"), *named)
+        .write.partitionBy("_file")
+        .option("header", "true")
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
+        .csv(path)
+    )
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in system.globStatus(hadoop.Path(f"{path}/_file=*/part-*")):
+        stem = part.getPath().getParent().getName().removeprefix("_file=").rsplit(".", 1)[0]
+        system.rename(part.getPath(), hadoop.Path(f"{path}/{stem}.{extension}"))
+    return path
+
+
+def _written_uploads(spark: SparkSession, folder: str) -> list[str]:
+    """The raw uploads as CSV files, one per day: the days before the change in one column order,
+    the others in another."""
+    raw = adapter.raw_uploads(spark, folder)
+    early = F.coalesce(F.col("file_no") < F.unix_date(F.lit(LAYOUT_CHANGE)), F.lit(False))
+    return [_written_csv(spark, raw.filter(period), layout) for period, layout in zip((early, ~early), LAYOUTS)]
 
 
 def _uploaded(spark: SparkSession, folder: str) -> Ledger:
@@ -287,42 +295,102 @@ def _streamed(spark: SparkSession, folder: str) -> Ledger:
 
 
 def _stored(spark: SparkSession, folder: str) -> Ledger:
-    """The fact table as the first batch of a ledger."""
+    """The fact table, the users and the uploads as the first batch of a ledger."""
     ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=1)
     attempt = ledger.begin()
-    attempt.publish(attempt.write_version(adapter.business_data(spark, folder)))
+    pieces = attempt.write_version(adapter.business_data(spark, folder))
+    attempt.write_users(adapter.users(spark, folder))
+    history = adapter.upload_history(spark, folder)
+    attempt.log("upload_history", history.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in UPLOAD_HISTORY]))
+    attempt.publish(pieces)
     return ledger
 
 
 def csv_ingest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    return _record_columns(_uploaded(spark, folder).read()).drop("id")
+    return _record_columns(_uploaded(spark, folder).read())
 
 
 def csv_ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    rejects = _uploaded(spark, folder).rejects()
-    return rejects.select("raw", F.regexp_replace("error", "^Row [0-9]+: ", "").alias("problem"))
+    return _uploaded(spark, folder).rejects().select("filename", "line", "raw", "error")
 
 
 def csv_ingest_history(spark: SparkSession, folder: str) -> DataFrame:
-    """Records over all logged files (how many files there are is up to the partitioning)."""
-    return _uploaded(spark, folder).upload_history().agg(F.sum("records_count").alias("records"))
+    """The logged files, with their outcome and first errors."""
+    return _uploaded(spark, folder).upload_history().select(
+        "id", "filename", "records_count", "status", "error_message", F.col("uploaded_by").cast("string").alias("owner")
+    )
+
+
+def csv_ingest_failed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that cannot be used, beside usable ones: by event type a column is missing, two columns
+    stand for one, the file has another extension, or it is a workbook by name."""
+    raw = adapter.raw_uploads(configure(spark), folder)
+    titles = LAYOUTS[0]
+    kinds = {
+        "click": ([t for t in titles if t != "Expenses"], "csv"),
+        "view": ([*titles, "Sales"], "csv"),
+        "error": (titles, "txt"),
+        "signup": (titles, "xlsx"),
+        "purchase": (titles, "CSV"),
+    }
+    kind = F.trim("department")
+    sources = []
+    for name, (layout, extension) in kinds.items():
+        rows = raw.filter(kind == name).withColumn("filename", F.concat(F.lit(f"{name}_"), F.col("filename")))
+        sources.append(_written_csv(spark, rows, layout, extension))
+    ledger = Ledger.create(spark, work_folder(spark, "ledger"), buckets=1)
+    upload(ledger, sources, 1, VIEWER, AS_OF)
+    failed = F.when(F.col("status") == "failed", F.col("error_message"))
+    return ledger.upload_history().select("filename", "status", "records_count", failed.alias("problem"))
+
+
+def ingest_date_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Uploads whose files write day and month in different orders, and what became of every line."""
+    validated = ingest.validate(adapter.dated_uploads(configure(spark), folder))
+    date_error = F.filter("errors", lambda e: e.contains(" date "))
+    return validated.select(
+        "filename", "line", F.date_format("date", "yyyy-MM-dd").alias("date"), F.get(date_error, F.lit(0)).alias("problem")
+    )
 
 
 def seed_load(spark: SparkSession, folder: str) -> DataFrame:
     """The same files as a seed load: strict texts, first row wins, no owner."""
     ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=2)
     upload(ledger, _written_uploads(spark, folder), 1, None, AS_OF, seed=True)
-    return _record_columns(ledger.read()).drop("id", "owner")
+    return _record_columns(ledger.read())
+
+
+def seed_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    """A seed load of files that have dates and revenues only."""
+    ledger = Ledger.create(spark, work_folder(configure(spark), "ledger"), buckets=1)
+    raw = adapter.raw_uploads(spark, folder)
+    upload(ledger, [_written_csv(spark, raw, ["Date", "Revenue"])], 1, None, AS_OF, seed=True)
+    return _record_columns(ledger.read())
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    return _record_columns(_streamed(spark, folder).read()).drop("id")
+    return _record_columns(_streamed(spark, folder).read())
 
 
 def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed(spark, folder).alerts().select("type", "message", "severity", "department", "is_read")
 
 
+def stream_alerts_poll(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of a stream over commits: one poll after the facts were stored, one after all
+    revenues of two departments were edited to a cent, without any upload."""
+    ledger = _stored(spark, folder)
+    progress = work_folder(spark, "polls")
+    polling.start(ledger, progress, clock=lambda: AS_OF).awaitTermination()
+    edited = ledger.read().filter(F.col("department").isin("1-URGENT", "2-HIGH")).select("id", F.lit(0).alias("seq"))
+    unchanged = [F.lit(None).cast(BUSINESS_DATA[c].dataType).alias(c) for c in merge.EDITABLE if c != "revenue"]
+    changes = edited.select("*", F.lit("0.01").cast("decimal(15,2)").alias("revenue"), *unchanged)
+    maintain.apply_updates(ledger, changes, ledger.last_batch() + 1, None)
+    polling.start(ledger, progress, clock=lambda: AS_OF + dt.timedelta(minutes=1)).awaitTermination()
+    late = F.col("created_at") > moment(AS_OF)
+    return ledger.alerts().select(late.alias("second_poll"), "type", "severity", "department", "is_read")
+
+
 def ledger_updates(spark: SparkSession, folder: str) -> DataFrame:
     ledger = _stored(spark, folder)
     maintain.apply_updates(ledger, adapter.record_changes(spark, folder), 2, AS_OF)
@@ -336,6 +404,63 @@ def ledger_deletes(spark: SparkSession, folder: str) -> DataFrame:
     return _record_columns(ledger.read())
 
 
+def ledger_users_updated(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = _stored(spark, folder)
+    maintain.apply_user_changes(ledger, adapter.user_changes(spark, folder), ledger.last_batch() + 1)
+    return ledger.users().select("id", "name", "email", "role", "is_active")
+
+
+def ledger_users_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """Inactive users removed: the users, records and uploads that are left, with their owners."""
+    ledger = _stored(spark, folder)
+    removed = ledger.users().filter(~F.col("is_active")).select("id")
+    maintain.remove_users(ledger, removed, ledger.last_batch() + 1)
+    owner = lambda column: F.col(column).cast("string").alias("owner")
+    users = ledger.users().select(F.lit("user").alias("kind"), "id", owner("id"))
+    records = ledger.read().select(F.lit("record").alias("kind"), "id", owner("created_by"))
+    return users.unionByName(records).unionByName(
+        ledger.upload_history().select(F.lit("upload").alias("kind"), "id", owner("uploaded_by"))
+    )
+
+
+def ledger_kpis_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """KPIs of the stored table; files of other months and buckets are not opened."""
+    return kpis.kpi_summary(_stored(spark, folder).scoped(SCOPE))
+
+
+def ledger_trend_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return trends.revenue_trend(_stored(spark, folder).cells())
+
+
+def ledger_alerts_marked(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored alert run, of which the department alerts are marked as read, and a second run."""
+    ledger = _stored(spark, folder)
+    maintain.run_alerts(ledger, 2, AS_OF)
+    maintain.mark_alerts_read(ledger, ledger.alerts().filter("type = 'low_margin'").select("id"), 3)
+    maintain.run_alerts(ledger, 4, AS_OF + dt.timedelta(hours=1))
+    return ledger.alerts().select("type", "message", "severity", "department", "is_read")
+
+
+def sql_monthly_kpis(spark: SparkSession, folder: str) -> DataFrame:
+    procedures.register_functions(spark, adapter.business_data(configure(spark), folder))
+    return spark.sql("SELECT * FROM get_monthly_kpis(1998, 3, NULL)")
+
+
+def sql_department_performance(spark: SparkSession, folder: str) -> DataFrame:
+    procedures.register_functions(spark, adapter.business_data(configure(spark), folder))
+    return spark.sql("SELECT * FROM get_department_performance()")
+
+
+def records_rated(facts: DataFrame) -> DataFrame:
+    """Row margins as the record list shows them: one decimal, with their class."""
+    rate = margin(F.col("profit"), F.col("revenue"), 1)
+    return facts.select("id", rate.alias("row_margin"), performance_class(rate).alias("css_class"))
+
+
+def user_login_dates(users: DataFrame) -> DataFrame:
+    return users.select("id", short_date(F.col("last_login")).alias("last_login"))
+
+
 def _written_report(spark: SparkSession, folder: str) -> dict[str, str]:
     return write_report(adapter.business_data(configure(spark), folder), work_folder(spark, "report"))
 
@@ -350,6 +475,18 @@ def report_files_departments(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(_written_report(spark, folder)["department_summary"])
 
 
+def report_files_kpi(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "line long, metric string, value double"
+    return spark.read.schema(schema).option("header", "true").csv(_written_report(spark, folder)["kpi_summary"])
+
+
+def report_printed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The printable report's record table as it was written."""
+    paths = write_printable(adapter.business_data(configure(spark), folder), work_folder(spark, "printed"))
+    schema = "date string, department string, revenue string, cost string, profit string, sales string"
+    return spark.read.schema(schema).option("header", "true").csv(paths["business_data_summary"])
+
+
 QUERIES: dict[str, Query] = {
     "kpi_summary": _facts(kpis.kpi_summary),
     "kpi_summary_filtered": _facts(lambda df: kpis.kpi_summary(df, SCOPE)),
@@ -431,6 +568,22 @@ QUERIES: dict[str, Query] = {
     "seed_load": seed_load,
     "stream_ingest": stream_ingest,
     "stream_alerts": stream_alerts,
+    "csv_ingest_failed_files": csv_ingest_failed_files,
+    "seed_defaults": seed_defaults,
+    "ingest_date_orders": ingest_date_orders,
+    "stream_alerts_poll": stream_alerts_poll,
     "ledger_updates": ledger_updates,
     "ledger_deletes": ledger_deletes,
+    "ledger_users_updated": ledger_users_updated,
+    "ledger_users_removed": ledger_users_removed,
+    "ledger_kpis_scoped": ledger_kpis_scoped,
+    "ledger_trend_cells": ledger_trend_cells,
+    "ledger_alerts_marked": ledger_alerts_marked,
+    "sql_monthly_kpis": sql_monthly_kpis,
+    "sql_department_performance": sql_department_performance,
+    "growth_directions": _facts(trends.growth_directions),
+    "records_rated": _facts(records_rated),
+    "user_login_dates": _users(user_login_dates),
+    "report_files_kpi": report_files_kpi,
+    "report_files_printed": report_printed_rows,
 }

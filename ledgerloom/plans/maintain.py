@@ -21,8 +21,11 @@ def _rewrite(attempt: Attempt, touched: set[tuple[str, int]], change) -> list[Pi
     return state.without(touched) + attempt.write_version(change(old))
 
 
-def _log_alerts(attempt: Attempt, pieces: list[Piece], as_of: dt.datetime) -> None:
+def _log_alerts(attempt: Attempt, pieces: list[Piece], as_of: dt.datetime | None) -> None:
+    """Evaluates the rules, unless no moment is given: then the polling stream does."""
     ledger = attempt.ledger
+    if as_of is None:
+        return
     attempt.log("alerts", new_alerts(ledger.cells(pieces), ledger.alerts(attempt.state.version), as_of))
 
 
@@ -34,8 +37,8 @@ def _written(attempt: Attempt, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def apply_updates(ledger: Ledger, changes: DataFrame, batch_no: int, as_of: dt.datetime) -> bool:
-    """Applies a change set (id, seq, nullable fields) and re-evaluates the alerts.
+def apply_updates(ledger: Ledger, changes: DataFrame, batch_no: int, as_of: dt.datetime | None) -> bool:
+    """Applies a change set (id, seq, nullable fields) and, given a moment, re-evaluates the alerts.
 
     Only pieces that can hold an edited record are searched; those that do, and the pieces a
     record moves to, are rewritten.
@@ -60,7 +63,7 @@ def apply_updates(ledger: Ledger, changes: DataFrame, batch_no: int, as_of: dt.d
     return True
 
 
-def apply_deletes(ledger: Ledger, ids: DataFrame, batch_no: int, as_of: dt.datetime) -> bool:
+def apply_deletes(ledger: Ledger, ids: DataFrame, batch_no: int, as_of: dt.datetime | None) -> bool:
     """Deletes records by id; only pieces that hold one of them are rewritten."""
     attempt = ledger.begin(batch_no)
     if attempt is None:

@@ -55,3 +55,31 @@ def register_views(spark: SparkSession, facts: DataFrame) -> None:
     facts.createOrReplaceTempView("business_data")
     monthly_summary(spark, facts).createOrReplaceTempView("monthly_summary")
     department_summary(spark, facts).createOrReplaceTempView("department_summary")
+
+
+def register_functions(spark: SparkSession, facts: DataFrame) -> None:
+    """Makes the procedures SQL table functions over business_data.
+
+    SELECT * FROM get_monthly_kpis(1998, 3, NULL)
+    SELECT * FROM get_department_performance()
+
+    Calls are inlined into the query, so the month's bounds reach the scan.
+    """
+    register_views(spark, facts)
+    totals = """CAST(SUM(revenue) AS DOUBLE) AS total_revenue, CAST(SUM(cost) AS DOUBLE) AS total_cost,
+        {0} CAST(SUM(profit) AS DOUBLE) AS {1}, CAST(SUM(sales_volume) AS BIGINT) AS total_sales,
+        ROUND(CAST(SUM(profit) AS DOUBLE) / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0D) * 100, 2) AS profit_margin"""
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION get_monthly_kpis(p_year INT, p_month INT, p_department STRING)
+        RETURNS TABLE (total_revenue DOUBLE, total_cost DOUBLE, total_expenses DOUBLE, net_profit DOUBLE,
+                       total_sales BIGINT, profit_margin DOUBLE)
+        RETURN SELECT {totals.format("CAST(SUM(expenses) AS DOUBLE) AS total_expenses,", "net_profit")}
+        FROM business_data
+        WHERE date >= make_date(p_year, p_month, 1) AND date < add_months(make_date(p_year, p_month, 1), 1)
+          AND (p_department IS NULL OR department = p_department)""")
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION get_department_performance()
+        RETURNS TABLE (department STRING, total_revenue DOUBLE, total_cost DOUBLE, total_profit DOUBLE,
+                       total_sales BIGINT, profit_margin DOUBLE, record_count BIGINT)
+        RETURN SELECT department, {totals.format("", "total_profit")}, COUNT(*) AS record_count
+        FROM business_data GROUP BY department""")

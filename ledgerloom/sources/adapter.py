@@ -246,3 +246,26 @@ def raw_uploads(spark: SparkSession, folder: str) -> DataFrame:
         F.when(damage == 7, "  ").when(damage == 8, F.concat(F.lit("  "), kind, F.lit(" "))).otherwise(kind).alias("department"),
         F.when(damage == 4, "abc").when(damage == 5, "12.7").otherwise(F.col("user_id").cast("string")).alias("sales_volume"),
     )
+
+
+def dated_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw uploads dealt to 97 files that write their dates in different forms.
+
+    The file number modulo 5 decides the form: 0 year first, 1 day first, 2 month first, 3 either
+    of these two from line to line, 4 month first on the first days of the month only, and the
+    name of the month on others.
+    """
+    raw = raw_uploads(spark, folder)
+    file_no = F.col("seq") % 97
+    day = F.col("date").try_cast("date")
+    form = file_no % 5
+    by_day, by_month = F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "MM/dd/yyyy")
+    text = (
+        F.when(day.isNull() | (form == 0), F.col("date"))
+        .when(form == 1, by_day)
+        .when(form == 2, by_month)
+        .when(form == 3, F.when(F.floor(F.col("seq") / 97) % 2 == 0, by_day).otherwise(by_month))
+        .otherwise(F.when(F.dayofmonth(day) <= 12, by_month).otherwise(F.date_format(day, "d MMM yyyy")))
+    )
+    name = F.concat(F.lit("dated_"), file_no.cast("string"), F.lit(".csv"))
+    return raw.withColumn("date", text).withColumn("file_no", file_no).withColumn("filename", name)

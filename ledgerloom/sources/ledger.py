@@ -23,7 +23,6 @@ import uuid
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,16 +135,16 @@ class Ledger:
         buckets = spark.read.schema(SETTINGS).parquet(f"{root.rstrip('/')}/settings").first()["buckets"]
         return cls(spark, root, buckets)
 
+    def _exists(self, path: str) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
     # -- commits --------------------------------------------------------------
 
     def _commit(self, version: int) -> Row | None:
         """The commit with that number; None if there is none, or one that was cut short."""
-        try:
-            return self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits/version={version}").first()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        path = f"{self.root}/commits/version={version}"
+        return self.spark.read.schema(COMMIT).parquet(path).first() if self._exists(path) else None
 
     def _last_version(self) -> int:
         """Versions have no gaps, so the last one is found by steps that double and then halve."""
@@ -257,11 +256,10 @@ class Ledger:
 
     def logged(self, name: str, schema: T.StructType, through: int | None = None, versions: bool = False) -> DataFrame:
         """Log rows of committed attempts, on demand with the ``version`` that each came with."""
-        try:
-            rows = self.spark.read.schema(_with_attempt(schema)).parquet(f"{self.root}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = f"{self.root}/{name}"
+        if self._exists(path):
+            rows = self.spark.read.schema(_with_attempt(schema)).parquet(path)
+        else:
             rows = self.spark.createDataFrame([], _with_attempt(schema))
         rows = rows.join(self.commits(through), "attempt").drop("attempt")
         return rows if versions else rows.drop("version")

@@ -260,15 +260,35 @@ merged AS (
 )"""
 
 INGESTED = """
+numbered AS (SELECT filename, line, ROW_NUMBER() OVER (ORDER BY filename, line) - 1 AS seq FROM raw_uploads),
 uploaded AS (
-  SELECT date, department, arg_max(revenue, line) AS revenue, arg_max(cost, line) AS cost, arg_max(expenses, line) AS expenses,
+  SELECT date, department, 1099511627776 + MIN(seq) AS id, MIN(filename) AS filename, arg_max(revenue, line) AS revenue, arg_max(cost, line) AS cost, arg_max(expenses, line) AS expenses,
          arg_max(profit, line) AS profit, arg_max(sales_volume, line) AS sales_volume
-  FROM good GROUP BY date, department
+  FROM good JOIN numbered USING (filename, line) GROUP BY date, department
 )"""
+FILE_LINES = """
+file_lines AS (SELECT filename, line, ROW_NUMBER() OVER (PARTITION BY filename ORDER BY line) + 1 AS file_line FROM raw_uploads)"""
 STORED_ROWS = """
-SELECT strftime(date, '%Y-%m-%d') AS date, department, CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost,
+SELECT id, strftime(date, '%Y-%m-%d') AS date, department, CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost,
   CAST(expenses AS DOUBLE) AS expenses, CAST(profit AS DOUBLE) AS profit, sales_volume, '7' AS owner FROM uploaded"""
 
+# What the rules say once two departments' revenues are a cent a record, and of it what was not open yet.
+POLLED = (
+    "edited AS (SELECT * REPLACE (CASE WHEN department IN ('1-URGENT', '2-HIGH') THEN 0.01 ELSE revenue END AS revenue) FROM facts),\n"
+    + EVALUATED.strip()
+    .replace("FROM facts", "FROM edited")
+    .replace("totals", "totals_2").replace("months", "months_2").replace("lagged", "lagged_2")
+    .replace("newest", "newest_2").replace("dropped AS", "dropped_2 AS").replace("FROM dropped WHERE", "FROM dropped_2 WHERE")
+    .replace("fired AS", "fired_2 AS")
+    + """,
+polled AS (
+  SELECT FALSE AS second_poll, type, severity, department FROM fired
+  UNION ALL
+  SELECT TRUE, type, severity, department FROM fired_2 n
+  WHERE NOT EXISTS (SELECT 1 FROM fired f WHERE f.type = n.type AND (n.type = 'revenue_drop' OR f.department = n.department))
+)"""
+)
+
 KPI_LINES = """
 SELECT CAST(line AS BIGINT) AS line, metric, value FROM (
   SELECT 1 AS line, 'Total Revenue' AS metric, total_revenue AS value FROM k
@@ -497,22 +517,103 @@ ORACLE_SQL: dict[str, str] = {
        format('${:,.2f}', CAST(profit AS DOUBLE)) AS profit, format('{:,}', sales_volume) AS sales
        FROM (SELECT * FROM facts ORDER BY date DESC, department, id LIMIT 50)""",
     "csv_ingest_roundtrip": _with(RAW, INGESTED) + STORED_ROWS,
-    "csv_ingest_rejects": _with(RAW) + "SELECT raw, regexp_replace(error, '^Row [0-9]+: ', '') AS problem FROM bad",
-    "stream_ingest": _with(RAW, INGESTED) + STORED_ROWS,
+    "csv_ingest_rejects": _with(RAW, FILE_LINES)
+    + """SELECT filename, file_line AS line, raw, 'Row ' || file_line || regexp_replace(error, '^Row [0-9]+', '') AS error
+         FROM bad JOIN file_lines USING (filename, line)""",
+    "csv_ingest_history": _with(RAW, FILE_LINES)
+    + """, listed AS (SELECT filename, 1099511627776 + ROW_NUMBER() OVER (ORDER BY filename) - 1 AS id
+                      FROM (SELECT DISTINCT filename FROM raw_uploads)),
+       counts AS (SELECT filename, COUNT(*) AS n FROM good GROUP BY 1),
+       numbered_bad AS (SELECT filename, file_line, 'Row ' || file_line || regexp_replace(error, '^Row [0-9]+', '') AS error,
+                               ROW_NUMBER() OVER (PARTITION BY filename ORDER BY file_line) AS k
+                        FROM bad JOIN file_lines USING (filename, line)),
+       texts AS (SELECT filename, string_agg(error, chr(10) ORDER BY file_line) AS error_message FROM numbered_bad WHERE k <= 10 GROUP BY 1)
+       SELECT id, filename, COALESCE(n, 0) AS records_count, CASE WHEN error_message IS NULL THEN 'success' ELSE 'partial' END AS status,
+              error_message, '7' AS owner
+       FROM listed LEFT JOIN counts USING (filename) LEFT JOIN texts USING (filename)""",
+    "csv_ingest_failed_files": _with(RAW)
+    + """, kinds AS (SELECT trim(department) AS kind, filename, line FROM raw_uploads WHERE trim(department) <> ''),
+       counts AS (SELECT kind, k.filename, COUNT(g.line) AS n, COUNT(*) AS rows FROM kinds k LEFT JOIN good g USING (filename, line) GROUP BY ALL)
+       SELECT kind || '_' || CASE kind WHEN 'error' THEN replace(filename, '.csv', '.txt') WHEN 'signup' THEN replace(filename, '.csv', '.xlsx')
+                                       WHEN 'purchase' THEN replace(filename, '.csv', '.CSV') ELSE filename END AS filename,
+              CASE WHEN kind <> 'purchase' THEN 'failed' WHEN n < rows THEN 'partial' ELSE 'success' END AS status,
+              CASE WHEN kind = 'purchase' THEN n ELSE 0 END AS records_count,
+              CASE kind WHEN 'click' THEN 'Missing required columns: Expenses' WHEN 'view' THEN 'Ambiguous columns for Sales Volume'
+                        WHEN 'error' THEN 'Invalid file format. Please upload CSV or Excel file.'
+                        WHEN 'signup' THEN 'Excel workbooks cannot be read; upload CSV' END AS problem
+       FROM counts""",
+    "ingest_date_orders": _with(RAW)
+    + """, dated AS (
+         SELECT 'dated_' || line % 97 || '.csv' AS filename, line, TRY_CAST(date AS DATE) AS day, date AS text, line % 97 % 5 AS form,
+                (line // 97) % 2 AS turn FROM raw_uploads),
+       texts AS (
+         SELECT filename, line, CASE WHEN day IS NULL OR form = 0 THEN text
+           WHEN form = 1 OR (form = 3 AND turn = 0) THEN strftime(day, '%d/%m/%Y')
+           WHEN form IN (2, 3) OR day(day) <= 12 THEN strftime(day, '%m/%d/%Y') ELSE strftime(day, '%-d %b %Y') END AS text FROM dated),
+       readings AS (
+         SELECT *, text LIKE '%/%' AS open_order, CAST(try_strptime(text, '%m/%d/%Y') AS DATE) AS by_month,
+                CAST(try_strptime(text, '%d/%m/%Y') AS DATE) AS by_day,
+                COALESCE(TRY_CAST(text AS DATE), CAST(try_strptime(text, '%d %b %Y') AS DATE)) AS plain FROM texts),
+       orders AS (
+         SELECT filename, bool_and(by_month IS NOT NULL) AS m, bool_and(by_day IS NOT NULL) AS d FROM readings
+         WHERE open_order AND (by_month IS NOT NULL OR by_day IS NOT NULL) GROUP BY 1),
+       decided AS (
+         SELECT filename, line, text, NOT m AND NOT d AS torn,
+                CASE WHEN NOT open_order THEN plain WHEN by_month = by_day OR m THEN by_month WHEN d THEN by_day END AS date
+         FROM readings LEFT JOIN orders USING (filename))
+       SELECT filename, line, strftime(date, '%Y-%m-%d') AS date,
+              CASE WHEN date IS NULL THEN CASE WHEN torn THEN 'ambiguous' ELSE 'invalid' END || ' date \'\'' || text || '\'\'' END AS problem
+       FROM decided""".replace("\\'", "'"),
+    "seed_defaults": _with(RAW, INGESTED)
+    + """, seeded AS (SELECT date, arg_min(revenue, line) AS revenue, MIN(seq) AS seq FROM typed JOIN numbered USING (filename, line)
+                      WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY date)
+       SELECT 1099511627776 + seq AS id, strftime(date, '%Y-%m-%d') AS date, 'Unknown' AS department, CAST(revenue AS DOUBLE) AS revenue,
+              CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS expenses, CAST(0 AS DOUBLE) AS profit, 0 AS sales_volume,
+              CAST(NULL AS VARCHAR) AS owner FROM seeded""",
+    "stream_ingest": _with(RAW, INGESTED)
+    + """, batches AS (SELECT filename, line, CASE WHEN filename < 'uploads_2024-01-16.csv' THEN 1 ELSE 2 END AS batch FROM raw_uploads),
+       places AS (SELECT filename, line, batch * 1099511627776
+                    + ROW_NUMBER() OVER (PARTITION BY batch ORDER BY filename, line) - 1 AS id FROM batches),
+       firsts AS (SELECT date, department, MIN(p.id) AS id FROM good JOIN places p USING (filename, line) GROUP BY 1, 2)
+       """
+    + STORED_ROWS.replace("FROM uploaded", "FROM (SELECT u.* REPLACE (f.id AS id) FROM uploaded u JOIN firsts f USING (date, department))"),
     "stream_alerts": _with(RAW, INGESTED, EVALUATED.replace("FROM facts", "FROM uploaded"))
     + "SELECT type, message, severity, department, FALSE AS is_read FROM fired",
+    "stream_alerts_poll": _with(FACTS, EVALUATED, POLLED)
+    + """SELECT second_poll, type, severity, department, FALSE AS is_read FROM polled""",
+    "ledger_users_removed": _with(FACTS, USERS, HISTORY, "kept AS (SELECT id FROM users WHERE is_active)")
+    + """, known AS (SELECT id FROM users), gone AS (SELECT id FROM users WHERE NOT is_active)
+       SELECT 'user' AS kind, id, CAST(id AS VARCHAR) AS owner FROM kept
+       UNION ALL SELECT 'record', id, CASE WHEN created_by NOT IN (SELECT id FROM gone) THEN CAST(created_by AS VARCHAR) END FROM facts
+       UNION ALL SELECT 'upload', id, CASE WHEN uploaded_by NOT IN (SELECT id FROM gone) THEN CAST(uploaded_by AS VARCHAR) END FROM history""",
+    "ledger_kpis_scoped": _with(FACTS) + _kpis(SCOPE),
+    "ledger_alerts_marked": _with(FACTS, EVALUATED)
+    + """SELECT type, message, severity, department, type = 'low_margin' AS is_read FROM fired
+       UNION ALL SELECT type, message, severity, department, FALSE FROM fired WHERE type = 'low_margin'""",
+    "sql_monthly_kpis": _with(FACTS) + PROC,
+    "growth_directions": _with(FACTS, MONTHS, "lagged AS (SELECT month, r, LAG(r) OVER (ORDER BY month) AS prev FROM months)")
+    + f"""SELECT month, CASE WHEN g >= 0 THEN 'up' ELSE 'down' END AS direction, ROUND(ABS(g), 1) AS value
+       FROM (SELECT month, ROUND({_pct('(r - prev)', 'prev')}, 2) AS g FROM lagged WHERE prev > 0)""",
+    "records_rated": _with(FACTS)
+    + f"""SELECT id, row_margin, CASE WHEN row_margin >= 20 THEN 'text-success' WHEN row_margin >= 10 THEN 'text-warning' ELSE 'text-danger' END AS css_class
+       FROM (SELECT id, CASE WHEN revenue > 0 THEN ROUND({_pct('profit', 'revenue')}, 1) ELSE CAST(0 AS DOUBLE) END AS row_margin FROM facts)""",
+    "user_login_dates": _with(USERS) + "SELECT id, COALESCE(strftime(last_login, '%b %-d, %Y'), '-') AS last_login FROM users",
     "ledger_updates": _with(FACTS, CHANGES) + f"SELECT {KEYED} FROM updated",
     "ledger_deletes": _with(FACTS, CHANGES)
     + f"SELECT {KEYED} FROM facts WHERE id NOT IN (SELECT id FROM changes WHERE date IS NOT NULL)",
 }
-ORACLE_SQL["csv_ingest_history"] = _with(RAW) + "SELECT COUNT(*) AS records FROM good"
 ORACLE_SQL["seed_load"] = (
-    _with(RAW)
-    + """SELECT strftime(date, '%Y-%m-%d') AS date, department, CAST(arg_min(revenue, line) AS DOUBLE) AS revenue, CAST(arg_min(cost, line) AS DOUBLE) AS cost,
+    _with(RAW, INGESTED)
+    + """SELECT 1099511627776 + MIN(seq) AS id, CAST(NULL AS VARCHAR) AS owner, strftime(date, '%Y-%m-%d') AS date, department, CAST(arg_min(revenue, line) AS DOUBLE) AS revenue, CAST(arg_min(cost, line) AS DOUBLE) AS cost,
        CAST(arg_min(expenses, line) AS DOUBLE) AS expenses, CAST(arg_min(profit, line) AS DOUBLE) AS profit, arg_min(sales_volume, line) AS sales_volume
-       FROM good WHERE r_sales_volume NOT LIKE '%.%' GROUP BY date, department"""
+       FROM good JOIN numbered USING (filename, line) WHERE r_sales_volume NOT LIKE '%.%' GROUP BY date, department"""
 )
 ORACLE_SQL["kpi_summary_cells"] = ORACLE_SQL["kpi_summary"]
 ORACLE_SQL["department_profitability_cells"] = ORACLE_SQL["department_profitability"]
 ORACLE_SQL["report_files"] = ORACLE_SQL["report_records"]
 ORACLE_SQL["report_files_departments"] = ORACLE_SQL["report_departments"]
+ORACLE_SQL["ledger_users_updated"] = ORACLE_SQL["users_updated"]
+ORACLE_SQL["ledger_trend_cells"] = ORACLE_SQL["revenue_trend"]
+ORACLE_SQL["sql_department_performance"] = ORACLE_SQL["proc_department_performance"]
+ORACLE_SQL["report_files_kpi"] = ORACLE_SQL["report_kpi"]
+ORACLE_SQL["report_files_printed"] = ORACLE_SQL["report_display_rows"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.coercion import stripped
@@ -55,30 +55,36 @@ def fields(line: Column) -> Column:
     )
 
 
-def layout(line: Column, required: bool = True) -> Column:
-    """A struct of the file's ``problem``, its ``width`` and the position ``at`` of every column.
+def with_layout(files: DataFrame, required: bool = True) -> DataFrame:
+    """Adds to files with a ``header`` line their ``problem``, ``width`` and the position ``at`` of every column.
 
     The same name written twice keeps its first position. Two different names for one column
     are ambiguous. With ``required=False`` (seed files) columns may be missing: their
     position is null.
     """
     known = F.create_map(*[F.lit(text) for pair in _known().items() for text in pair])
-    names = fields(line)
-    columns = F.transform(names, lambda x: F.element_at(known, F.lower(stripped(x))))
+    columns = F.transform("_names", lambda x: F.element_at(known, F.lower(stripped(x))))
+    read = files.withColumn("_names", fields(F.col("header"))).withColumn("_columns", columns)
 
     def spelled_twice(column: str) -> Column:
-        own = F.filter(names, lambda x: F.element_at(known, F.lower(stripped(x))) == column)
+        own = F.filter("_names", lambda x, i: F.get("_columns", i) == column)
         return F.size(F.array_distinct(own)) > 1
 
-    position = {c: F.nullif(F.array_position(columns, c), F.lit(0)) - 1 for c in UPLOAD_COLUMNS.values()}
-    ambiguous = F.coalesce(*[F.when(spelled_twice(c), F.lit(title)) for title, c in UPLOAD_COLUMNS.items()])
-    missing = F.array_compact(F.array(*[F.when(position[c].isNull(), F.lit(title)) for title, c in UPLOAD_COLUMNS.items()]))
-    problem = F.when(line.isNull() | (stripped(line) == ""), F.lit(NO_COLUMNS)).when(
-        ambiguous.isNotNull(), F.concat(F.lit("Ambiguous columns for "), ambiguous)
+    titles = {column: title for title, column in UPLOAD_COLUMNS.items()}
+    places = [(F.nullif(F.array_position("_columns", c), F.lit(0)) - 1).cast("int").alias(c) for c in titles]
+    ambiguous = F.coalesce(*[F.when(spelled_twice(c), F.lit(title)) for c, title in titles.items()])
+    missing = F.array_except(F.array(*map(F.lit, titles.values())), F.transform("_columns", _title_of(titles)))
+    problem = F.when(F.col("header").isNull() | (stripped(F.col("header")) == ""), F.lit(NO_COLUMNS)).when(
+        F.col("_ambiguous").isNotNull(), F.concat(F.lit("Ambiguous columns for "), F.col("_ambiguous"))
     )
     if required:
         problem = problem.when(
-            F.size(missing) > 0, F.concat(F.lit("Missing required columns: "), F.array_join(missing, ", "))
+            F.size("_missing") > 0, F.concat(F.lit("Missing required columns: "), F.array_join("_missing", ", "))
         )
-    places = F.struct(*[at.cast("int").alias(c) for c, at in position.items()])
-    return F.struct(problem.alias("problem"), F.size(names).alias("width"), places.alias("at"))
+    found = read.withColumns({"_ambiguous": ambiguous, "_missing": missing, "at": F.struct(*places), "width": F.size("_names")})
+    return found.withColumn("problem", problem).drop("_names", "_columns", "_ambiguous", "_missing")
+
+
+def _title_of(titles: dict[str, str]):
+    spelled = F.create_map(*[F.lit(text) for pair in titles.items() for text in pair])
+    return lambda column: F.element_at(spelled, column)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ledgerloom.schema import UPLOAD_HISTORY
 from ledgerloom.session import work_folder
 from ledgerloom.sources import csv_files
 from ledgerloom.sources.ledger import Attempt, Ledger
+from ledgerloom.sources.tables import metrics
 
 
 def upload(
@@ -65,22 +68,25 @@ def ingest_lines(
     reduced.observe(seen, F.collect_set(F.struct("ym", "bucket")).alias("pieces")).write.parquet(f"{work}/keys")
     keys = spark.read.schema(reduced.schema).parquet(f"{work}/keys")
 
-    touched = {(p["ym"], p["bucket"]) for p in seen.get["pieces"]}
+    touched = {(p["ym"], p["bucket"]) for p in metrics(seen, reduced).get("pieces", [])}
     current = ledger.read(state.only(touched)).drop("ym", "bucket")
     combine = merge.insert_if_absent if seed else merge.upsert
     combined = combine(current, keys.drop("ym", "bucket"), attempt.batch_no, moment(as_of), F.lit(uploaded_by).cast("bigint"))
     combined.write.parquet(f"{work}/merged")
     merged = spark.read.schema(combined.schema).parquet(f"{work}/merged")
-    after = state.without(touched) + attempt.write_version(merged)
-
-    counts = _counts(staged, orders, date_order)
-    bad = _rejected(staged, orders, date_order)
-    bad.write.parquet(f"{work}/bad")
-    bad = spark.read.schema(bad.schema).parquet(f"{work}/bad")
-    outcomes = ingest.file_outcomes(staged.files, counts, merged.where("first_file IS NOT NULL"))
-    attempt.log("rejects", bad)
-    attempt.log("upload_history", history_rows(outcomes, bad, attempt.batch_no, uploaded_by, as_of, seed))
-    attempt.log("alerts", new_alerts(ledger.cells(after), ledger.alerts(state.version), as_of))
+
+    def log_files() -> None:
+        bad = attempt.log("rejects", _rejected(staged, orders, date_order))
+        counts = _counts(staged, orders, date_order)
+        outcomes = ingest.file_outcomes(staged.files, counts, merged.where("first_file IS NOT NULL"))
+        attempt.log("upload_history", history_rows(outcomes, bad, attempt.batch_no, uploaded_by, as_of, seed))
+
+    # What does not depend on each other is written at the same time.
+    with ThreadPoolExecutor(2) as pool:
+        logged = pool.submit(inheritable_thread_target(spark)(log_files))
+        after = state.without(touched) + attempt.write_version(merged)
+        attempt.log("alerts", new_alerts(ledger.cells(after), ledger.alerts(state.version), as_of))
+        logged.result()
     attempt.publish(after)
     return True
 

@@ -16,8 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.headers import NO_COLUMNS, SEED_DEFAULTS, layout
+from ledgerloom.functions.headers import SEED_DEFAULTS, with_layout
 from ledgerloom.operators.ingest import RAW, typed
+from ledgerloom.sources.tables import metrics
 
 # Admitted extensions. Workbooks are admitted but no reader for them
 # exists here, so they are reported as failed.
@@ -101,43 +102,57 @@ def _blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def _files(lines: DataFrame, blocks: DataFrame, listed: DataFrame | None, seed: bool) -> DataFrame:
-    """One row per file: its first line, how many rows follow it, its layout or its problem."""
+def _files(lines: DataFrame, blocks: DataFrame, listed: DataFrame | None, order: list[str], seed: bool) -> DataFrame:
+    """One row per file: its ``part`` and ``place`` in the order, its first line's place, how many
+    rows follow it, its layout or its problem.
+
+    Files are ordered before their first lines are looked up, so that only a few numbers a file
+    are sampled and moved.
+    """
     heads = blocks.groupBy("source_no", "uri", "arrived").agg(
         F.min("block_start").alias("head_block"),
         F.min_by("first_row", "block_start").alias("head_row"),
-        (F.sum("n") - 1).alias("n_rows"),
+        F.sum("n").alias("n_lines"),
     )
-    places = heads.select("uri", F.col("head_block").alias("block_start"), F.col("head_row").alias("row"))
-    headers = lines.join(places, ["uri", "block_start", "row"]).select("uri", F.col("value").alias("header"))
-    found = heads.join(headers, "uri")
     if listed is not None:
         others = listed.join(heads.select("uri"), "uri", "left_anti")
-        found = found.unionByName(others, allowMissingColumns=True)
-    extension = _extension()
+        heads = heads.unionByName(others, allowMissingColumns=True)
+    readable = _extension().isin(READABLE)
+    ordered = (
+        heads.withColumn("n_rows", F.when(readable & F.col("n_lines").isNotNull(), F.col("n_lines") - 1).otherwise(F.lit(0)))
+        .drop("n_lines")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    )
+    first = lines.select(
+        "uri", F.col("block_start").alias("head_block"), F.col("row").alias("head_row"), F.col("value").alias("header")
+    )
+    found = ordered.join(first, ["uri", "head_block", "head_row"], "left")
+    laid = with_layout(found, required=not seed).withColumn("extension", _extension())
     problem = (
-        F.when(extension.isin(READABLE), F.coalesce("layout.problem", F.when(F.col("header").isNull(), F.lit(NO_COLUMNS))))
-        .when(extension.isin(WORKBOOKS), F.lit("Excel workbooks cannot be read; upload CSV"))
+        F.when(F.col("extension").isin(READABLE), F.col("problem"))
+        .when(F.col("extension").isin(WORKBOOKS), F.lit("Excel workbooks cannot be read; upload CSV"))
         .otherwise(F.lit("Invalid file format. Please upload CSV or Excel file."))
     )
     name = F.regexp_extract("uri", r"([^/]*)$", 1)
-    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    return found.withColumn("layout", layout(F.col("header"), required=not seed)).select(
+    usable = F.col("problem").isNull()
+    return laid.withColumn("problem", problem).select(
         "source_no",
         "uri",
         "arrived",
-        decoded.alias("filename"),
-        problem.alias("problem"),
-        F.when(problem.isNull(), F.col("layout.width")).alias("width"),
-        F.col("layout.at").alias("at"),
-        "head_block",
-        "head_row",
-        F.when(problem.isNull(), F.col("n_rows")).otherwise(F.lit(0)).alias("n_rows"),
+        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("filename"),
+        "problem",
+        F.when(usable, F.col("width")).alias("width"),
+        "at",
+        "n_rows",
+        "part",
+        "place",
     )
 
 
 def _numbered(ordered: DataFrame) -> DataFrame:
-    """Adds ``file_no``, a file's place in the order, and ``rows_before``, the rows before its first.
+    """Adds ``file_no``, a file's place in the order, and ``rows_before``, the rows of all files before it.
 
     ``ordered`` was range-partitioned and sorted, and holds each row's ``part`` and ``place``
     there. Sums within a part and the sums of the parts before it give both numbers.
@@ -171,9 +186,7 @@ def _placed_blocks(blocks: DataFrame, files: DataFrame) -> DataFrame:
     usable = files.where("problem IS NULL").drop("source_no", "arrived", "filename", "problem", "n_rows")
     joined = blocks.select("uri", "block_start", "first_row", "n").join(usable, "uri")
     earlier = F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return joined.withColumn("shift", F.col("rows_before") + earlier - F.col("first_row") - 1).drop(
-        "first_row", "n", "head_block", "head_row"
-    )
+    return joined.withColumn("shift", F.col("rows_before") + earlier - F.col("first_row") - 1).drop("first_row", "n")
 
 
 def _parsed(lines: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -216,21 +229,16 @@ def stage(
     blocks = _blocks(read)
     blocks.observe(listed_blocks, F.count("*").alias("n")).write.parquet(f"{work}/blocks")
     blocks = spark.read.schema(blocks.schema).parquet(f"{work}/blocks")
-    files = _files(read, blocks, listed, seed)
-    ordered = (
-        files.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
-        .observe(found_files, F.count("*").alias("n"), F.max("width").alias("width"))
-    )
-    ordered.write.parquet(f"{work}/files")
-    if not found_files.get["n"]:
+    ordered = _files(read, blocks, listed, order, seed)
+    ordered.observe(found_files, F.count("*").alias("n"), F.max("width").alias("width")).write.parquet(f"{work}/files")
+    if not metrics(found_files, ordered).get("n"):
         return None
     numbered = _numbered(spark.read.schema(ordered.schema).parquet(f"{work}/files"))
     numbered.write.parquet(f"{work}/numbered")
     files = spark.read.schema(numbered.schema).parquet(f"{work}/numbered")
     places = _placed_blocks(blocks, files)
-    small = listed_blocks.get["n"] <= BROADCAST_BLOCKS
-    rows = typed(_parsed(read, F.broadcast(places) if small else places, found_files.get["width"] or 0), seed)
+    small = metrics(listed_blocks, blocks).get("n", 0) <= BROADCAST_BLOCKS
+    width = found_files.get["width"] or 0
+    rows = typed(_parsed(read, F.broadcast(places) if small else places, width), seed)
     rows.write.partitionBy("sound").parquet(f"{work}/rows")
     return Staged(spark.read.schema(rows.schema).parquet(f"{work}/rows"), files)

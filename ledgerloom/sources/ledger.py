@@ -32,7 +32,7 @@ from ledgerloom.operators.alerts import mark_read
 from ledgerloom.operators.filters import Scope, parse_day
 from ledgerloom.operators.rollup import cells
 from ledgerloom.schema import ALERTS, BUSINESS_DATA, MEASURES, UPLOAD_HISTORY, USERS
-from ledgerloom.sources.tables import local_frame
+from ledgerloom.sources.tables import local_frame, metrics
 
 PIECES = T.StructType(
     [
@@ -305,7 +305,8 @@ class Attempt:
         rows = ledger.placed(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BUSINESS_DATA]))
         written = Observation()
         self._write(rows.observe(written, F.collect_set(F.struct("ym", "bucket")).alias("pieces")), "data", "department", "date")
-        pieces = sorted(Piece(p["ym"], p["bucket"], self.batch_no, self.name) for p in written.get["pieces"])
+        found = metrics(written, rows).get("pieces", [])
+        pieces = sorted(Piece(p["ym"], p["bucket"], self.batch_no, self.name) for p in found)
         if pieces:
             stored = ledger.read(pieces)
             condensed = cells(stored, "ym", "bucket")
@@ -328,8 +329,10 @@ class Attempt:
         users.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in USERS]).write.parquet(self._folder("users"))
         self.users = self.name
 
-    def log(self, name: str, df: DataFrame) -> None:
+    def log(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes log rows, and returns them as they were written."""
         df.write.parquet(self._folder(name))
+        return self.ledger.spark.read.schema(df.schema).parquet(self._folder(name))
 
     def publish(self, pieces: Iterable[Piece]) -> None:
         """Commits: the list of current pieces first, then the one row that makes it all current."""

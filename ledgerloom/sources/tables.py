@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -49,3 +50,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
     """A frame from a few rows of metadata, kept as a local relation in the plan."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)))
+
+
+def metrics(observed: Observation, frame: DataFrame) -> dict:
+    """What was observed while the frame was written; nothing if the plan was found to be empty,
+    as then there is nothing to observe."""
+    try:
+        return observed.get
+    except Py4JJavaError:
+        if not frame.isEmpty():
+            raise
+        return {}

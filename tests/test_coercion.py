@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import coercion
+from ledgerloom.operators import ingest
 
 
 def one(spark, expression):
@@ -20,20 +21,29 @@ def one(spark, expression):
     ],
 )
 def test_dates(spark, text, expected):
-    assert one(spark, coercion.lenient_date(F.lit(text).cast("string"))) == expected
+    date, day_first, open_order = coercion.date_readings(F.lit(text).cast("string"))
+    assert one(spark, date) == expected
+    assert one(spark, open_order) == str(text == "1/15/24").lower() and one(spark, day_first) is None
 
 
 def test_one_order_of_month_and_day(spark):
-    found = {
-        (text, order): one(spark, coercion.lenient_date(F.lit(text), order))
-        for text in ("03/04/2024", "13/04/2024")
-        for order in coercion.DATE_ORDERS
-    }
+    """A file of one date each."""
+    texts = ["03/04/2024", "13/04/2024", "04/13/2024"]
+    raw = spark.createDataFrame(
+        [(i, text, *["1"] * 4, "A", "1") for i, text in enumerate(texts)], "file_no long, " + ", ".join(f"{c} string" for c in ingest.RAW)
+    )
+    found = {}
+    for order in coercion.DATE_ORDERS:
+        rows = ingest.validate(raw, date_order=order).sort("file_no").collect()
+        found[order] = [r.date and r.date.isoformat() for r in rows]
     assert found == {
-        ("03/04/2024", "month"): "2024-03-04", ("13/04/2024", "month"): "2024-04-13",
-        ("03/04/2024", "month only"): "2024-03-04", ("13/04/2024", "month only"): None,
-        ("03/04/2024", "day only"): "2024-04-03", ("13/04/2024", "day only"): "2024-04-13",
-    }
+        "month": ["2024-03-04", "2024-04-13", "2024-04-13"],
+        "day": ["2024-04-03", "2024-04-13", "2024-04-13"],
+        "month only": ["2024-03-04", None, "2024-04-13"],
+        "day only": ["2024-04-03", "2024-04-13", None],
+    }
+    with pytest.raises(ValueError):
+        ingest.validate(raw, date_order="year")
 
 
 def test_white_space_of_any_kind(spark):

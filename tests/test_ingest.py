@@ -8,7 +8,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import coercion
-from ledgerloom.functions.headers import fields, layout
+from ledgerloom.functions.headers import fields, with_layout
 from ledgerloom.operators import alerts, departments, ingest, kpis, merge, reports, trends
 from ledgerloom.operators.filters import Scope
 from ledgerloom.plans import maintain
@@ -46,9 +46,8 @@ def history(ledger):
 
 
 def laid_out(spark, *lines, required=True):
-    frame = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
-    rows = frame.select("i", layout(F.col("line"), required).alias("x")).sort("i").collect()
-    return [(r.x.problem, r.x.width, r.x.at.asDict()) for r in rows]
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, header string")
+    return [(r.problem, r.width, r.at.asDict()) for r in with_layout(frame, required).sort("i").collect()]
 
 
 def test_header_spellings(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,7 +51,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """Path of a new folder for written intermediate tables.
 
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, or else
-    in the warehouse, which executors share as well; never in a machine's own folder.
+    in the warehouse, which executors share as well; never in a machine's own folder: off
+    one machine a warehouse on a local path is refused.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        if not one_machine and re.match(r"(file:|/|[^:]*$)", warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{warehouse}/_work"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -34,3 +34,24 @@ def test_trend_value(spark):
 
     row = spark.range(1).select(trend_value(F.lit(-3.26)).alias("v"), trend_direction(F.lit(-3.26)).alias("d")).first()
     assert (row.v, row.d) == (3.3, "down")
+
+
+class _Session:
+    """The settings of a session, without a cluster."""
+
+    def __init__(self, master, **settings):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = {"spark.sql.warehouse.dir": "file:/tmp/warehouse", **{k.replace("__", "."): v for k, v in settings.items()}}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from ledgerloom.session import work_folder
+
+    assert work_folder(_Session("local[4]"), "x").startswith("file:/tmp/warehouse/_work/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(_Session("yarn"), "x")
+    assert work_folder(_Session("yarn", spark__checkpoint__dir="hdfs:///c/"), "x").startswith("hdfs:///c/x-")
+    shared = _Session("yarn", **{"spark__sql__warehouse__dir": "s3a://bucket/w"})
+    assert work_folder(shared, "x").startswith("s3a://bucket/w/_work/x-")

@@ -128,3 +128,22 @@ def test_components_of_random_graphs(spark):
     linked = {node for u, v in edges if u != v for node in (u, v)}
     assert found == {node: label[node] for node in linked}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_members_of_one_component_are_not_dealt_against_each_other(spark):
+    """A component of 5,000 members, another of 1,500 and ten strays in one bucket."""
+    label = "CASE WHEN id < 5000 THEN 0L WHEN id < 6500 THEN 5000L ELSE id END AS label"
+    members = spark.range(6510).selectExpr("7L AS bucket", "id AS rep", label, f"1.0D / {op.SIGNATURE_BLOCK} AS weight")
+    dealt = op._blocks(members, spark.range(6510).selectExpr("id AS rep", "id AS payload"))
+    rows = dealt.select("pair", "rep", "label").toPandas()
+    # Each block meets the other component's blocks (5 and 2) and the one of the strays.
+    assert len(rows) <= 5000 * (2 + 1) + 1500 * (5 + 1) + 10 * (5 + 2 + 1)
+    met = set()
+    for _, group in rows.groupby("pair"):
+        labels = set(group.label)
+        assert len(labels) > 1 and len(group) <= 3 * op.SIGNATURE_BLOCK
+        if 0 in labels and 5000 in labels:
+            met.update((a, b) for a in group.rep[group.label == 0][::97] for b in group.rep[group.label == 5000][::89])
+        strays = group.rep[group.rep >= 6500]
+        met.update((a, b) for a in group.rep for b in strays if a != b)
+    assert all((a, b) in met for a in range(6510) for b in range(6500, 6510) if a != b)

@@ -1,8 +1,9 @@
 """Benchmark decontamination: word windows of the test items, found in the documents.
 
-The method: the first two words of every benchmark window form a broadcast hash set;
-every place of every document is looked up in it, the few places that match are looked
-up again by their whole window, and a hit counts only if all its words are equal.
+The method: the first two words of every benchmark window form a broadcast hash set, or
+a bitmap of bounded size if they are many; every place of every document is looked up in
+it, the few places that match are looked up again by their whole window, and a hit counts
+only if all its words are equal.
 Everything is DataFrame code; no Python runs on the executors.
 
 Defined cases: a null text has no words; a text or item without words takes part in
@@ -25,10 +26,14 @@ CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Up to this many (window, item) pairs the windows are broadcast: a pair is 13 words,
-# a key and an id, some 300 bytes, so the bound is about 60 MB. Beyond it the same
-# joins shuffle.
+# a key and an id, some 300 bytes, so the bound is about 60 MB. Beyond it a bitmap of the
+# leads is broadcast, and only places that hit it are shuffled, with their own words.
 BROADCAST_WINDOWS = 200_000
 
+# Words of 64 bits in that bitmap: at most this many rows of two longs, whatever the
+# windows are. Bits that several leads share let more places through, never fewer.
+BITMAP_WORDS = 1 << 21
+
 # Findings of so many documents, some 100 bytes each, are broadcast to the documents.
 BROADCAST_FINDINGS = 500_000
 
@@ -64,7 +69,46 @@ def _lead(window: Column) -> Column:
     return F.xxhash64(F.xxhash64(F.get(window, F.lit(0))), F.when(F.size(window) > 1, F.xxhash64(F.get(window, F.lit(1)))))
 
 
-def places(documents: DataFrame, windows: DataFrame, keys: list[str], broadcast_windows: int) -> DataFrame:
+def _lead_bitmap(windows: DataFrame, bitmap_words: int) -> DataFrame:
+    """(word, bits): the leads as set bits, at most ``bitmap_words`` rows."""
+    bit = F.pmod(F.col("lead"), F.lit(bitmap_words * 64))
+    mask = F.expr(f"shiftleft(1L, cast(pmod(lead, {bitmap_words * 64}L) % 64 as int))")
+    return windows.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(mask).alias("bits"))
+
+
+def _looked_up_by_bitmap(
+    scanned: DataFrame, windows: DataFrame, keys: list[str], lengths: list[int], bitmap_words: int
+) -> DataFrame:
+    """The places whose lead is in the broadcast bitmap, each with its own window of every length
+    that fits, joined with the windows by a shuffle.
+
+    No row carries its whole text: a place takes along at most a window of words. The row
+    of a document has a key of its own, so these rows do not meet in one partition.
+    """
+    n_words, bits = F.col("n_words"), 64 * bitmap_words
+    hit = F.getbit("bits", (F.pmod(F.col("lead"), F.lit(bits)) % 64).cast("int")) == 1
+    at = F.when(F.col("slot") > n_words, F.col("slot") - n_words).otherwise(F.col("slot"))
+    longer = F.array(*[F.lit(length) for length in lengths if length > 1]).cast("array<int>")
+    fitting = F.when(F.col("slot") == 0, F.array(F.lit(0))).when(F.col("slot") > n_words, F.array(F.lit(1)))
+    candidates = (
+        scanned.withColumn("word", F.floor(F.pmod(F.col("lead"), F.lit(bits)) / 64))
+        .join(F.broadcast(_lead_bitmap(windows, bitmap_words)), "word", "left")
+        .where((F.col("slot") == 0) | hit)
+        .withColumn("at", at)
+        .withColumn(
+            "length",
+            F.explode(fitting.otherwise(F.filter(longer, lambda length: F.col("at") + length - 1 <= n_words))),
+        )
+        .withColumn("found", F.when(F.col("slot") > 0, F.slice("words", F.col("at"), F.col("length"))))
+        .withColumn("key", F.when(F.col("slot") > 0, F.xxhash64("found")).otherwise(F.xxhash64(*keys)))
+        .select(*keys, "n_words", "slot", "at", "length", "found", "key")
+    )
+    return candidates.join(windows.drop("lead"), ["key", "length"], "left")
+
+
+def places(
+    documents: DataFrame, windows: DataFrame, keys: list[str], broadcast_windows: int, bitmap_words: int = BITMAP_WORDS
+) -> DataFrame:
     """(keys, n_words, at, end, items): a row at 0 for each document row, and one for each
     place (words from 1, end exclusive) in it where a benchmark window occurs.
 
@@ -72,7 +116,7 @@ def places(documents: DataFrame, windows: DataFrame, keys: list[str], broadcast_
     """
     # One small job: how many windows there are and which lengths (13 values at most).
     counted = windows.groupBy("length").agg(F.sum(F.greatest(F.size("items"), F.lit(1))).alias("n")).collect()
-    hint = F.broadcast if sum(row["n"] for row in counted) <= broadcast_windows else (lambda side: side)
+    few = sum(row["n"] for row in counted) <= broadcast_windows
 
     hashed = documents.withColumn("hashes", F.transform("words", lambda word: F.xxhash64(word)))
     leads = F.transform("hashes", lambda value, i: F.xxhash64(value, F.get("hashes", i + 1)))
@@ -81,10 +125,28 @@ def places(documents: DataFrame, windows: DataFrame, keys: list[str], broadcast_
         leads = F.concat(leads, F.transform("hashes", lambda value: F.xxhash64(value)))
     sentinel = F.array(F.lit(0).cast("long"))
     # The outer form: explode() would add a filter that splits every text once more.
-    scanned = hashed.select(*keys, "words", F.posexplode_outer(F.concat(sentinel, leads)).alias("slot", "lead"))
-    n_words = F.size("words")
+    scanned = hashed.select(
+        *keys, "words", F.size("words").alias("n_words"), F.posexplode_outer(F.concat(sentinel, leads)).alias("slot", "lead")
+    )
+    if few:
+        joined = _looked_up_by_broadcast(scanned, windows)
+    else:
+        lengths = sorted(row["length"] for row in counted)
+        joined = _looked_up_by_bitmap(scanned, stored(windows, "windows"), keys, lengths, bitmap_words)
+    return joined.where((F.col("slot") == 0) | (F.col("found") == F.col("window"))).select(
+        *keys,
+        "n_words",
+        F.when(F.col("slot") > 0, F.col("at")).otherwise(0).alias("at"),
+        F.when(F.col("slot") > 0, F.col("at") + F.col("length")).otherwise(0).alias("end"),
+        "items",
+    )
+
+
+def _looked_up_by_broadcast(scanned: DataFrame, windows: DataFrame) -> DataFrame:
+    """The places whose lead is in the broadcast hash set, joined with the broadcast windows."""
+    n_words = F.col("n_words")
     looked_up = (
-        scanned.join(hint(windows.select("lead", "length").distinct()), "lead", "left")
+        scanned.join(F.broadcast(windows.select("lead", "length").distinct()), "lead", "left")
         .where((F.col("slot") == 0) | F.col("length").isNotNull())
         .withColumn("at", F.when(F.col("slot") > n_words, F.col("slot") - n_words).otherwise(F.col("slot")))
         # The last place has no second word, so its lead is that of a single word.
@@ -93,14 +155,7 @@ def places(documents: DataFrame, windows: DataFrame, keys: list[str], broadcast_
         .withColumn("key", F.xxhash64("found"))
         .drop("lead")
     )
-    joined = looked_up.join(hint(windows.drop("lead")), ["key", "length"], "left")
-    return joined.where((F.col("slot") == 0) | (F.col("found") == F.col("window"))).select(
-        *keys,
-        n_words.alias("n_words"),
-        F.when(F.col("slot") > 0, F.col("at")).otherwise(0).alias("at"),
-        F.when(F.col("slot") > 0, F.col("at") + F.col("length")).otherwise(0).alias("end"),
-        "items",
-    )
+    return looked_up.join(F.broadcast(windows.drop("lead")), ["key", "length"], "left")
 
 
 def merged(spans: Column) -> Column:
@@ -119,7 +174,11 @@ def merged(spans: Column) -> Column:
 
 
 def scan(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+    documents: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+    bitmap_words: int = BITMAP_WORDS,
 ) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, hit_runs, item_ids, contaminated) per document row.
 
@@ -130,7 +189,7 @@ def scan(
     """
     keys = ["doc_id", "text_key"]
     words = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
-    found = places(words, item_windows(benchmark, window), keys, broadcast_windows)
+    found = places(words, item_windows(benchmark, window), keys, broadcast_windows, bitmap_words)
     hit = F.col("at") > 0
     grouped = found.groupBy(*keys).agg(
         F.max("n_words").cast("long").alias("n_words"),

@@ -52,10 +52,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [op.BROADCAST_WINDOWS, 0])
-def test_matches_brute_force(spark, docs, monkeypatch, limit):
+@pytest.mark.parametrize("limit, bitmap", [(op.BROADCAST_WINDOWS, op.BITMAP_WORDS), (0, op.BITMAP_WORDS), (0, 1)])
+def test_matches_brute_force(spark, docs, limit, bitmap):
+    """A bitmap of 64 bits lets many wrong places through; the rows stay the same."""
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = op.scan(docs(TEXTS, clashing=True), benchmark, broadcast_windows=limit)
+    found = op.scan(docs(TEXTS, clashing=True), benchmark, broadcast_windows=limit, bitmap_words=bitmap)
     rows = [
         (r.doc_id, r.n_words, r.n_hit, len(r.item_ids), hashlib.sha256(",".join(r.item_ids).encode()).hexdigest(), r.contaminated)
         for r in found.collect()
@@ -86,3 +87,18 @@ def test_no_python_in_the_plan(spark, docs):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = op.report(docs(TEXTS), benchmark)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_many_windows_shuffle_no_texts(spark, docs):
+    """Beyond the bound, no shuffle writes the words of a text, and the bitmap stays within its size."""
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = op.scan(docs(TEXTS), benchmark, broadcast_windows=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" in plan
+    joins = [line for line in plan.splitlines() if "Join" in line and "key" in line]
+    assert joins
+    below = plan.splitlines()[plan.splitlines().index(joins[0]) + 1]
+    assert "found#" in below and not re.search("(?<!n_)words#", below)
+    windows = op.item_windows(benchmark)
+    for size in (1, 4, op.BITMAP_WORDS):
+        assert op._lead_bitmap(windows, size).count() <= min(size, windows.count())

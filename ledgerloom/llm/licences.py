@@ -1,22 +1,28 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparing with templates.
 
-A paragraph is a line of a document. Its features are word n-grams of two and three words;
-a sparse multinomial logistic regression over the n-grams of the licence texts tells the
-families apart, with one class for ordinary text and one for licence talk that names no
-known licence. A family is accepted if its probability reaches a threshold calibrated on
-variants held out of training, and if the paragraph and some template of the family
-contain most of each other's n-grams one way or the other; otherwise the paragraph counts
-as an unknown licence.
+A paragraph is a line of a document, or lines that were wrapped: a line of 50 to 90
+characters that ends no sentence goes on in the next one. Its features are word n-grams
+of two and three words; a sparse multinomial logistic regression over the n-grams of the
+licence texts tells the families apart, with one class for ordinary text and one for
+licence talk that names no known licence. A family is accepted if its probability reaches
+a threshold, lower for wordings all but equal to a template, if the paragraph and some template of the family contain most of each other's
+n-grams one way or the other, and if no template of the two families next in probability
+agrees as well; otherwise the paragraph counts as an unknown licence. Both thresholds are
+calibrated on variants held out of training and on whole families left out of it, which
+should not be named at all. If a wrapped paragraph names no licence as a whole, its lines
+are judged one by one, as a notice may stand between lines of ordinary text.
 
 Everything is DataFrame code and Spark's own estimators; no Python runs on the executors.
 The texts are scanned once: each pair of words is looked up in the vocabulary (some
 thousand hashes), and every paragraph with a hit is judged by the regression where it is
 read; only those that are not ordinary text are kept. The training set is bounded: the
-templates, their variants, and the lines of ``BACKGROUND`` documents.
+templates, their variants, and the lines of ``BACKGROUND`` documents, drawn by hash.
 
 Defined cases: null and empty texts have no paragraphs; lines without words are none;
-null doc_ids and repeated rows give one result each; an empty table gives no rows, and a
-table without ordinary text trains on the templates alone.
+null doc_ids and repeated rows give one result each; equal probabilities go to the family
+first in the alphabet, equal templates to the first listed, and a paragraph that agrees with
+two families alike is unknown; an empty table gives no rows, and a table without ordinary
+text trains on the templates alone. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +42,14 @@ VARIANTS = 8
 HELD_OUT = 2  # of the variants, so many calibrate the threshold
 PRECISION = 0.95
 CONTAINED = 0.6
+VERBATIM = 0.95  # from this agreement on, the threshold is one of its own
 MOST_FEATURES = 20_000
+FOLDS = 2  # each known family is left out of one of so many trial models
+RIVALS = 2  # families compared beside the predicted one
+
+# A line that goes on in the next one, which has a word; the mark that replaces its end.
+WRAPPED = r"(?md)^([^\n]{49,89}[^\n.!?:\s])[ \t\r]*+\n(?=[ \t#/*;>|-]*+[A-Za-z0-9\"'(<])"
+MARK = "\x0b"
 
 NONE, UNKNOWN = "none", "unknown"
 
@@ -60,7 +73,12 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
         "the Software.",
         "This project is licensed under the terms of the MIT license.",
@@ -77,6 +95,15 @@ TEMPLATES = {
         "disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -87,6 +114,11 @@ TEMPLATES = {
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE.",
         "Licensed under the ISC License.",
         "SPDX-License-Identifier: ISC",
         "ISC License",
@@ -208,6 +240,25 @@ def templates(spark: SparkSession) -> DataFrame:
     )
 
 
+def rejoined(text: Column) -> Column:
+    """The text with the ends of wrapped lines replaced by a mark."""
+    return F.regexp_replace(text, WRAPPED, "$1" + MARK)
+
+
+def _drawn(documents: DataFrame) -> DataFrame:
+    """The ``BACKGROUND`` texts of smallest hash.
+
+    A bound on the hash, from the number of rows, leaves some thousands to be ordered, so
+    that no task is sent many texts by each of the others. The hash covers the text too, as one
+    doc_id may be that of many rows.
+    """
+    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("drawn"))
+    share = 4 * BACKGROUND / max(documents.count(), 1)
+    if share < 1:
+        rows = rows.where(F.col("drawn") < F.lit(int(-(2**63) + share * 2**64)))
+    return rows.orderBy("drawn").limit(BACKGROUND)
+
+
 def training_set(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """(family, variant, grams): templates, their variants, and background lines.
 
@@ -228,15 +279,16 @@ def training_set(spark: SparkSession, documents: DataFrame) -> DataFrame:
     length = F.when(long & part.isin(1, 3), half).otherwise(F.size(lost))
     variants = numbered.withColumn("kept", F.slice(lost, begin, length))
     known = whole.select(F.explode(ngrams(F.col("words"))).alias("gram")).distinct()
-    drawn = documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(BACKGROUND)
+    drawn = stored(_drawn(documents), "licence-background").repartition(8)
     lines = (
-        drawn.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+        drawn.select(F.explode(F.split(rejoined(F.coalesce("text", F.lit(""))), "\n")).alias("line"))
         .select(words_of(F.col("line")).alias("words"))
         .where(F.size("words") > 1)
         .select(ngrams(F.col("words")).alias("grams"))
         .distinct()
-        .withColumn("line", F.monotonically_increasing_id())
+        .withColumn("line", F.xxhash64("grams"))
     )
+    lines = stored(lines, "licence-lines")
     # A background line with several n-grams of a licence is one, or close to it.
     told = lines.select("line", F.explode("grams").alias("gram")).join(F.broadcast(known), "gram").groupBy("line")
     licensed = told.agg(F.count("*").alias("n")).where("n > 3")
@@ -252,14 +304,24 @@ def _featured(vocabulary: CountVectorizerModel, rows: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """The fitted vocabulary and regression, the families in order, and the threshold."""
+    """The fitted vocabulary and regression, the families in order, and the thresholds.
+
+    ``thresholds`` lists (least agreement, least probability), the greatest agreement first.
+    """
 
     def __init__(self, vocabulary: CountVectorizerModel, model: LogisticRegressionModel, families: list[str]):
         self.vocabulary, self.model, self.families = vocabulary, model, families
-        self.threshold = 0.5
+        self.thresholds = [(VERBATIM, 0.5), (CONTAINED, 0.5)]
+
+    def accepted(self) -> Column:
+        """Of compared rows: whether the predicted family is accepted."""
+        least = F.lit(None).cast("double")
+        for agreement, probability in reversed(self.thresholds):
+            least = F.when(F.col("agreement") >= agreement, F.lit(probability)).otherwise(least)
+        return (F.col("predicted") != UNKNOWN) & F.col("confirmed") & F.coalesce(F.col("probability") >= least, F.lit(False))
 
     def predicted(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``grams``) and their ``family`` and ``probability``."""
+        """``rows`` (with ``grams``), their class, its ``probability``, and the ``rivals`` next to it."""
         scored = self.model.transform(_featured(self.vocabulary, rows))
         ranked = F.array_sort(
             F.zip_with(
@@ -268,117 +330,192 @@ class Classifier:
                 lambda p, family: F.struct((-p).alias("p"), family.alias("family")),
             )
         )
+        best = F.get("_ranked", F.lit(0))
         return (
-            scored.withColumn("_best", F.get(ranked, F.lit(0)))
+            scored.withColumn("_ranked", ranked)
             .drop("counts", "features", "rawPrediction", "probability", "prediction")
-            .withColumns({"predicted": F.col("_best.family"), "probability": -F.col("_best.p")})
-            .drop("_best")
+            .withColumns(
+                {
+                    "predicted": best["family"],
+                    "probability": -best["p"],
+                    "rivals": F.transform(F.slice("_ranked", 2, RIVALS), lambda one: one["family"]),
+                }
+            )
+            .drop("_ranked")
         )
 
+    def compared(self, judged: DataFrame) -> DataFrame:
+        """Rows with ``grams``: adds ``agreement`` with the predicted family's wording ``template``, and ``confirmed``.
 
-def train(spark: SparkSession, documents: DataFrame) -> Classifier:
-    """Fit on the bounded training set; calibrate on the variants held out of it."""
-    rows = stored(training_set(spark, documents), "licence-training")
-    present = {row["family"] for row in rows.select("family").distinct().collect()}
-    families = sorted(present)
+        The wordings are one row per family, met by the predicted family and its rivals.
+        """
+        known = (
+            templates(judged.sparkSession)
+            .where((F.col("family") != UNKNOWN) & F.col("family").isin(self.families))
+            .groupBy("family")
+            .agg(F.collect_list(F.struct("template", F.array_distinct(ngrams(F.col("words"))).alias("grams"))).alias("wordings"))
+        )
+        rows = judged.withColumn("_grams", F.array_distinct("grams"))
+
+        def likeness(wording: Column) -> Column:
+            common = F.size(F.array_intersect("_grams", wording["grams"]))
+            own, other = F.size("_grams"), F.size(wording["grams"])
+            return F.struct(
+                F.greatest(common / own, common / other).alias("agreement"),
+                (common / (own + other - common)).alias("shared"),
+                (-wording["template"]).alias("order"),
+            )
+
+        for place in range(RIVALS + 1):
+            family = F.col("predicted") if place == 0 else F.get("rivals", F.lit(place - 1))
+            side = known.select(F.col("family").alias("_family"), F.col("wordings").alias("_wordings"))
+            rows = (
+                rows.join(F.broadcast(side), family == F.col("_family"), "left")
+                .withColumn(f"_like{place}", F.array_max(F.transform("_wordings", likeness)))
+                .drop("_family", "_wordings")
+            )
+        best = F.col("_like0")
+        rival = F.array_max(
+            F.array(*[F.struct(f"_like{place}.agreement", f"_like{place}.shared") for place in range(1, RIVALS + 1)])
+        )
+        ahead = F.struct("_like0.agreement", "_like0.shared") > rival
+        return rows.withColumns(
+            {
+                "agreement": F.coalesce(best["agreement"], F.lit(0.0)),
+                "template": -best["order"],
+                "confirmed": F.coalesce((best["agreement"] >= CONTAINED) & ahead, F.lit(False)),
+            }
+        ).drop("_grams", *[f"_like{place}" for place in range(RIVALS + 1)])
+
+
+def _fitted(rows: DataFrame, families: list[str]) -> Classifier:
+    """A model of these classes alone, with the vocabulary of their wordings."""
+    spark = rows.sparkSession
     label = reduce(
         lambda column, pair: F.when(F.col("family") == pair[1], float(pair[0])).otherwise(column),
         enumerate(families),
         F.lit(None).cast("double"),
     )
-    fitted_on = rows.where(F.col("variant") <= VARIANTS - HELD_OUT).withColumn("label", label)
+    fitted_on = rows.where((F.col("variant") <= VARIANTS - HELD_OUT) & F.col("family").isin(families)).withColumn("label", label)
     # Ordinary lines are many; together they weigh a quarter of all the licences, so that a
     # line that shares several n-grams with a licence is not taken for one of them.
     n_none = fitted_on.where(F.col("family") == NONE).count()
     share = fitted_on.where(F.col("family") != NONE).count() / max(n_none, 1) / 4
     weight = F.when(F.col("family") == NONE, F.lit(share)).otherwise(F.lit(1.0))
     fitted_on = fitted_on.withColumn("weight", weight)
-    known = templates(spark).select(F.lit("").alias("family"), ngrams(F.col("words")).alias("grams"))
+    known = (
+        templates(spark)
+        .where(F.col("family").isin(families))
+        .select(F.lit("").alias("family"), ngrams(F.col("words")).alias("grams"))
+    )
     vocabulary = CountVectorizer(inputCol="grams", outputCol="counts", binary=True, vocabSize=MOST_FEATURES).fit(known)
     regression = LogisticRegression(
         family="multinomial", regParam=0.0001, maxIter=40, standardization=False, weightCol="weight"
     )
     model = regression.fit(_featured(vocabulary, fitted_on).select("label", "weight", "features"))
-    classifier = Classifier(vocabulary, model, families)
-    held = classifier.predicted(rows.where(F.col("variant") > VARIANTS - HELD_OUT))
-    named = held.where(~F.col("predicted").isin(NONE, UNKNOWN)).select(
-        "probability", (F.col("predicted") == F.col("family")).cast("int").alias("right")
+    return Classifier(vocabulary, model, families)
+
+
+def _named(classifier: Classifier, rows: DataFrame) -> DataFrame:
+    """(agreement, probability, right) of the rows that are given a family and confirmed."""
+    judged = classifier.predicted(rows.where(F.size("grams") > 0)).where(~F.col("predicted").isin(NONE, UNKNOWN))
+    return classifier.compared(judged).where("confirmed").select(
+        "agreement", "probability", (F.col("predicted") == F.col("family")).cast("int").alias("right")
     )
-    # The lowest threshold from which on nearly all predictions are right.
+
+
+def train(spark: SparkSession, documents: DataFrame) -> Classifier:
+    """Fit on the bounded training set; calibrate on what was held out of it.
+
+    The wordings of a family that a trial model has never seen should be accepted as none
+    of the others, so each one that is counts as wrong.
+    """
+    # Few rows, read by every step of three fits: in few files.
+    rows = stored(training_set(spark, documents).repartition(4), "licence-training")
+    families = sorted(row["family"] for row in rows.select("family").distinct().collect())
+    classifier = _fitted(rows, families)
+    named = _named(classifier, rows.where(F.col("variant") > VARIANTS - HELD_OUT))
+    left = [family for family in families if family not in (NONE, UNKNOWN)]
+    for fold in range(FOLDS):
+        unseen = left[fold::FOLDS]
+        trial = _fitted(rows, [family for family in families if family not in unseen])
+        named = named.union(_named(trial, rows.where(F.col("family").isin(unseen) & (F.col("variant") == 0))))
+    # Per range of agreement, the lowest threshold from which on nearly all accepted ones are right.
     steps = [step / 20 for step in range(6, 20)]
+    verbatim = F.col("agreement") >= VERBATIM
     above = [F.avg(F.when(F.col("probability") >= step, F.col("right"))).alias(f"at{i}") for i, step in enumerate(steps)]
-    rates = named.agg(*above).first()
-    right = [step for i, step in enumerate(steps) if rates[i] is not None and rates[i] >= PRECISION]
-    classifier.threshold = right[0] if right else steps[-1]
+    rates = {row["verbatim"]: row for row in named.groupBy(verbatim.alias("verbatim")).agg(*above).collect()}
+
+    def least(row) -> float:
+        right = [step for i, step in enumerate(steps) if row is not None and (row[f"at{i}"] or 0) >= PRECISION]
+        return right[0] if right else steps[-1]
+
+    classifier.thresholds = [(VERBATIM, least(rates.get(True))), (CONTAINED, least(rates.get(False)))]
     return classifier
 
 
 def paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, words, grams): the lines with any n-gram of the vocabulary.
+    """(doc_id, text_key, paragraph, part, words, grams): the paragraphs with any n-gram of the vocabulary.
 
-    A known triple holds two known pairs, so pairs tell. The pairs of all templates, some thousand hashes whatever the documents are, become a
-    set in the plan, so lines are judged where they are read and nothing is shuffled.
+    Part 0 is the whole paragraph; the lines of a wrapped one follow as parts from 1.
+    A known triple holds two known pairs, so pairs tell. The pairs of all templates, some
+    thousand hashes whatever the documents are, become a set in the plan, so paragraphs are
+    judged where they are read and nothing is shuffled.
     """
     pairs = templates(spark).select(F.explode(ngrams(F.col("words"))).alias("gram")).where(
         F.size(F.split("gram", " ")) == 2
     )
     keys = sorted({row["key"] for row in pairs.select(F.xxhash64("gram").alias("key")).collect()})
-    lines = documents.select(
-        "doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line", "text")
+    whole = documents.select(
+        "doc_id",
+        text_key(F.col("text")).alias("text_key"),
+        F.posexplode_outer(F.split(rejoined(F.col("text")), "\n")).alias("paragraph", "text"),
     ).withColumn("words", words_of(F.col("text")))
     hits = F.filter(
         F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b))),
         lambda key: key.isin(keys),
     )
-    # Generating the words of lines with hits, and null for others, keeps the condition
-    # from being pushed down, where it would split every line again.
-    judged = F.when(F.size(hits) > 0, F.array("words"))
+    lines = F.split("text", MARK)
+    wrapped = F.when(F.size(lines) > 1, F.transform(lines, words_of)).otherwise(F.array().cast("array<array<string>>"))
+    # Generating the words of paragraphs with hits, and null for others, keeps the condition
+    # from being pushed down, where it would split every paragraph again.
+    judged = F.when(F.size(hits) > 0, F.concat(F.array("words"), wrapped))
     return (
-        lines.select("doc_id", "text_key", "line", F.explode_outer(judged).alias("words"))
-        .where(F.col("words").isNotNull())
-        .withColumn("grams", ngrams(F.col("words")))
+        whole.select("doc_id", "text_key", "paragraph", F.posexplode_outer(judged).alias("part", "words"))
+        .where(F.size("words") > 1)
+        # Spark may count n-grams before it applies the condition; null is none of them.
+        .withColumn("grams", F.coalesce(ngrams(F.col("words")), F.array().cast("array<string>")))
     )
 
 
 def scan(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """(doc_id, text_key, line, words, predicted, probability, family, template, agreement) per licence line.
+    """(doc_id, text_key, paragraph, part, words, predicted, probability, family, template, agreement) per licence
+    paragraph.
 
     ``family`` is the confirmed one or ``unknown``; ``template`` the wording most like the
-    line and ``agreement`` the share of n-grams one of both has of the other.
+    paragraph and ``agreement`` the share of n-grams one of both has of the other. ``part``
+    is 0, or the number of the line (from 1) if a wrapped paragraph is none as a whole.
     """
     spark = documents.sparkSession
     classifier = classifier or train(spark, documents)
-    keys = ["doc_id", "text_key", "line"]
+    keys = ["doc_id", "text_key", "paragraph"]
     judged = classifier.predicted(paragraphs(spark, documents)).where(F.col("predicted") != NONE)
-    judged = stored(judged.drop("grams"), "licence-lines").withColumn("grams", F.array_distinct(ngrams(F.col("words"))))
-    known = templates(spark).where(F.col("family") != UNKNOWN).select(
-        "template", F.col("family").alias("predicted"), F.array_distinct(ngrams(F.col("words"))).alias("wording")
-    )
-    # Each line meets the few wordings of its predicted family only.
-    compared = judged.join(F.broadcast(known), "predicted", "left").withColumn(
-        "common", F.size(F.array_intersect("grams", "wording"))
-    )
-    agreement = F.greatest(F.col("common") / F.size("grams"), F.col("common") / F.size("wording"))
-    best = compared.withColumn("agreement", F.coalesce(agreement, F.lit(0.0))).groupBy(*keys).agg(
-        F.max(F.struct("agreement", (-F.col("template")).alias("order"))).alias("best"),
-        F.first("words").alias("words"),
-        F.first("predicted").alias("predicted"),
-        F.first("probability").alias("probability"),
-    )
-    accepted = (
-        (F.col("predicted") != UNKNOWN)
-        & (F.col("probability") >= classifier.threshold)
-        & (F.col("best.agreement") >= CONTAINED)
-    )
-    return best.select(
-        *keys,
-        "words",
-        "predicted",
-        "probability",
-        F.when(accepted, F.col("predicted")).otherwise(F.lit(UNKNOWN)).alias("family"),
-        (-F.col("best.order")).alias("template"),
-        F.col("best.agreement").alias("agreement"),
+    judged = stored(judged.drop("grams"), "licence-paragraphs")
+    found = ["part", "words", "predicted", "probability", "family", "template", "agreement"]
+    compared = classifier.compared(judged.withColumn("grams", ngrams(F.col("words")))).withColumn(
+        "family", F.when(classifier.accepted(), F.col("predicted")).otherwise(F.lit(UNKNOWN))
     )
+    # A paragraph's parts are no more than its lines: the named whole, else named lines, else the
+    # unknown whole, else unknown lines. Repeated rows of one document fall together.
+    parts = compared.groupBy(*keys).agg(F.collect_set(F.struct(*found)).alias("parts"))
+    named = F.filter("parts", lambda one: one["family"] != UNKNOWN)
+
+    def first_of(column: Column) -> Column:
+        whole = F.filter(column, lambda one: one["part"] == 0)
+        return F.when(F.size(whole) > 0, whole).otherwise(column)
+
+    chosen = F.when(F.size(named) > 0, first_of(named)).otherwise(first_of(F.col("parts")))
+    return parts.select(*keys, F.explode(chosen).alias("one")).select(*keys, "one.*")
 
 
 def report(documents: DataFrame) -> DataFrame:

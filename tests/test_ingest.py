@@ -532,6 +532,21 @@ def test_report_files(spark, tmp_path, facts):
     assert {len(r.department) for r in rows} == {1, 15}
 
 
+@pytest.mark.parametrize("write", [write_report, write_printable])
+def test_reports_compute_their_records_once(spark, tmp_path, facts, write):
+    df = facts(*[(f"2024-01-{i:02d}", d, 100 * i, 10, 5, i) for i in range(1, 31) for d in "AB"])
+    computed = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    paths = write(df.mapInArrow(note, df.schema), str(tmp_path / "report"))
+    assert computed.value == 60
+    assert all(spark.read.option("header", "true").csv(path).count() for path in paths.values())
+
+
 def test_stored_users_and_their_removal(spark, ledger, tmp_path):
     schema = "id long, name string, email string, role string, is_active boolean, created_at timestamp, last_login timestamp"
     people = [(i, f"user {i}", f"u{i}@example.com", "Analyst", True, NOW, None) for i in (1, 2, 3)]

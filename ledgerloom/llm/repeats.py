@@ -9,10 +9,12 @@ same document or another.
    need be compared. Anchors that occur once are dropped.
 2. Stretches with equal bytes are one class. If it has several members, all their windows
    are repeated.
-3. Classes that share an anchor meet in one task. It sorts the suffixes of their texts by
-   the linear grouping construction and reads repeated windows from the suffix array.
-   Anchors with more than ``MOST_CLASSES`` classes would be too much for a task; the
-   windows of these are counted one by one, by 128-bit hashes, over all tasks.
+3. Equal windows also have the anchor's whole left or right half of a window in common.
+   Classes that share neither half with another class are done. The others meet in one task
+   per anchor. It sorts the suffixes of their texts by the linear grouping construction and
+   reads repeated windows from the suffix array. Anchors with more than ``MOST_CLASSES`` such
+   classes would be too much for a task; the windows of these are counted one by one, by
+   128-bit hashes, over all tasks.
 4. The repeated windows of a document are merged and cut out of its bytes.
 
 Defined cases: null texts are empty, and texts shorter than a window lose nothing; null
@@ -25,7 +27,8 @@ are ignored by ``removed`` and kept by ``remove``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from ledgerloom.llm.suffix_array import Prefixes, repeated_windows
 
 LENGTH = 200
 GRAM = 16
+HALF = (LENGTH - GRAM) // 2
+BLOCK = 250_000  # bytes of short texts that are hashed together
 CHUNK = 1_000_000  # windows; positions in a chunk take 24 bits
 MOST_CLASSES = 20_000
 TASK_BYTES = 400_000  # of text per suffix array, if no single anchor has more
@@ -48,27 +53,89 @@ BROADCAST_ANCHORS = 2_000_000
 _LOW = U64(2**24 - 1)
 
 
-def stretches(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first windows, numbers of windows, anchor hashes, hashes of the bytes) of a text's stretches."""
-    for base in range(0, max(0, len(text) - LENGTH + 1), CHUNK):
-        data = np.frombuffer(text[base : base + CHUNK + LENGTH - 1], dtype=np.uint8)
+def _blocks(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(texts' numbers, first bytes, bytes) of the chunks of texts, some at a time; a text shorter
+    than a window has none."""
+    owner, base, chunks, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for first in range(0, len(text) - LENGTH + 1, CHUNK):
+            chunk = text[first : first + CHUNK + LENGTH - 1]
+            if chunks and size + len(chunk) > BLOCK:
+                yield owner, base, chunks
+                owner, base, chunks, size = [], [], [], 0
+            owner.append(i)
+            base.append(first)
+            chunks.append(chunk)
+            size += len(chunk)
+    if chunks:
+        yield owner, base, chunks
+
+
+def _least_grams(hashes: Prefixes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all grams, and for every window where its least gram is."""
+    grams = hashes.every(GRAM)
+    width = LENGTH - GRAM + 1
+    n = len(grams) - width + 1
+    # Least value of every window: of a block's end and the next one's beginning.
+    keyed = (grams & ~_LOW) | np.arange(len(grams)).astype(U64)
+    blocks = np.append(keyed, np.full(-len(keyed) % width, 2**64 - 1, dtype=U64)).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return grams, (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Stretches:
+    """Stretches of some texts. ``left`` and ``right`` are hashes of what equal windows have in
+    common, whichever they are: an anchor lies at least ``HALF`` bytes from a window's start or
+    as far as the other half from its end, so the bytes from there to the anchor's end, or from
+    the anchor to there, are in the window. Without such windows they are masked."""
+
+    owner: np.ndarray  # number of the text
+    start: np.ndarray  # first window
+    count: np.ndarray  # of windows
+    anchor: np.ndarray
+    whole: np.ndarray | None = None  # hash of the bytes
+    left: np.ma.MaskedArray | None = None
+    right: np.ma.MaskedArray | None = None
+
+
+def _found(texts: Iterable[bytes], hashed: bool = True) -> Iterator[Stretches]:
+    """The stretches of the texts, of all chunks of a block at once."""
+    for owner, base, chunks in _blocks(texts):
+        data = np.frombuffer(b"".join(chunks), dtype=np.uint8)
+        sizes = np.array([len(chunk) for chunk in chunks])
+        begin = np.cumsum(sizes) - sizes
         hashes = Prefixes(data)
-        at = np.arange(len(data) - GRAM + 1)
-        grams = hashes.of(at, at + GRAM)
-        width, n = LENGTH - GRAM + 1, len(data) - LENGTH + 1
-        # Least value of every window: of a block's end and the next one's beginning.
-        keyed = (grams & ~_LOW) | at.astype(U64)
-        blocks = np.append(keyed, np.full(-len(keyed) % width, 2**64 - 1, dtype=U64)).reshape(-1, width)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        anchor = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW).astype(np.int64)
-        start = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
-        count = np.diff(np.append(start, n))
+        grams, least = _least_grams(hashes)
+        inside = np.ones(len(least), bool)  # windows that reach into the next chunk are none
+        for end in (begin[1:] - LENGTH + 1).tolist():
+            inside[end : end + LENGTH - 1] = False
+        windows = np.flatnonzero(inside)
+        anchor = least[windows]
+        first = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
+        at, start, count = anchor[first], windows[first], np.diff(np.append(first, len(anchor)))
+        chunk = np.searchsorted(begin, start, side="right") - 1
+        place = (np.array(owner)[chunk], start - begin[chunk] + np.array(base)[chunk], count, grams[at])
+        if not hashed:
+            yield Stretches(*place)
+            continue
         whole = mix(hashes.of(start, start + count + LENGTH - 1) ^ U64(0x5851F42D4C957F2D))
-        yield start + base, count, grams[anchor[start]], whole
+        lefts, rights = at - start >= HALF, at - (start + count - 1) <= HALF
+        left = hashes.of(np.where(lefts, at - HALF, at), at + GRAM) ^ U64(0x14057B7EF767814F)
+        right = hashes.of(at, np.where(rights, at + LENGTH - HALF, at + GRAM))
+        yield Stretches(*place, whole, np.ma.array(left, mask=~lefts), np.ma.array(right, mask=~rights))
+
+
+def stretches(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first windows, numbers of windows, anchor hashes, hashes of the bytes) of a text's stretches."""
+    for part in _found([text]):
+        yield part.start, part.count, part.anchor, part.whole
 
 
 def _signed(values: np.ndarray) -> pa.Array:
+    if isinstance(values, np.ma.MaskedArray):
+        return pa.array(values.data.view(np.int64), mask=values.mask)
     return pa.array(values.view(np.int64))
 
 
@@ -82,7 +149,7 @@ def _anchors(documents: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [part[2] for text in _texts(batch) for part in stretches(text)]
+            found = [part.anchor for part in _found(_texts(batch), hashed=False)]
             if found:
                 anchor, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(n, pa.int64())], names=["anchor", "n"])
@@ -90,32 +157,41 @@ def _anchors(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(count, "anchor long, n long")
 
 
+_STRETCH = (
+    "doc_id long, text_key long, start long, count long, anchor long, bytes_key long, left_key long, right_key long"
+)
+
+
 def _all_stretches(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, count, anchor, bytes_key) of every stretch."""
+    """Every stretch with its hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, parts = [], []
-            for i, text in enumerate(_texts(batch)):
-                for part in stretches(text):
-                    owner.append(np.full(len(part[0]), i))
-                    parts.append(part)
-            if parts:
-                start, count, anchor, whole = (np.concatenate(columns) for columns in zip(*parts))
-                owners = pa.array(np.concatenate(owner))
+            for part in _found(_texts(batch)):
+                owners = pa.array(part.owner)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(owners),
                         batch.column("text_key").take(owners),
-                        pa.array(start, pa.int64()),
-                        pa.array(count, pa.int64()),
-                        _signed(anchor),
-                        _signed(whole),
+                        pa.array(part.start, pa.int64()),
+                        pa.array(part.count, pa.int64()),
+                        *map(_signed, (part.anchor, part.whole, part.left, part.right)),
                     ],
-                    names=["doc_id", "text_key", "start", "count", "anchor", "bytes_key"],
+                    names=["doc_id", "text_key", "start", "count", "anchor", "bytes_key", "left_key", "right_key"],
                 )
 
-    return rows.mapInArrow(cut, "doc_id long, text_key long, start long, count long, anchor long, bytes_key long")
+    return rows.mapInArrow(cut, _STRETCH)
+
+
+def _meeting(classes: DataFrame) -> DataFrame:
+    """(anchor, bytes_key) of the classes that may have a window in common with another class,
+    one of the two having one member. Equal windows have equal left or right keys."""
+    halves = classes.select(
+        "anchor", "bytes_key", "n", F.explode(F.array_compact(F.array("member.left_key", "member.right_key"))).alias("half")
+    )
+    common = halves.groupBy("half").agg(F.count("*").alias("n_classes"), F.count_if(F.col("n") == 1).alias("n_single"))
+    several = common.where("n_classes > 1 AND n_single > 0").select("half")
+    return halves.join(several, "half", "left_semi").select("anchor", "bytes_key").distinct()
 
 
 _CLASS = "anchor long, single boolean, crowded boolean, start long, count long"
@@ -130,11 +206,14 @@ def _pieces(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(_texts(batch)):
-                own = pa.RecordBatch.from_struct_array(batch.column("classes")[i].values)
-                start, count = own.column("start").to_pylist(), own.column("count").to_pylist()
-                pieces = [text[s : s + n + LENGTH - 1] for s, n in zip(start, count)]
-                keys = [pa.repeat(batch.column(name)[i], len(pieces)) for name in ("doc_id", "text_key")]
+            for offset in range(0, batch.num_rows, 100):
+                part = batch.slice(offset, 100)
+                texts, listed = list(_texts(part)), part.column("classes")
+                own = pa.RecordBatch.from_struct_array(listed.flatten())
+                owner = listed.value_parent_indices()
+                place = zip(owner.to_pylist(), own.column("start").to_pylist(), own.column("count").to_pylist())
+                pieces = [texts[i][s : s + n + LENGTH - 1] for i, s, n in place]
+                keys = [part.column(name).take(owner) for name in ("doc_id", "text_key")]
                 yield pa.RecordBatch.from_arrays(
                     [*keys, *own.columns, pa.array(pieces, pa.binary())],
                     names=["doc_id", "text_key", *own.schema.names, "piece"],
@@ -251,7 +330,8 @@ def spans(documents: DataFrame) -> DataFrame:
     found = stored(_all_stretches(rows).join(broadcast_up_to(shared, BROADCAST_ANCHORS), "anchor"), "stretches")
     classes = stored(
         found.groupBy("anchor", "bytes_key").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "count")).alias("member")
+            F.count("*").alias("n"),
+            F.min(F.struct("doc_id", "text_key", "start", "count", "left_key", "right_key")).alias("member"),
         ),
         "classes",
     )
@@ -259,14 +339,16 @@ def spans(documents: DataFrame) -> DataFrame:
     whole = found.join(several, ["anchor", "bytes_key"], "left_semi").select(
         "doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("count")).alias("last")
     )
-    meeting = (
-        classes.groupBy("anchor")
-        .agg(F.count("*").alias("n_classes"), F.count_if(F.col("n") == 1).alias("n_single"))
-        .where("n_classes > 1 AND n_single > 0")
-    )
+    meeting = stored(_meeting(classes), "meeting")
+    crowds = meeting.groupBy("anchor").agg(F.count("*").alias("n_classes"))
     members = stored(
-        classes.join(meeting, "anchor").select(
-            "member.*", "anchor", (F.col("n") == 1).alias("single"), (F.col("n_classes") > MOST_CLASSES).alias("crowded")
+        classes.join(meeting, ["anchor", "bytes_key"], "left_semi")
+        .join(crowds, "anchor")
+        .select(
+            *[f"member.{name}" for name in ("doc_id", "text_key", "start", "count")],
+            "anchor",
+            (F.col("n") == 1).alias("single"),
+            (F.col("n_classes") > MOST_CLASSES).alias("crowded"),
         ),
         "members",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 from ledgerloom.llm.shingling import U64, mix
@@ -97,22 +99,41 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
+# Powers of the base and of its inverse, computed once a process for arrays up to this long.
+_TABLED = 2**20
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    powers = np.full(n, base)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, _TABLED + 1), _powers(_INVERSE, _TABLED + 1)
+
+
 class Prefixes:
     """Hashes of all substrings of a byte array, from sums over its prefixes."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        powers = np.ones(n, dtype=U64)
-        if n > 1:
-            powers[1:] = np.multiply.accumulate(np.full(n - 1, _BASE))
-        self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(_BYTE[data] * powers)))
-        self.back = np.ones(n + 1, dtype=U64)
-        if n:
-            self.back[1:] = np.multiply.accumulate(np.full(n, _INVERSE))
+        if n <= _TABLED:
+            powers, self.back = (table[: n + 1] for table in _tables())
+        else:
+            powers, self.back = _powers(_BASE, n), _powers(_INVERSE, n + 1)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[data] * powers[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64))
 
+    def every(self, length: int) -> np.ndarray:
+        """The hashes of all substrings of that length, by where they start."""
+        n = max(0, len(self.sums) - length)
+        return mix((self.sums[length:] - self.sums[:n]) * self.back[:n] + U64(length))
+
 
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))

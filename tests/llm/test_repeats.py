@@ -93,3 +93,31 @@ def test_removal_keeps_columns(docs):
     kept = {(r.doc_id, len((r.text or "").encode())) for r in out.where("doc_id IS NOT NULL").collect()}
     assert {(i, n - gone) for i, n, gone, _, _ in brute(rows) if i is not None and gone == n} <= kept
     assert op.report(docs([])).count() == 0
+
+
+def test_stretches_of_many_texts_at_once(monkeypatch):
+    texts = [(text or "").encode() for _, text in corpus()]
+    apart = [(i, *row) for i, text in enumerate(texts) for part in op.stretches(text) for row in zip(*(c.tolist() for c in part))]
+    for block in (1, 900, 10**6):
+        monkeypatch.setattr(op, "BLOCK", block)
+        parts = list(op._found(texts))
+        columns = ("owner", "start", "count", "anchor", "whole")
+        assert [row for p in parts for row in zip(*(getattr(p, c).tolist() for c in columns))] == apart
+
+
+def test_only_stretches_with_half_a_window_in_common_are_sorted(docs, monkeypatch):
+    random.seed(4)
+    words = ["government of ", "the population ", "in accordance ", "with respect to ", "as mentioned "]
+    text = lambda n: "".join(random.choice(words) for _ in range(n))
+    seen = []
+    sort = op._by_suffix_arrays
+    monkeypatch.setattr(op, "_by_suffix_arrays", lambda pieces: seen.append(pieces.count()) or sort(pieces))
+    rows = [(i, text(40)) for i in range(30)]
+    assert [tuple(r) for r in op.report(docs(rows)).orderBy("doc_id").collect()] == brute(rows)
+    assert seen == [0]
+    # Passages of a window, or a byte less, at any distance from their anchors.
+    for i in range(30, 90):
+        passage = rows[i % 30][1][i : i + op.LENGTH - i % 2]
+        rows.append((i, text(random.randrange(12)) + "#" + passage + "#" + text(random.randrange(12))))
+    found = [tuple(r) for r in op.report(docs(rows)).orderBy("doc_id").collect()]
+    assert found == brute(rows) and seen[1] > 0
